@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.functions.text import PUNCTUATION, drop_articles, first_match, last_of
+from evalmill.functions.text import PUNCTUATION, drop_articles, first_match, last_of, let
 
 Rule = Callable[[Column], Column]
 
@@ -58,83 +58,100 @@ def capital_set(text: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(found)), "")
 
 
-# fixed values: wordings that announce a chosen option, tried in this order; OPT is the option class
+# fixed values: wordings that announce a chosen option, tried in this order; OPT is the option class.
+# Each group says whether its wordings need a CJK character.
 OPTION_WORDINGS = [
-    r"答案是?\s*([OPT])",
-    r"答案是?\s*：\s*([OPT])",
-    r"答案是?\s*:\s*([OPT])",
-    r"答案选项应?该?是\s*([OPT])",
-    r"答案选项应?该?为\s*([OPT])",
-    r"答案应该?是\s*([OPT])",
-    r"答案应该?选\s*([OPT])",
-    r"答案选项为?\s*：\s*([OPT])",
-    r"答案选项为?\s+\(?\*?\*?([OPT])\*?\*?\)?",
-    r"答案选项是?\s*:\s*([OPT])",
-    r"答案为\s*([OPT])",
-    r"答案选\s*([OPT])",
-    r"选择?\s*([OPT])",
-    r"故选?\s*([OPT])",
-    r"只有选?项?\s?([OPT])\s?是?对",
-    r"只有选?项?\s?([OPT])\s?是?错",
-    r"只有选?项?\s?([OPT])\s?不?正确",
-    r"只有选?项?\s?([OPT])\s?错误",
-    r"说法不?对选?项?的?是\s?([OPT])",
-    r"说法不?正确选?项?的?是\s?([OPT])",
-    r"说法错误选?项?的?是\s?([OPT])",
-    r"([OPT])\s?是正确的",
-    r"([OPT])\s?是正确答案",
-    r"选项\s?([OPT])\s?正确",
-    r"所以答\s?([OPT])",
-    r"所以\s?([OPT][.。$]?$)",
-    r"所有\s?([OPT][.。$]?$)",
-    r"[\s，：:,]([OPT])[。，,\.]?$",
-    r"[\s，,：:][故即]([OPT])[。\.]?$",
-    r"[\s，,：:]因此([OPT])[。\.]?$",
-    r"[是为。]\s?([OPT])[。\.]?$",
-    r"因此\s?([OPT])[。\.]?$",
-    r"显然\s?([OPT])[。\.]?$",
-    r"答案是\s?(\S+)(?:。|$)",
-    r"答案应该是\s?(\S+)(?:。|$)",
-    r"答案为\s?(\S+)(?:。|$)",
-    r"(?i)ANSWER\s*:\s*([OPT])",
-    r"[Tt]he answer is:?\s+\(?([OPT])\)?",
-    r"[Tt]he answer is:?\s+\(?\*?\*?([OPT])\*?\*?\)?",
-    r"[Tt]he answer is option:?\s+\(?([OPT])\)?",
-    r"[Tt]he correct answer is:?\s+\(?([OPT])\)?",
-    r"[Tt]he correct answer is option:?\s+\(?([OPT])\)?",
-    r"[Tt]he correct answer is:?.*?boxed\{([OPT])\}",
-    r"[Tt]he correct option is:?.*?boxed\{([OPT])\}",
-    r"[Tt]he correct answer option is:?.*?boxed\{([OPT])\}",
-    r"[Tt]he answer to the question is:?\s+\(?([OPT])\)?",
-    r"^选项\s?([OPT])",
-    r"^([OPT])\s?选?项",
-    r"((?:\s|^)[OPT][\s。，,：:\.$])",
-    r"1.\s?(.*?)$",
-    r"1.\s?([OPT])[.。$]?$",
+    (True, [
+        r"答案是?\s*([OPT])",
+        r"答案是?\s*：\s*([OPT])",
+        r"答案是?\s*:\s*([OPT])",
+        r"答案选项应?该?是\s*([OPT])",
+        r"答案选项应?该?为\s*([OPT])",
+        r"答案应该?是\s*([OPT])",
+        r"答案应该?选\s*([OPT])",
+        r"答案选项为?\s*：\s*([OPT])",
+        r"答案选项为?\s+\(?\*?\*?([OPT])\*?\*?\)?",
+        r"答案选项是?\s*:\s*([OPT])",
+        r"答案为\s*([OPT])",
+        r"答案选\s*([OPT])",
+        r"选择?\s*([OPT])",
+        r"故选?\s*([OPT])",
+        r"只有选?项?\s?([OPT])\s?是?对",
+        r"只有选?项?\s?([OPT])\s?是?错",
+        r"只有选?项?\s?([OPT])\s?不?正确",
+        r"只有选?项?\s?([OPT])\s?错误",
+        r"说法不?对选?项?的?是\s?([OPT])",
+        r"说法不?正确选?项?的?是\s?([OPT])",
+        r"说法错误选?项?的?是\s?([OPT])",
+        r"([OPT])\s?是正确的",
+        r"([OPT])\s?是正确答案",
+        r"选项\s?([OPT])\s?正确",
+        r"所以答\s?([OPT])",
+        r"所以\s?([OPT][.。$]?$)",
+        r"所有\s?([OPT][.。$]?$)",
+    ]),
+    (False, [
+        r"[\s，：:,]([OPT])[。，,\.]?$",
+    ]),
+    (True, [
+        r"[\s，,：:][故即]([OPT])[。\.]?$",
+        r"[\s，,：:]因此([OPT])[。\.]?$",
+        r"[是为。]\s?([OPT])[。\.]?$",
+        r"因此\s?([OPT])[。\.]?$",
+        r"显然\s?([OPT])[。\.]?$",
+        r"答案是\s?(\S+)(?:。|$)",
+        r"答案应该是\s?(\S+)(?:。|$)",
+        r"答案为\s?(\S+)(?:。|$)",
+    ]),
+    (False, [
+        r"(?i)ANSWER\s*:\s*([OPT])",
+        r"[Tt]he answer is:?\s+\(?([OPT])\)?",
+        r"[Tt]he answer is:?\s+\(?\*?\*?([OPT])\*?\*?\)?",
+        r"[Tt]he answer is option:?\s+\(?([OPT])\)?",
+        r"[Tt]he correct answer is:?\s+\(?([OPT])\)?",
+        r"[Tt]he correct answer is option:?\s+\(?([OPT])\)?",
+        r"[Tt]he correct answer is:?.*?boxed\{([OPT])\}",
+        r"[Tt]he correct option is:?.*?boxed\{([OPT])\}",
+        r"[Tt]he correct answer option is:?.*?boxed\{([OPT])\}",
+        r"[Tt]he answer to the question is:?\s+\(?([OPT])\)?",
+    ]),
+    (True, [
+        r"^选项\s?([OPT])",
+        r"^([OPT])\s?选?项",
+    ]),
+    (False, [
+        r"((?:\s|^)[OPT][\s。，,：:\.$])",
+        r"1.\s?(.+?)$",
+        r"(1.\s?)$",
+        r"1.\s?([OPT])[.。$]?$",
+    ]),
 ]
 OPTION_FALLBACKS = [r"([OPT]):", r"([OPT])"]
+CJK = r"[\x{3000}-\x{303f}\x{4e00}-\x{9fff}\x{ff00}-\x{ffef}]"
 
 
 def first_option(options: str = "ABCD", cushion: bool = True) -> Rule:
     """First wording that names an option wins; '' when none does.
 
-    Inside the matched text the options are looked up in their listed order.
+    Inside the matched text the first listed option counts. A text without any
+    option letter, or without CJK characters, skips the wordings that need them.
     """
-    wordings = OPTION_WORDINGS + (OPTION_FALLBACKS if cushion else [])
+    groups = OPTION_WORDINGS + ([(False, OPTION_FALLBACKS)] if cushion else [])
 
     def rule(text: Column) -> Column:
         trimmed = F.trim(text)
 
         def named(pattern: str) -> Column:
             hit = F.regexp_extract(trimmed, "(?s)" + pattern.replace("OPT", options), 1)
-            choice = F.lit(None).cast("string")
-            for letter in reversed(options):
-                choice = F.when(F.contains(hit, F.lit(letter)), F.lit(letter)).otherwise(choice)
-            return choice
+            return F.array_min(F.regexp_extract_all(hit, F.lit(f"[{options}]"), F.lit(0)))
 
-        # one coalesce stops at the first hit; a text without any option letter skips all patterns
-        any_option = F.regexp_like(trimmed, F.lit(f"(?i)[{options}]"))
-        return F.coalesce(F.when(any_option, F.coalesce(*[named(p) for p in wordings])), F.lit(""))
+        has_cjk = F.regexp_like(trimmed, F.lit(CJK))
+        tries = []
+        for needs_cjk, patterns in groups:
+            found = F.coalesce(*[named(p) for p in patterns])
+            tries.append(F.when(has_cjk, found) if needs_cjk else found)
+        any_option = F.regexp_like(trimmed, F.lit(f"[{options}]"))
+        return F.when(any_option, F.coalesce(*tries, F.lit(""))).otherwise("")
 
     return rule
 
@@ -160,30 +177,47 @@ def last_number(text: Column) -> Column:
     return F.coalesce(stated, last_of(found), F.lit("NULL"))
 
 
+def _balanced(depth: int) -> str:
+    """Pattern of a text with balanced braces down to ``depth`` nested levels."""
+    inner = r"[^{}]*"
+    for _ in range(depth):
+        inner = r"[^{}]*+(?:\{" + inner + r"\}[^{}]*+)*+"
+    return inner
+
+
+def _to_closing_brace(tail: Column) -> Column:
+    """Inside of the brace group that opens ``tail``, any depth: a running brace count."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        depth = acc["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+        at = acc["at"] + 1
+        closes = (acc["end"] == 0) & (ch == "}") & (depth == 0)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(closes, at).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(F.split(tail, ""), start, step)["end"]
+    return let(end, lambda e: F.when(e > 0, F.substr(tail, F.lit(2), e - 2)))
+
+
 def last_boxed(text: Column) -> Column:
-    r"""Content of the last ``\boxed{...}`` (else ``\fbox``) with balanced braces; null when unclosed."""
+    r"""Content of the last ``\boxed{...}`` (else ``\fbox``) with balanced braces; null when unclosed.
+
+    A pattern covers three nested levels; only deeper texts count braces.
+    """
+    group = r"(?s)^\{(" + _balanced(3) + r")\}"
 
     def content(marker: str) -> Column:
-        tail = F.substring_index(text, marker, -1)
-        start = F.struct(
-            F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")
-        )
+        def inside(tail: Column) -> Column:
+            shallow = first_match(tail, group)
+            deep = F.when(tail.startswith("{") & F.contains(tail, F.lit("}")), _to_closing_brace(tail))
+            return F.coalesce(shallow, deep)
 
-        def step(acc: Column, ch: Column) -> Column:
-            depth = acc["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-            at = acc["at"] + 1
-            closes = (acc["end"] == 0) & (ch == "}") & (depth == 0)
-            return F.struct(
-                depth.alias("depth"), at.alias("at"), F.when(closes, at).otherwise(acc["end"]).alias("end")
-            )
-
-        end = F.aggregate(F.split(tail, ""), start, step)["end"]
-        return F.when(
-            F.contains(text, F.lit(marker)) & tail.startswith("{") & (end > 0),
-            F.substr(tail, F.lit(2), end - 2),
-        )
+        return let(F.substring_index(text, marker, -1), inside)
 
-    return F.when(F.contains(text, F.lit("\\boxed")), content("\\boxed")).otherwise(content("\\fbox"))
+    return (
+        F.when(F.contains(text, F.lit("\\boxed")), content("\\boxed"))
+        .when(F.contains(text, F.lit("\\fbox")), content("\\fbox"))
+    )
 
 
 # fixed values: replacements, dropped expressions and unwrapped commands of final-answer clean-up
@@ -201,7 +235,11 @@ FINAL_DROP = [
 FINAL_UNWRAP = [
     r"\\text\{\((.*?)\)\}", r"\\text\{(.*?)\}", r"\\textbf\{(.*?)\}", r"\\overline\{(.*?)\}", r"\\boxed\{(.*)\}",
 ]
-FINAL_MARKERS = [r"finalansweris(.*)", r"answer?is:?(.*)", r"oxed\{(.*?)\}", r"\$(.*?)\$"]
+# what follows the first marker, or the last boxed or dollar-quoted part, replaces the text
+FINAL_MARKERS = [
+    r"(?s)^.*?finalansweris(.*)$", r"(?s)^.*?answer?is:?(.*)$",
+    r"(?s)^(?:.*?oxed\{(.*?)\})+.*$", r"(?s)^(?:.*?\$(.*?)\$)+.*$",
+]
 
 
 def final_normalise(text: Column) -> Column:
@@ -210,33 +248,35 @@ def final_normalise(text: Column) -> Column:
         text = F.replace(text, F.lit(old), F.lit(new))
     for old in FINAL_DROP:
         text = F.replace(text, F.lit(old), F.lit(""))
-    for pattern in FINAL_UNWRAP:
+    for pattern in [*FINAL_UNWRAP, *FINAL_MARKERS]:
         text = F.regexp_replace(text, pattern, "$1")
-    for pattern in FINAL_MARKERS:
-        text = F.coalesce(last_of(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), text)
-    text = F.trim(text)
-    text = F.when(
-        F.contains(text, F.lit("rac")) & ~F.contains(text, F.lit("\\frac")),
-        F.replace(text, F.lit("rac"), F.lit("\\frac")),
-    ).otherwise(text)
+
+    def fraction(t: Column) -> Column:
+        bare = F.contains(t, F.lit("rac")) & ~F.contains(t, F.lit("\\frac"))
+        return F.when(bare, F.replace(t, F.lit("rac"), F.lit("\\frac"))).otherwise(t)
+
+    def number(t: Column) -> Column:
+        return F.when(F.regexp_like(t, F.lit(r"^,*\d[\d,]*$")), F.replace(t, F.lit(","), F.lit(""))).otherwise(t)
+
+    text = let(F.trim(text), fraction)
     text = F.regexp_replace(text, r"frac([^{])(.)", r"frac{$1}{$2}")
     text = F.regexp_replace(text, r"sqrt([^{])", r"sqrt{$1}")
-    text = F.replace(text, F.lit("$"), F.lit(""))
-    bare = F.replace(text, F.lit(","), F.lit(""))
-    return F.when(F.regexp_like(bare, F.lit(r"^\d+$")), bare).otherwise(text)
+    return let(F.replace(text, F.lit("$"), F.lit("")), number)
 
 
 def answer_sentence(text: Column) -> Column:
     """First sentence that announces the answer, else the first sentence."""
-    sentences = F.split(text, r"\.")
-    marked = F.filter(sentences, lambda s: F.regexp_like(F.lower(s), F.lit("final answer|answer is")))
-    return F.coalesce(F.try_element_at(marked, F.lit(1)), F.element_at(sentences, 1))
+
+    def pick(sentences: Column) -> Column:
+        marked = F.filter(sentences, lambda s: F.regexp_like(F.lower(s), F.lit("final answer|answer is")))
+        return F.coalesce(F.try_element_at(marked, F.lit(1)), F.element_at(sentences, 1))
+
+    return let(F.split(text, r"\."), pick)
 
 
 def final_answer(text: Column) -> Column:
-    boxed = last_boxed(text)
-    inner = F.coalesce(first_match(boxed, r"(?s)^\{(.*)\}$"), boxed)
-    return F.coalesce(F.nullif(inner, F.lit("")), final_normalise(answer_sentence(text)))
+    boxed = let(last_boxed(text), lambda b: F.nullif(F.regexp_replace(b, r"(?s)^\{(.*)\}$", "$1"), F.lit("")))
+    return F.coalesce(boxed, final_normalise(answer_sentence(text)))
 
 
 def _after_answer_is(text: Column) -> Column:

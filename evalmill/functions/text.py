@@ -12,6 +12,11 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 WORD = r"[\p{L}\p{N}]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for rules that mention it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 

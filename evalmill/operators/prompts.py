@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.operators.ordering import running, smallest
+from evalmill.session import pin
 
 
 # --- ids, replicas, slices, samples ---------------------------------------------------------------
@@ -206,7 +207,8 @@ def fed_back_histories(conv: DataFrame, answer, turns: Sequence[int]) -> DataFra
         due = done.filter((F.col("turn") == turn) & (F.col("role") == "assistant")).select("conv_id")
         said = answer(asked.join(due, "conv_id", "left_semi")).select("conv_id", F.col("text").alias("_said"))
         done = done.join(said.withColumn("turn", F.lit(turn).cast("bigint")), ["conv_id", "turn"], "left")
-        done = done.withColumn("text", F.coalesce("_said", "text")).drop("_said")
+        # each pass reads the last one twice, so it is written once instead of recomputed
+        done = pin(done.withColumn("text", F.coalesce("_said", "text")).drop("_said"))
     return done
 
 

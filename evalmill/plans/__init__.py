@@ -3,6 +3,10 @@
 from importlib import import_module
 
 MODULES = [
+    "sources",
+    "prompts",
+    "align",
+    "extract",
     "exact",
     "leaderboard",
 ]
