@@ -8,6 +8,7 @@ MODULES = [
     "align",
     "extract",
     "exact",
+    "overlap",
     "leaderboard",
 ]
 
