@@ -9,6 +9,8 @@ MODULES = [
     "extract",
     "exact",
     "overlap",
+    "samples",
+    "slices",
     "leaderboard",
 ]
 
