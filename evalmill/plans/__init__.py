@@ -11,6 +11,8 @@ MODULES = [
     "overlap",
     "samples",
     "slices",
+    "judge",
+    "ratings",
     "leaderboard",
 ]
 
