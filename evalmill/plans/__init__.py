@@ -13,6 +13,8 @@ MODULES = [
     "slices",
     "judge",
     "ratings",
+    "retrieve",
+    "sequences",
     "leaderboard",
 ]
 
