@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalmill.functions import extract as E
 from evalmill.operators.ordering import running
 from evalmill.operators.overlap import bag_overlap, f1_of
+from evalmill.session import pin
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -25,8 +26,9 @@ def auc(df: DataFrame, by, score="p1", label="label"):
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) != 1).alias("neg"),
-        F.count_if((F.col("_s" if score == "_s" else score) > 0.5) == (F.col(label) == 1)).alias("right"),
+        F.count_if((F.col(score) > 0.5) == (F.col(label) == 1)).alias("right"),
     )
+    counts = pin(counts)
     ranked = running(counts, by, F.col("_s"), F.lit(0), {"below": F.col("neg")}, rank=None)
     pairs = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2))
     return ranked.groupBy(*by).agg(
@@ -123,14 +125,13 @@ def typed_entity_f1(df, by, key="item_id", pred="said", ref="gold"):
     predicting nothing where there is gold is an abstention.
     """
     shared = F.filter(F.map_keys(ref), lambda k: F.map_contains_key(F.col(pred), k))
-    pairs = df.select(*by, key, F.explode(shared).alias("type"), pred, ref)
-    bags = bag_overlap(
-        pairs.select(*by, key, "type", F.col(pred)[F.col("type")].alias("_p"), F.col(ref)[F.col("type")].alias("_r")),
-        [*by, key, "type"], characters(F.col("_p")), characters(F.col("_r")),
-    )
-    sums = bags.groupBy(*by, key).agg(F.sum(f1_of()).alias("hit"))
-    rows = df.select(*by, key, F.size(pred).alias("n_p"), F.size(ref).alias("n_r")).join(sums, [*by, key], "left")
-    hit = F.coalesce("hit", F.lit(0.0))
+    sizes = [F.size(pred).alias("n_p"), F.size(ref).alias("n_r")]
+    pairs = df.select(*by, key, *sizes, F.explode_outer(shared).alias("type"), pred, ref)
+    empty = F.array().cast("array<string>")
+    side = lambda c: F.coalesce(characters(F.col(c)[F.col("type")]), empty)
+    bags = bag_overlap(pairs, [*by, key, "n_p", "n_r", "type"], side(pred), side(ref))
+    rows = bags.groupBy(*by, key, "n_p", "n_r").agg(F.sum(f1_of()).alias("hit"))
+    hit = F.col("hit")
     precision, recall = _ratio(hit, F.col("n_p")), _ratio(hit, F.col("n_r"))
     score = F.when(F.col("n_r") == 0, (F.col("n_p") == 0).cast("double")).otherwise(
         2 * precision * recall / (precision + recall + 1e-10)
@@ -194,9 +195,8 @@ def table_f1(df, by, key="item_id", pred="prediction", ref="reference"):
             .otherwise(as_words(text))
         )
 
-    scores = bag_overlap(df, [*by, key], bag(p), bag(r)).select(*by, key, f1_of().alias("f"))
-    rows = df.select(*by, key).join(scores, [*by, key], "left")
-    return rows.groupBy(*by).agg((F.avg(F.coalesce("f", F.lit(0.0))) * 100).alias("score"))
+    rows = bag_overlap(df, [*by, key], bag(p), bag(r))
+    return rows.groupBy(*by).agg((F.avg(f1_of()) * 100).alias("score"))
 
 
 def regression_report(df, by, y="y", fitted="y_hat"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
 from evalmill.functions.text import first_match
-from evalmill.operators.overlap import bag_overlap, f1_of
+from evalmill.operators.overlap import bag_counts, bag_overlap, f1_of
 
 
 def share(flag: Column) -> Column:
@@ -80,24 +80,17 @@ def first_word_accuracy(df, by, pred="prediction", ref="reference"):
 def token_f1(df, by, key="pair_id", pred="prediction", refs="refs"):
     """Best bag-of-words F1 over the references, and exact match, per slice."""
     rows = df.select(*by, key, F.col(pred).alias("_p"), F.posexplode(refs).alias("_ref", "_r"))
-    rows = rows.withColumn("_p", E.qa_normalise("_p")).withColumn("_r", E.qa_normalise("_r"))
-    best = _best_f1(rows, by, key)
-    exact = rows.groupBy(*by, key).agg(F.max((F.col("_p") == F.col("_r")).cast("int")).alias("em"))
-    joined = exact.join(best, [*by, key], "left")
-    return joined.groupBy(*by).agg(
-        (F.avg(F.coalesce("f1", F.lit(0.0))) * 100).alias("f1"), (F.avg("em") * 100).alias("em")
-    )
+    rows = rows.withColumn("_p", E.qa_normalise(F.col("_p"))).withColumn("_r", E.qa_normalise(F.col("_r")))
+    rows = rows.withColumn("_em", (F.col("_p") == F.col("_r")).cast("int"))
+    counts = bag_overlap(rows, [*by, key, "_ref", "_em"], _tokens(F.col("_p")), _tokens(F.col("_r")))
+    best = counts.groupBy(*by, key).agg(F.max(f1_of()).alias("f1"), F.max("_em").alias("em"))
+    return best.groupBy(*by).agg((F.avg("f1") * 100).alias("f1"), (F.avg("em") * 100).alias("em"))
 
 
 def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda t: t != "")
 
 
-def _best_f1(rows, by, key):
-    counts = bag_overlap(rows, [*by, key, "_ref"], _tokens(F.col("_p")), _tokens(F.col("_r")))
-    return counts.groupBy(*by, key).agg(F.max(f1_of()).alias("f1"))
-
-
 # fixed values: words that do not count as keywords
 STOP_WORDS_EN = (
     "and to of in her was with for it from is that his he by she they or at because be on are their what as had "
@@ -107,19 +100,15 @@ STOP_WORDS_EN = (
 
 def gated_f1(df, by, key="pair_id", pred="prediction", ref="reference", keyword="keyword", floor=0.2):
     """Token F1 on the first reference, 0 unless enough of the keyword's words are in the prediction."""
-    rows = df.withColumn("_p", _tokens(E.qa_normalise(F.col(pred))))
-    rows = rows.withColumn("_r", _tokens(E.qa_normalise(F.col(ref))))
-    rows = rows.withColumn("_k", _tokens(E.qa_normalise(F.col(keyword))))
-    f1 = bag_overlap(rows, [*by, key], F.col("_p"), F.col("_r")).select(*by, key, f1_of().alias("f1"))
-    content = F.filter("_p", lambda t: ~t.isin(STOP_WORDS_EN))
-    recall = bag_overlap(rows, [*by, key], content, F.col("_k")).select(
-        *by, key, (F.col("both") / F.nullif("n_b", F.lit(0))).alias("recall")
+    bag = lambda c: _tokens(E.qa_normalise(F.col(c)))
+    counts = bag_counts(df, [*by, key], {"p": bag(pred), "r": bag(ref), "k": bag(keyword)})
+    content = F.when(~F.col("t").isin(STOP_WORDS_EN), F.least("p", "k")).otherwise(0)
+    rows = counts.groupBy(*by, key).agg(
+        F.sum(F.least("p", "r")).alias("both"), F.sum("p").alias("n_a"), F.sum("r").alias("n_b"),
+        (F.sum(content) / F.nullif(F.sum("k"), F.lit(0))).alias("recall"),
     )
-    joined = rows.select(*by, key).join(f1, [*by, key], "left").join(recall, [*by, key], "left")
     passed = F.col("recall").isNull() | (F.col("recall") >= floor)
-    return joined.groupBy(*by).agg(
-        (F.avg(F.when(passed, F.coalesce("f1", F.lit(0.0))).otherwise(0.0)) * 100).alias("f1")
-    )
+    return rows.groupBy(*by).agg((F.avg(F.when(passed, f1_of()).otherwise(0.0)) * 100).alias("f1"))
 
 
 def numeric_accuracy(df, by, pred="prediction", ref="reference", tolerance=1e-3):
@@ -133,19 +122,23 @@ def within_limits(df, by, pred="prediction", lower="lower", upper="upper"):
     return mean_score(df, by, share(value.between(F.col(lower), F.col(upper))), "accuracy")
 
 
-# fixed values: TeX clean-up of a math string before comparing, in this order (regex, replacement)
-MATH_CLEANUP = [
-    (r"\n", ""), (r"\\!", ""), (r"\\\\", r"\\"), ("tfrac", "frac"), ("dfrac", "frac"), (r"\\left", ""),
-    (r"\\right", ""), (r"\^\{\\circ\}", ""), (r"\^\\circ", ""), (r"\\\$", ""), (r"\\%", ""), ("%", ""),
-    (r" \.", " 0."), (r"\{\.", "{0."), (r"\\text\{ .*$", ""), (r"^\.", "0."), (r"^[a-z]=", ""),
-    (r"\\sqrt([^{])", r"\\sqrt{$1}"), (" ", ""), (r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"),
-    (r"\\frac([^{])\{", r"\\frac{$1}{"), (r"^0\.5$", r"\\frac{1}{2}"), (r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}"),
+# fixed values: TeX clean-up of a math string before comparing; plain replacements, then patterns, in this order
+MATH_PLAIN = [
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
+    ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0."),
+]
+MATH_PATTERNS = [
+    (r"\\text\{ .*$", ""), (r"^\.", "0."), (r"^[a-z]=", ""), (r"\\sqrt([^{])", r"\\sqrt{$1}"), (" ", ""),
+    (r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), (r"\\frac([^{])\{", r"\\frac{$1}{"), (r"^0\.5$", r"\\frac{1}{2}"),
+    (r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}"),
 ]
 
 
 def math_string(text: Column) -> Column:
-    for pattern, new in MATH_CLEANUP:
-        text = F.regexp_replace(text, pattern, new)
+    for old, new in MATH_PLAIN:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    for pattern, new in MATH_PATTERNS:
+        text = F.replace(text, F.lit(pattern), F.lit(new)) if pattern == " " else F.regexp_replace(text, pattern, new)
     return text
 
 

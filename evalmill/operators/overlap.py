@@ -11,19 +11,26 @@ from pyspark.sql import functions as F
 from evalmill.functions.text import ngrams, words
 
 
-def bag_overlap(df: DataFrame, keys: Sequence[str], a: Column, b: Column) -> DataFrame:
-    """Multiset overlap ``both`` and sizes ``n_a``, ``n_b`` of two token arrays per key.
+def bag_counts(df: DataFrame, keys: Sequence[str], bags: dict[str, Column]) -> DataFrame:
+    """How often each token ``t`` is in each bag (token array) of a key.
 
-    Both bags of a row are exploded together, so counting needs no join and
-    Spark combines a row's repeated tokens before the shuffle.
+    All bags of a row are exploded together, so counting needs no join and
+    Spark combines a row's repeated tokens before the shuffle. Every key also
+    has a null token with zero counts, so rows without tokens stay.
     """
-    tagged = F.concat(
-        F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-        F.transform(b, lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
-    )
-    tokens = df.select(*keys, F.explode(tagged).alias("_x")).select(*keys, "_x.*")
-    counts = tokens.groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return counts.groupBy(*keys).agg(
+
+    def tagged(tokens: Column, which: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(which).alias("which")))
+
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(-1).alias("which")))
+    every = F.concat(nothing, *[tagged(c, i) for i, c in enumerate(bags.values())])
+    tokens = df.select(*keys, F.explode(every).alias("_x")).select(*keys, "_x.*")
+    return tokens.groupBy(*keys, "t").agg(*[F.count_if(F.col("which") == i).alias(n) for i, n in enumerate(bags)])
+
+
+def bag_overlap(df: DataFrame, keys: Sequence[str], a: Column, b: Column) -> DataFrame:
+    """Multiset overlap ``both`` and sizes ``n_a``, ``n_b`` of two token arrays per key."""
+    return bag_counts(df, keys, {"a": a, "b": b}).groupBy(*keys).agg(
         F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b")
     )
 
@@ -52,7 +59,8 @@ def ngram_overlap(
 
     empty = F.array().cast("array<string>")
     sides = [side(pred, 0)] + [side(F.coalesce(F.get(refs, F.lit(i)), empty), i + 1) for i in range(n_refs)]
-    grams = df.select(*keys, F.explode(F.concat(*sides)).alias("_x")).select(*keys, "_x.*")
+    none = [F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("t"), F.lit(-1).alias("side")) for n in orders]
+    grams = df.select(*keys, F.explode(F.concat(F.array(*none), *sides)).alias("_x")).select(*keys, "_x.*")
     counts = grams.groupBy(*keys, "n", "t").agg(*[F.count_if(F.col("side") == i).alias(f"c{i}") for i in range(n_refs + 1)])
     best = F.greatest(*[F.col(f"c{i + 1}") for i in range(n_refs)]) if n_refs > 1 else F.col("c1")
     return counts.groupBy(*keys, "n").agg(
@@ -65,12 +73,7 @@ def rouge_n(df, by, key="pair_id", pred="prediction", ref="reference", orders=(1
     rows = df.select(*by, key, words(F.col(pred)).alias("_p"), words(F.col(ref)).alias("_r"))
     counts = ngram_overlap(rows, [*by, key], F.col("_p"), F.array("_r"), 1, orders)
     f1 = F.when(F.col("matched") > 0, 2.0 * F.col("matched") / (F.col("n_pred") + F.col("n_ref"))).otherwise(0.0)
-    # rows without any n-gram still count in the mean, with 0
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    sums = counts.groupBy(*by).agg(*[F.sum(F.when(F.col("n") == n, f1)).alias(f"_s{n}") for n in orders])
-    return totals.join(sums, list(by), "left").select(
-        *by, *[(F.coalesce(F.col(f"_s{n}"), F.lit(0.0)) / F.col("_rows") * 100).alias(f"rouge{n}") for n in orders]
-    )
+    return counts.groupBy(*by).agg(*[(F.avg(F.when(F.col("n") == n, f1)) * 100).alias(f"rouge{n}") for n in orders])
 
 
 def _lcs(a: list, b: list) -> int:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evalmill.operators.ordering import top_k
 from evalmill.operators.retrieve import dense_index, draw_distinct
 from evalmill.operators.sequences import uniform
+from evalmill.session import pin
 
 
 def in_hash_order(items: Column, seed: int, *keys) -> Column:
@@ -199,7 +200,8 @@ def draw_words(items: DataFrame, vocabulary: DataFrame, n: int, seed: int = 0) -
 def word_vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Distinct words with a dense ``idx`` in hash order."""
     words = docs.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
-    return dense_index(words.withColumn("_h", F.xxhash64("word")), "_h").select("idx", "word")
+    # numbering reads its input several times, so the distinct words are written once
+    return dense_index(pin(words.withColumn("_h", F.xxhash64("word"))), "_h").select("idx", "word")
 
 
 def common_words(items: DataFrame, vocabulary: DataFrame, n_words: int = 40, common: int = 10, often: int = 30, rarely: int = 3, seed: int = 0) -> DataFrame:

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalmill.session import spread
+
+# tables of long texts: most of their work is done inside the row
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,7 +23,12 @@ class Tables:
         self.path = path.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
+
+    def wide(self, name: str) -> DataFrame:
+        """A derived table on every core, for queries that do much work per row."""
+        return spread(getattr(self, name))
 
     def __getattr__(self, name: str) -> DataFrame:
         from evalmill.plans.fixtures import DERIVED

@@ -26,7 +26,7 @@ def _(t: Tables):
 SELECT model, category, round(avg(CASE WHEN {GENERAL('prediction')} IN ({GENERAL('gold')}, {GENERAL("'Choice ' || gold")}, gold, 'Choice ' || gold)
   THEN 100e0 ELSE 0e0 END), 6) AS exact_match FROM ev_scored GROUP BY model, category""")
 def _(t):
-    rows = t.ev_scored.withColumn("refs", F.array("gold", F.concat(F.lit("Choice "), "gold")))
+    rows = t.wide("ev_scored").withColumn("refs", F.array("gold", F.concat(F.lit("Choice "), "gold")))
     return round6(X.exact_match(rows, SLICE))
 
 
@@ -35,7 +35,7 @@ SELECT model, category, round(avg(CASE WHEN contains({SHORT('prediction')}, lowe
   OR contains({SHORT('prediction')}, lower({GENERAL("'Choice ' || gold")})) THEN 100e0 ELSE 0e0 END), 6) AS score
 FROM ev_scored GROUP BY model, category""")
 def _(t):
-    rows = t.ev_scored.withColumn("refs", F.array("gold", F.concat(F.lit("Choice "), "gold")))
+    rows = t.wide("ev_scored").withColumn("refs", F.array("gold", F.concat(F.lit("Choice "), "gold")))
     return round6(X.contained_answer(rows, SLICE))
 
 
@@ -43,7 +43,7 @@ def _(t):
 SELECT model, category, round(avg(CASE WHEN {SHORT('prediction')} = lower({GENERAL('gold')}) THEN 100e0 ELSE 0e0 END), 6) AS score
 FROM ev_scored GROUP BY model, category""")
 def _(t):
-    return round6(X.equal_answer(t.ev_scored.withColumn("refs", F.array("gold")), SLICE))
+    return round6(X.equal_answer(t.wide("ev_scored").withColumn("refs", F.array("gold")), SLICE))
 
 
 @query("f4_fuzzy_match", SCORED + f"""
@@ -52,14 +52,14 @@ def _(t):
 SELECT model, category, round(avg(CASE WHEN CASE WHEN p = '' OR r = '' THEN p = r ELSE contains(p, r) OR contains(r, p) END THEN 100e0 ELSE 0e0 END), 6) AS accuracy
 FROM s GROUP BY model, category""")
 def _(t):
-    return round6(X.fuzzy_match(t.ev_scored, SLICE, ref="gold"))
+    return round6(X.fuzzy_match(t.wide("ev_scored"), SLICE, ref="gold"))
 
 
 @query("f5_either_form_contained", SCORED + f"""
 SELECT model, category, round(avg(CASE WHEN contains({GENERAL('prediction')}, {GENERAL('gold')}) OR contains({GENERAL('prediction')}, gold)
   THEN 100e0 ELSE 0e0 END), 6) AS score FROM ev_scored GROUP BY model, category""")
 def _(t):
-    return round6(X.either_form_contained(t.ev_scored, SLICE, ref="gold"))
+    return round6(X.either_form_contained(t.wide("ev_scored"), SLICE, ref="gold"))
 
 
 @query("f6_first_word_accuracy", PAIRS + f"""
@@ -129,7 +129,7 @@ def _(t):
 SELECT model, round(avg(CASE WHEN item_id % 10 = pos % 10 THEN 100e0 ELSE 0e0 END), 6) AS accuracy FROM ev_predictions GROUP BY model""")
 def _(t):
     digit = lambda c: (F.col(c) % 10).cast("string")
-    rows = t.ev_predictions.withColumn(
+    rows = t.wide("ev_predictions").withColumn(
         "prediction", F.concat(F.lit(r"x=\left\dfrac{1}{"), digit("item_id"), F.lit("}^\\circ"))
     ).withColumn("reference", F.concat(F.lit(r"\tfrac{1} {"), digit("pos"), F.lit("}")))
     return round6(X.math_accuracy(rows, ["model"]))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from evalmill.functions import extract as E
 from evalmill.plans.catalog import query
 from evalmill.plans.fixtures import with_tables
-from evalmill.plans.sql import GENERAL, QA_NORM, round6
+from evalmill.plans.sql import GENERAL, QA_NORM
 
 PREDS = with_tables("ev_predictions")
 KEYS = ["model", "item_id", "pos"]
 
 
 def on_predictions(t, rule, text=None):
-    rows = t.ev_predictions if text is None else t.ev_predictions.withColumn("prediction", text)
+    rows = t.wide("ev_predictions") if text is None else t.wide("ev_predictions").withColumn("prediction", text)
     return E.extract(rows.drop("answer"), rule).select(*KEYS, "answer")
 
 
@@ -49,7 +49,7 @@ def _(t):
  "CASE WHEN pos % 5 = 0 THEN '答案选 ' || answer || '。' ELSE prediction END"))
 def _(t):
     text = F.when(F.col("pos") % 5 == 0, F.concat(F.lit("答案选 "), "answer", F.lit("。"))).otherwise(F.col("prediction"))
-    rows = t.ev_predictions.withColumn("prediction", text).drop("answer")
+    rows = t.wide("ev_predictions").withColumn("prediction", text).drop("answer")
     return E.extract(rows, E.first_option("ABCD")).select(*KEYS, "answer")
 
 
@@ -66,9 +66,9 @@ def _(t):
     return on_predictions(t, E.last_number, F.concat("prediction", stated, F.lit(" Question: 99")))
 
 
-@query("e4_first_number", DOC_SQL(r"round(TRY_CAST(nullif(regexp_extract(x, '-?\d*\.?\d+'), '') AS DOUBLE), 6)"))
+@query("e4_first_number", DOC_SQL(r"TRY_CAST(nullif(regexp_extract(x, '-?\d*\.?\d+'), '') AS DOUBLE)"))
 def _(t):
-    return round6(on_documents(t, E.first_number))
+    return on_documents(t, E.first_number)
 
 
 @query("e5_last_boxed", PRED_SQL("'\\frac{' || CAST(item_id AS VARCHAR) || '}{{' || model || '}}'"))
@@ -147,7 +147,7 @@ SELECT judge, item_id, model_a, model_b, nullif(regexp_extract(verdict_text, '\\
  CASE WHEN judge = 'j1' THEN 'B' WHEN judge = 'j2' THEN 'A' END AS winner FROM ev_judgements""")
 def _(t):
     number = F.substr("model_a", F.lit(2))
-    rows = t.ev_judgements
+    rows = t.wide("ev_judgements")
     texts = {
         "arena": F.col("verdict_text"),
         "choice": F.when(F.col("model_a") == "m6", "Choice: none").otherwise("Choice: B, clearly"),
@@ -169,7 +169,7 @@ def _(t):
         F.lit('```json\n[{"checklist_id": 0, "evaluation_score": '), score.cast("string"),
         F.lit('}, {"checklist_id": 1, "evaluation_score": 0.5}'), F.when(F.col("judge") == "j2", "").otherwise("]"), F.lit("\n```"),
     )
-    rows = E.extract(t.ev_judgements.withColumn("verdict_text", text), E.checklist_scores(2), "verdict_text", "scores")
+    rows = E.extract(t.wide("ev_judgements").withColumn("verdict_text", text), E.checklist_scores(2), "verdict_text", "scores")
     listed = F.concat(F.lit("["), F.array_join(F.transform("scores", lambda s: F.format_string("%.2f", s)), ","), F.lit("]"))
     return rows.select("judge", "item_id", "model_a", "model_b", F.when(F.col("scores").isNotNull(), listed).alias("scores"))
 
@@ -189,7 +189,7 @@ def entities(t):
         F.lit("priority:"), F.when(F.col("item_id") % 3 == 0, "无").otherwise(F.col("category")),
         F.lit("\nstatus: "), F.when(F.col("item_id") % 4 == 0, "未提及").otherwise("F"), F.lit(" \nend"),
     )
-    return t.ev_items.select(
+    return t.wide("ev_items").select(
         "item_id", E.gold_entities(gold).alias("gold"), E.predicted_entities(["priority", "status"])(said).alias("said")
     )
 
@@ -204,7 +204,7 @@ def _(t):
 z AS (SELECT model, item_id, list_transform(xs, lambda x: regexp_extract(trim(regexp_replace(x, '(?s)<think>.*?</think>', '', 'g')), '[A-D]+')) AS a FROM s)
 SELECT model, item_id, a[1] || '|' || a[2] AS answer FROM z""")
 def _(t):
-    rows = t.ev_predictions.withColumn(
+    rows = t.wide("ev_predictions").withColumn(
         "prediction", F.array("prediction", F.concat(F.lit("<think>A</think> "), "answer"))
     ).drop("answer")
     out = E.extract(rows, E.chain(E.strip_reasoning(), E.first_run))

@@ -223,7 +223,8 @@ SELECT model, round(avg(f) * 100, 6) AS score FROM s GROUP BY model""")
 def _(t):
     kind = (F.col("item_id") % 4).cast("int")
     table = lambda letter: F.concat(F.lit("| name | letter |\n|---|---|\n| x | 1 |\n| Y | "), F.col(letter), F.lit(" |"))
-    rows = t.ev_scored.withColumn("key", F.monotonically_increasing_id()).select(
+    keyed = t.wide("ev_scored").withColumn("key", F.monotonically_increasing_id())
+    rows = keyed.select(
         "model", F.col("key").alias("item_id"),
         F.when(kind == 0, table("answer"))
         .when(kind == 1, F.concat(F.lit("b , "), "answer"))

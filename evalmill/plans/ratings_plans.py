@@ -50,7 +50,7 @@ def in_order(t):
 
 @query("g24_online_elo")
 def _(t):
-    return R.online_elo(in_order(t), ["category"], "item_id", "tie", chunk=20_000)
+    return R.online_elo(in_order(t), ["category"], "item_id", "tie", chunk=100_000)
 
 
 @query("g24_bootstrap_elo")

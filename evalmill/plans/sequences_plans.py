@@ -13,7 +13,7 @@ from evalmill.operators import synthetic as Y
 from evalmill.plans.catalog import query
 from evalmill.plans.fixtures import with_tables
 from evalmill.plans.sql import round6
-from evalmill.session import scratch_path
+from evalmill.session import pin, scratch_path
 from evalmill.streaming import scoring as S
 
 # own tokens: the hash of a word, below the mask token's id
@@ -132,14 +132,18 @@ def _(t):
     return Y.variable_chains(short_items(t), "The grass is green.", 40, chains=2)
 
 
+def vocabulary(t):
+    return pin(Y.word_vocabulary(word_docs(t)))
+
+
 @query("h12_common_words")
 def _(t):
-    return Y.common_words(short_items(t), Y.word_vocabulary(word_docs(t)))
+    return Y.common_words(short_items(t), vocabulary(t))
 
 
 @query("h12_frequent_words")
 def _(t):
-    return Y.frequent_words(short_items(t), Y.word_vocabulary(word_docs(t)))
+    return Y.frequent_words(short_items(t), vocabulary(t))
 
 
 @query("h13_distractor_qa")

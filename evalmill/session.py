@@ -43,6 +43,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/evalmill/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table kept in fewer pieces than there are cores; others stay as they are.
+
+    A file with one row group is one task, whatever its size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
