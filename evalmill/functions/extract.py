@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.functions.text import PUNCTUATION, drop_articles, first_match, last_of, let
+from evalmill.functions.text import PUNCTUATION, drop_articles, first_match, last_of, let, strip
 
 Rule = Callable[[Column], Column]
 
@@ -139,7 +139,7 @@ def first_option(options: str = "ABCD", cushion: bool = True) -> Rule:
     groups = OPTION_WORDINGS + ([(False, OPTION_FALLBACKS)] if cushion else [])
 
     def rule(text: Column) -> Column:
-        trimmed = F.trim(text)
+        trimmed = strip(text)
 
         def named(pattern: str) -> Column:
             hit = F.regexp_extract(trimmed, "(?s)" + pattern.replace("OPT", options), 1)
@@ -258,7 +258,7 @@ def final_normalise(text: Column) -> Column:
     def number(t: Column) -> Column:
         return F.when(F.regexp_like(t, F.lit(r"^,*\d[\d,]*$")), F.replace(t, F.lit(","), F.lit(""))).otherwise(t)
 
-    text = let(F.trim(text), fraction)
+    text = let(strip(text), fraction)
     text = F.regexp_replace(text, r"frac([^{])(.)", r"frac{$1}{$2}")
     text = F.regexp_replace(text, r"sqrt([^{])", r"sqrt{$1}")
     return let(F.replace(text, F.lit("$"), F.lit("")), number)
@@ -281,7 +281,7 @@ def final_answer(text: Column) -> Column:
 
 def _after_answer_is(text: Column) -> Column:
     part = F.try_element_at(F.split(text, "answer is "), F.lit(2))
-    return F.coalesce(F.trim(part), text)
+    return F.coalesce(strip(part), text)
 
 
 def answer_choice(text: Column) -> Column:
@@ -290,15 +290,15 @@ def answer_choice(text: Column) -> Column:
 
 
 def answer_freeform(text: Column) -> Column:
-    line = F.trim(F.element_at(F.split(_after_answer_is(text), "\n"), 1))
-    line = F.when(line.endswith("."), F.trim(F.regexp_replace(line, r"\.$", ""))).otherwise(line)
+    line = strip(F.element_at(F.split(_after_answer_is(text), "\n"), 1))
+    line = F.when(line.endswith("."), strip(F.regexp_replace(line, r"\.$", ""))).otherwise(line)
     return F.coalesce(first_match(line, r"\*\*(.*?)\*\*"), line)
 
 
 def xml_tag(tag: str) -> Rule:
     name = re.escape(tag)
     return lambda text: F.coalesce(
-        F.trim(last_of(F.regexp_extract_all(text, F.lit(f"(?s)<{name}>(.*?)</{name}>"), F.lit(1)))),
+        strip(last_of(F.regexp_extract_all(text, F.lit(f"(?s)<{name}>(.*?)</{name}>"), F.lit(1)))),
         F.lit("NO ANSWER FOUND"),
     )
 
@@ -308,7 +308,7 @@ def strip_reasoning(start: str = "<think>", end: str = "</think>") -> Rule:
 
     def rule(text: Column) -> Column:
         only_end = ~F.contains(text, F.lit(start)) & F.contains(text, F.lit(end))
-        return F.trim(F.when(only_end, F.substring_index(text, end, -1)).otherwise(F.regexp_replace(text, block, "")))
+        return strip(F.when(only_end, F.substring_index(text, end, -1)).otherwise(F.regexp_replace(text, block, "")))
 
     return rule
 
@@ -316,7 +316,7 @@ def strip_reasoning(start: str = "<think>", end: str = "</think>") -> Rule:
 def regex_group(pattern: str, empty_if_missing: bool = False) -> Rule:
     def rule(text: Column) -> Column:
         missing = F.lit("") if empty_if_missing else text
-        return F.coalesce(F.trim(first_match(text, pattern)), missing)
+        return F.coalesce(strip(first_match(text, pattern)), missing)
 
     return rule
 
@@ -397,7 +397,7 @@ def predicted_entities(types: Sequence[str]) -> Rule:
     def rule(text: Column) -> Column:
         found = F.map_from_arrays(
             F.array(*[F.lit(t) for t in types]),
-            F.array(*[F.trim(F.regexp_extract(text, f"{re.escape(t)}:([^\n]*)", 1)) for t in types]),
+            F.array(*[strip(F.regexp_extract(text, f"{re.escape(t)}:([^\n]*)", 1)) for t in types]),
         )
         return F.map_filter(found, lambda _, v: (v != "") & ~v.isin(ENTITY_ABSENT))
 

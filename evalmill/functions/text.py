@@ -17,6 +17,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def strip(text) -> Column:
+    """Text without white space (also line breaks) at either end."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
+from evalmill.functions.text import strip
 from evalmill.operators.ordering import running
 from evalmill.operators.overlap import bag_overlap, f1_of
 from evalmill.session import pin
@@ -168,7 +169,7 @@ def table_cells(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda l: F.contains(l, F.lit("|")) & ~F.regexp_like(l, F.lit(r"^[\s|:-]+$")))
     return F.transform(
         lines,
-        lambda l: F.array_join(F.transform(F.split(F.regexp_replace(F.trim(l), r"^\||\|$", ""), r"\|"), lambda c: F.lower(F.trim(c))), "|"),
+        lambda l: F.array_join(F.transform(F.split(F.regexp_replace(strip(l), r"^\||\|$", ""), r"\|"), lambda c: F.lower(strip(c))), "|"),
     )
 
 
@@ -177,7 +178,7 @@ def table_f1(df, by, key="item_id", pred="prediction", ref="reference"):
     p, r = F.col(pred), F.col(ref)
 
     def as_set(text: Column) -> Column:
-        return F.array_distinct(F.transform(F.split(text, ","), lambda x: F.trim(x)))
+        return F.array_distinct(F.transform(F.split(text, ","), lambda x: strip(x)))
 
     def as_number(text: Column) -> Column:
         return F.array(text.try_cast("double").cast("string"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
-from evalmill.functions.text import first_match
+from evalmill.functions.text import first_match, strip
 from evalmill.operators.overlap import bag_counts, bag_overlap, f1_of
 
 
@@ -38,7 +38,7 @@ def exact_match(df, by, pred="prediction", refs="refs"):
 
 def short_answer(text: Column) -> Column:
     """First line, lower case, after the last ``answer is``, cleaned."""
-    line = F.lower(F.substring_index(F.trim(text), "\n", 1))
+    line = F.lower(F.substring_index(strip(text), "\n", 1))
     return E.general(F.substring_index(line, "answer is", -1))
 
 
@@ -72,7 +72,7 @@ def either_form_contained(df, by, pred="prediction", ref="reference"):
 
 
 def first_word_accuracy(df, by, pred="prediction", ref="reference"):
-    word = F.substring_index(F.trim(pred), " ", 1)
+    word = F.substring_index(strip(pred), " ", 1)
     word = F.regexp_extract(word, r"^[^!-/:-@\[-`{-~]*", 0)
     return mean_score(df, by, share(E.general(word) == E.general(F.col(ref))), "accuracy")
 
@@ -160,7 +160,7 @@ def nearest_candidate(df, by, key="item_id", pred="prediction", candidates="cand
 
 def match_option(pred: Column, options: dict[str, Column]) -> Column:
     """Letter; else wording; else the only option text contained; else the nearest text."""
-    pred = F.trim(pred)
+    pred = strip(pred)
     letters = "".join(options)
     exact = F.when(pred.isin(list(options)), pred)
     worded = F.nullif(E.first_option(letters, cushion=False)(pred), F.lit(""))

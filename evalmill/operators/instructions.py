@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.functions.text import let
+from evalmill.functions.text import let, strip
 
 # a verifier takes the response and its arguments (map<string,string>)
 Verifier = Callable[[Column, Column], Column]
@@ -32,7 +32,7 @@ def _word_in(text: Column, word: Column) -> Column:
 
 
 def _parts(text: Column, pattern: str) -> Column:
-    return F.filter(F.split(text, pattern), lambda p: F.trim(p) != "")
+    return F.filter(F.split(text, pattern), lambda p: strip(p) != "")
 
 
 VERIFIERS: dict[str, Verifier] = {
@@ -52,14 +52,14 @@ VERIFIERS: dict[str, Verifier] = {
     "length_constraints:nth_paragraph_first_word": lambda x, kw: let(
         _parts(x, "\n\n"),
         lambda p: (F.size(p) == kw["num"].cast("int"))
-        & F.lower(F.trim(F.get(p, kw["nth"].cast("int") - 1))).startswith(F.lower(kw["first_word"])),
+        & F.lower(strip(F.get(p, kw["nth"].cast("int") - 1))).startswith(F.lower(kw["first_word"])),
     ),
     "detectable_content:number_placeholders": lambda x, kw: F.regexp_count(x, F.lit(r"(?s)\[.*?\]")) >= kw["num"].cast("int"),
     "detectable_content:postscript": lambda x, kw: F.contains(F.lower(x), F.lower(kw["marker"])),
     "detectable_format:number_bullet_lists": lambda x, kw: F.regexp_count(x, F.lit(r"(?m)^\s*\*[^*\n].*$|^\s*-.*$"))
     == kw["num"].cast("int"),
     "detectable_format:constrained_response": lambda x, kw: F.exists(
-        _listed(kw, "options"), lambda o: F.contains(F.trim(x), o)
+        _listed(kw, "options"), lambda o: F.contains(strip(x), o)
     ),
     "detectable_format:number_highlighted_sections": lambda x, kw: F.regexp_count(
         x, F.lit(r"\*\*[^\n*]*[^\n*\s][^\n*]*\*\*|\*[^\n*]*[^\n*\s][^\n*]*\*")
@@ -70,15 +70,15 @@ VERIFIERS: dict[str, Verifier] = {
     )
     >= kw["num"].cast("int"),
     "detectable_format:json_format": lambda x, kw: F.get_json_object(
-        F.regexp_replace(F.trim(x), r"^```(?:json|Json|JSON)?|```$", ""), "$"
+        F.regexp_replace(strip(x), r"^```(?:json|Json|JSON)?|```$", ""), "$"
     ).isNotNull(),
     "detectable_format:title": lambda x, kw: F.regexp_like(x, F.lit(r"<<[^\n]*[^\s<>][^\n]*>>")),
     "combination:two_responses": lambda x, kw: let(
-        _parts(x, r"\*{6}"), lambda p: (F.size(p) == 2) & (F.trim(F.get(p, F.lit(0))) != F.trim(F.get(p, F.lit(1))))
+        _parts(x, r"\*{6}"), lambda p: (F.size(p) == 2) & (strip(F.get(p, F.lit(0))) != strip(F.get(p, F.lit(1))))
     ),
-    "combination:repeat_prompt": lambda x, kw: F.lower(F.trim(x)).startswith(F.lower(F.trim(kw["prompt"]))),
-    "startend:end_checker": lambda x, kw: F.lower(F.trim(F.regexp_replace(F.trim(x), '^"+|"+$', ""))).endswith(
-        F.lower(F.trim(kw["phrase"]))
+    "combination:repeat_prompt": lambda x, kw: F.lower(strip(x)).startswith(F.lower(strip(kw["prompt"]))),
+    "startend:end_checker": lambda x, kw: F.lower(strip(F.regexp_replace(strip(x), '^"+|"+$', ""))).endswith(
+        F.lower(strip(kw["phrase"]))
     ),
     "change_case:english_capital": lambda x, kw: (x == F.upper(x)) & (x != F.lower(x)),
     "change_case:english_lowercase": lambda x, kw: (x == F.lower(x)) & (x != F.upper(x)),
@@ -86,7 +86,7 @@ VERIFIERS: dict[str, Verifier] = {
         F.regexp_count(x, F.lit(r"(?<![\p{L}\p{N}])\p{Lu}[\p{Lu}\p{N}]*(?![\p{L}\p{N}])")), kw
     ),
     "punctuation:no_comma": lambda x, kw: ~F.contains(x, F.lit(",")),
-    "startend:quotation": lambda x, kw: (F.length(F.trim(x)) > 1) & F.trim(x).startswith('"') & F.trim(x).endswith('"'),
+    "startend:quotation": lambda x, kw: (F.length(strip(x)) > 1) & strip(x).startswith('"') & strip(x).endswith('"'),
 }
 
 
@@ -95,7 +95,7 @@ def variants(text: Column) -> Column:
 
     def build(lines: Column) -> Column:
         n = F.size(lines)
-        cut = lambda start, length: F.trim(F.array_join(F.slice(lines, start, F.greatest(length, F.lit(0))), "\n"))
+        cut = lambda start, length: strip(F.array_join(F.slice(lines, start, F.greatest(length, F.lit(0))), "\n"))
         bases = [text, cut(2, n - 1), cut(1, n - 1), cut(2, n - 2)]
         return F.array(*bases, *[F.replace(b, F.lit("*"), F.lit("")) for b in bases])
 
@@ -107,7 +107,7 @@ def followed(text: Column, instruction: Column, names: list[str] | None = None)
     check = F.lit(False)
     for name in names or list(VERIFIERS):
         check = F.when(instruction["id"] == name, VERIFIERS[name](text, instruction["kwargs"])).otherwise(check)
-    return (F.trim(text) != "") & F.coalesce(check, F.lit(False))
+    return (strip(text) != "") & F.coalesce(check, F.lit(False))
 
 
 def instruction_following(df: DataFrame, by, response="response", instructions="instructions", names: list[str] | None = None) -> DataFrame:

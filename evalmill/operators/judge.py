@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
+from evalmill.functions.text import strip
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -36,7 +37,7 @@ def grade_summary(df, by, grade="grade"):
 
 def judged_correct(text: Column) -> Column:
     """Judge text says A or starts with CORRECT."""
-    cleaned = F.upper(F.trim(text))
+    cleaned = F.upper(strip(text))
     return (cleaned == "A") | cleaned.startswith("CORRECT")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions.text import strip
 from evalmill.operators.exact import share
 from evalmill.operators.samples import majority_vote
 
@@ -220,7 +221,7 @@ def prompt_robustness(df, by, prompt="prompt", right="right"):
 def anomaly_rates(df, by, wrong_language: Column, off_format: Column, pred="prediction", prompt="prompt"):
     """Shares of wrong-language, off-format, prompt-repeating and empty answers; flag for identical answers."""
     rate = lambda flag: F.avg(F.when(flag, 1.0).otherwise(0.0))
-    text = F.trim(F.col(pred))
+    text = strip(F.col(pred))
     return df.groupBy(*by).agg(
         (F.min(pred) == F.max(pred)).alias("same_response"),
         rate(wrong_language).alias("language_inconsistency"),

@@ -63,8 +63,8 @@ def _(t):
 
 
 @query("f6_first_word_accuracy", PAIRS + f"""
-, s AS (SELECT model, regexp_extract(split_part(trim(prediction), ' ', 1), '^[^!-/:-@\\[-`{{-~]*') AS w, reference FROM ev_text_pairs)
-SELECT model, round(avg(CASE WHEN {GENERAL('w')} = {GENERAL("split_part(trim(reference), ' ', 1)")} THEN 100e0 ELSE 0e0 END), 6) AS accuracy
+, s AS (SELECT model, regexp_extract(split_part(trim(prediction, ' ' || chr(9) || chr(10) || chr(13)), ' ', 1), '^[^!-/:-@\\[-`{{-~]*') AS w, reference FROM ev_text_pairs)
+SELECT model, round(avg(CASE WHEN {GENERAL('w')} = {GENERAL("split_part(trim(reference, ' ' || chr(9) || chr(10) || chr(13)), ' ', 1)")} THEN 100e0 ELSE 0e0 END), 6) AS accuracy
 FROM s GROUP BY model""")
 def _(t):
     rows = t.ev_text_pairs.withColumn("reference", F.substring_index(F.trim("reference"), " ", 1))
@@ -153,7 +153,7 @@ def _(t):
 
 
 @query("f12_option_similarity", """
-WITH s AS (SELECT p_brand, substr('ABC', CAST(p_partkey % 3 AS INT) + 1, 1) AS gold, trim(p_name) AS p, p_type AS a, 'red widget' AS b, 'blue' AS c FROM part),
+WITH s AS (SELECT p_brand, substr('ABC', CAST(p_partkey % 3 AS INT) + 1, 1) AS gold, trim(p_name, ' ' || chr(9) || chr(10) || chr(13)) AS p, p_type AS a, 'red widget' AS b, 'blue' AS c FROM part),
 h AS (SELECT *, list_filter(['A', 'B', 'C'], lambda x: contains(lower(p), lower(CASE x WHEN 'A' THEN a WHEN 'B' THEN b ELSE c END))) AS held,
  least(levenshtein(p, 'A'), levenshtein(p, a), levenshtein(p, 'A. ' || a)) AS da,
  least(levenshtein(p, 'B'), levenshtein(p, b), levenshtein(p, 'B. ' || b)) AS db,

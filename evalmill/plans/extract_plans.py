@@ -86,7 +86,7 @@ def _(t):
     return on_predictions(t, E.final_answer, F.when(F.col("pos") % 2 == 0, boxed).otherwise(plain))
 
 
-AFTER = "CASE WHEN contains(x, 'answer is ') THEN trim(string_split(x, 'answer is ')[2]) ELSE x END"
+AFTER = "CASE WHEN contains(x, 'answer is ') THEN trim(string_split(x, 'answer is ')[2], ' ' || chr(9) || chr(10) || chr(13)) ELSE x END"
 
 
 @query("e7_answer_choice", PRED_SQL(f"""CASE WHEN regexp_matches({AFTER}, '\\(([A-Z])\\)*') THEN regexp_extract({AFTER}, '\\(([A-Z])\\)*', 1)
@@ -96,7 +96,7 @@ def _(t):
 
 
 @query("e7_answer_freeform", PRED_SQL(f"""CASE WHEN regexp_matches({AFTER}, '\\*\\*(.*?)\\*\\*') THEN regexp_extract({AFTER}, '\\*\\*(.*?)\\*\\*', 1)
- ELSE trim(regexp_replace(trim(split_part({AFTER}, chr(10), 1)), '\\.$', '')) END""", "CASE WHEN item_id % 3 = 0 THEN 'answer is **' || model || '** ok' ELSE prediction END"))
+ ELSE trim(regexp_replace(trim(split_part({AFTER}, chr(10), 1), ' ' || chr(9) || chr(10) || chr(13)), '\\.$', ''), ' ' || chr(9) || chr(10) || chr(13)) END""", "CASE WHEN item_id % 3 = 0 THEN 'answer is **' || model || '** ok' ELSE prediction END"))
 def _(t):
     bold = F.concat(F.lit("answer is **"), "model", F.lit("** ok"))
     return on_predictions(t, E.answer_freeform, F.when(F.col("item_id") % 3 == 0, bold).otherwise(F.col("prediction")))
@@ -104,13 +104,13 @@ def _(t):
 
 @query("e8_xml_tag", """
 WITH s AS (SELECT page_id, html AS x FROM pages)
-SELECT page_id, coalesce(trim(regexp_extract_all(x, '(?s)<p>(.*?)</p>', 1)[-1]), 'NO ANSWER FOUND') AS answer FROM s""")
+SELECT page_id, coalesce(trim(regexp_extract_all(x, '(?s)<p>(.*?)</p>', 1)[-1], ' ' || chr(9) || chr(10) || chr(13)), 'NO ANSWER FOUND') AS answer FROM s""")
 def _(t):
     return E.extract(t.pages.withColumnRenamed("html", "prediction"), E.xml_tag("p")).select("page_id", "answer")
 
 
 @query("e9_strip_reasoning", DOC_SQL("""trim(CASE WHEN NOT contains(x, '<think>') AND contains(x, '</think>') THEN string_split(x, '</think>')[-1]
- ELSE regexp_replace(x, '(?s)<think>.*?</think>', '', 'g') END)""",
+ ELSE regexp_replace(x, '(?s)<think>.*?</think>', '', 'g') END, ' ' || chr(9) || chr(10) || chr(13))""",
  "CASE WHEN doc_id % 3 = 0 THEN text || '</think> ' || source WHEN doc_id % 3 = 1 THEN 'a <think>' || text || '</think> b <think>' || lang || '</think> c ' ELSE text END"))
 def _(t):
     k = F.col("doc_id") % 3
@@ -122,7 +122,7 @@ def _(t):
     return on_documents(t, E.strip_reasoning(), text)
 
 
-@query("e10_regex_group", PRED_SQL("CASE WHEN regexp_matches(x, 'Cost (\\d+)') THEN trim(regexp_extract(x, 'Cost (\\d+)', 1)) ELSE x END"))
+@query("e10_regex_group", PRED_SQL("CASE WHEN regexp_matches(x, 'Cost (\\d+)') THEN trim(regexp_extract(x, 'Cost (\\d+)', 1), ' ' || chr(9) || chr(10) || chr(13)) ELSE x END"))
 def _(t):
     return on_predictions(t, E.regex_group(r"Cost (\d+)"))
 
@@ -201,7 +201,7 @@ def _(t):
 
 @query("e17_chain", PREDS + """
 , s AS (SELECT model, item_id, [prediction, '<think>A</think> ' || answer] AS xs FROM ev_predictions),
-z AS (SELECT model, item_id, list_transform(xs, lambda x: regexp_extract(trim(regexp_replace(x, '(?s)<think>.*?</think>', '', 'g')), '[A-D]+')) AS a FROM s)
+z AS (SELECT model, item_id, list_transform(xs, lambda x: regexp_extract(trim(regexp_replace(x, '(?s)<think>.*?</think>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '[A-D]+')) AS a FROM s)
 SELECT model, item_id, a[1] || '|' || a[2] AS answer FROM z""")
 def _(t):
     rows = t.wide("ev_predictions").withColumn(

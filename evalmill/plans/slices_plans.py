@@ -149,7 +149,7 @@ INSTRUCTIONS = [
     ("length_constraints:number_words", {"num": "60", "relation": "at least"}, r"len(regexp_extract_all(x, '[\p{L}\p{N}_]+')) >= 60"),
     ("keywords:existence", {"keywords": "de|le"}, "contains(lower(x), 'de') AND contains(lower(x), 'le')"),
     ("keywords:frequency", {"keyword": "the", "num": "3", "relation": "less than"}, "CAST((length(x) - length(replace(lower(x), 'the', ''))) / 3 AS INT) < 3"),
-    ("startend:end_checker", {"phrase": "."}, r"ends_with(trim(regexp_replace(trim(x), '^\"+|\"+$', '', 'g')), '.')"),
+    ("startend:end_checker", {"phrase": "."}, r"ends_with(trim(regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(13)), '^\"+|\"+$', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '.')"),
     ("length_constraints:number_sentences", {"num": "4", "relation": "at least"}, r"len(regexp_extract_all(x, '[^.!?\s][^.!?]*')) >= 4"),
 ]
 
@@ -158,7 +158,7 @@ def followed_sql(x: str) -> str:
     return "[" + ", ".join(f"({x} ~ '(?s).*[^ ].*') AND ({c.replace('(x', '(' + x).replace('lower(x)', 'lower(' + x + ')')})" for _, _, c in INSTRUCTIONS) + "]"
 
 
-CUT = "trim(array_to_string(l[{a}:{b}], chr(10)))"
+CUT = "trim(array_to_string(l[{a}:{b}], chr(10)), ' ' || chr(9) || chr(10) || chr(13))"
 VARIANTS = "[x, " + ", ".join(CUT.format(a=a, b=b) for a, b in [("2", "len(l)"), ("1", "len(l) - 1"), ("2", "len(l) - 1")]) + "]"
 
 
@@ -259,8 +259,8 @@ def _(t):
 
 @query("f68_anomaly_rates", with_tables("ev_text_pairs") + r"""
 SELECT model, min(prediction) = max(prediction) AS same_response, round(avg(CASE WHEN regexp_matches(prediction, '[éèêçäöüß]') THEN 1e0 ELSE 0e0 END), 6) AS language_inconsistency,
- round(avg(CASE WHEN NOT regexp_matches(prediction, '\.\s*$') THEN 1e0 ELSE 0e0 END), 6) AS off_format, round(avg(CASE WHEN trim(prediction) <> '' AND contains(reference, trim(prediction)) THEN 1e0 ELSE 0e0 END), 6) AS repetition,
- round(avg(CASE WHEN trim(prediction) = '' THEN 1e0 ELSE 0e0 END), 6) AS empty_response FROM ev_text_pairs GROUP BY model""")
+ round(avg(CASE WHEN NOT regexp_matches(prediction, '\.\s*$') THEN 1e0 ELSE 0e0 END), 6) AS off_format, round(avg(CASE WHEN trim(prediction, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND contains(reference, trim(prediction, ' ' || chr(9) || chr(10) || chr(13))) THEN 1e0 ELSE 0e0 END), 6) AS repetition,
+ round(avg(CASE WHEN trim(prediction, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 1e0 ELSE 0e0 END), 6) AS empty_response FROM ev_text_pairs GROUP BY model""")
 def _(t):
     foreign = F.regexp_like("prediction", F.lit("[éèêçäöüß]"))
     off = ~F.regexp_like("prediction", F.lit(r"\.\s*$"))

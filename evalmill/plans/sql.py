@@ -28,5 +28,5 @@ def QA_NORM(x: str) -> str:
 
 
 def SHORT(x: str) -> str:
-    line = rf"lower(split_part(trim({x}), chr(10), 1))"
+    line = rf"lower(split_part(trim({x}, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1))"
     return GENERAL(f"string_split({line}, 'answer is')[-1]")
