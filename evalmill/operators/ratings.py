@@ -223,7 +223,8 @@ def online_elo(
     ever holds more than one piece of a pool.
     """
     keys = list(by)
-    placed = running(battles.select(*keys, order, tie, "model_a", "model_b", "winner"), keys, F.col(order), F.col(tie))
+    columns = dict.fromkeys([*keys, order, tie, "model_a", "model_b", "winner"])
+    placed = running(battles.select(*columns), keys, F.col(order), F.col(tie))
     placed = pin(placed.withColumn("_chunk", F.floor((F.col("rank") - 1) / chunk).cast("int")))
     last = placed.agg(F.max("_chunk")).first()[0]
     schema = _types(placed, keys) + "model string, rating double"
