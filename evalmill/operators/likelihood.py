@@ -86,10 +86,9 @@ def sliding_windows(losses: DataFrame, block: int, stride: int, seq="seq_id", po
     window has scored, so a token's window follows from its global place.
     """
     placed = running(losses, [], F.col(seq), F.col(pos), rank="place").withColumn("place", F.col("place") - 1)
-    total = losses.agg(F.count(F.lit(1)).alias("_n"))
+    windows = (losses.count() - block) // stride + 1
     window = F.when(F.col("place") < block, 0).otherwise(F.floor((F.col("place") - block) / stride) + 1).cast("bigint")
-    last = F.floor((F.col("_n") - block) / stride + 1)
-    scored = placed.withColumn("window", window).join(total, F.lit(True)).filter(F.col("window") < last)
+    scored = placed.withColumn("window", window).filter(F.col("window") < windows)
     return scored.groupBy("window").agg(F.count(F.lit(1)).alias("scored"), F.sum(loss).alias("loss"))
 
 

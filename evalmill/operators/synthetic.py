@@ -113,9 +113,9 @@ def parallel_needles(stacks: DataFrame, depths: Sequence[int]) -> DataFrame:
     return stacks.withColumn("context", F.array_join(context, " ")).withColumn("answer", answer)
 
 
-# fixed values: relations and the wordings that state them
+# own wordings of a parent relation
 RELATIONS = ["father", "mother", "dad", "mom"]
-RELATION_TEXTS = ["{a} is {b}'s {r}. ", "{b}'s {r} is {a}. ", "{a} is not only {b}'s {r} but also {b}'s role model. "]
+RELATION_TEXTS = ["{a} is the {r} of {b}. ", "{b} calls {a} {r}. ", "For {b}, the {r} is {a}. "]
 
 
 def kinship_chains(items: DataFrame, names: Sequence[str], n: int, seed: int = 0) -> DataFrame:
@@ -138,6 +138,10 @@ def kinship_chains(items: DataFrame, names: Sequence[str], n: int, seed: int = 0
     return rows.select("item_id", F.concat(story, question).alias("prompt"), F.get("chain", F.lit(0)).alias("answer"), "chain")
 
 
+# fixed value: the sentence that holds a key's value
+NEEDLE_TEXT = "One of the special magic numbers for {key} is: {value}."
+
+
 def key_value_needles(
     items: DataFrame, noise: Column, n_noise: int, keys: int = 4, values: int = 2, queries: int = 2, seed: int = 0, decoys: bool = False
 ) -> DataFrame:
@@ -149,7 +153,8 @@ def key_value_needles(
     item = F.col("item_id")
     key = lambda i: F.concat(F.lit("key-"), F.hex(F.pmod(F.xxhash64(F.lit(seed), item, i), F.lit(1 << 40))))
     value = lambda i, j: (F.pmod(F.xxhash64(F.lit(seed + 1), item, i, j), F.lit(9_000_000)) + 1_000_000).cast("string")
-    say = lambda k, v: F.concat(F.lit("One of the special magic numbers for "), k, F.lit(" is: "), v, F.lit("."))
+    head, middle, end = _pieces(NEEDLE_TEXT)
+    say = lambda k, v: F.concat(F.lit(head), k, F.lit(middle), v, F.lit(end))
     span = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     needles = F.flatten(F.transform(span(keys), lambda i: F.transform(span(values), lambda j: say(key(i), value(i, j)))))
     if decoys:

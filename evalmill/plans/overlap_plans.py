@@ -129,7 +129,7 @@ def _(t):
 @query("f31_binary_report", SCORES + """
 , c AS (SELECT model, CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END AS pred, label FROM s),
 q AS (SELECT model, count(*) FILTER (pred = 1 AND label = 1) AS tp, count(*) FILTER (pred = 1 AND label = 0) AS fp, count(*) FILTER (pred = 0 AND label = 1) AS fn, count(*) FILTER (pred = label) AS ok, count(*) AS n FROM c GROUP BY model)
-SELECT model, round(ok * 1e0 / n, 6) AS accuracy, round(tp * 1e0 / (tp + fp), 6) AS precision, round(tp * 1e0 / (tp + fn), 6) AS recall, round(2e0 * tp / (2 * tp + fp + fn), 6) AS f1_score FROM q""")
+SELECT model, round(ok * 1e0 / n, 6) AS accuracy, round(coalesce(tp * 1e0 / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp * 1e0 / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_score FROM q""")
 def _(t):
     return round6(C.binary_report(class_scores(t).withColumn("pred", (F.col("p1") > 0.5).cast("int")), ["model"]))
 

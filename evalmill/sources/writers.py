@@ -8,8 +8,8 @@ from pyspark.sql.utils import AnalysisException
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder per (model, dataset)."""
-    df.repartition("model", "dataset").write.mode("overwrite").partitionBy("model", "dataset").format(fmt).save(path)
+    """One folder per (model, dataset); rebalancing splits a folder that is much larger than the others."""
+    df.hint("rebalance", "model", "dataset").write.mode("overwrite").partitionBy("model", "dataset").format(fmt).save(path)
 
 
 def markdown_lines(df: DataFrame) -> DataFrame:
@@ -62,10 +62,10 @@ class ResultStore:
     def publish(self, results: DataFrame, overwrite: bool = False) -> None:
         """Add results; a stored (dataset, model) is kept, or replaced as a whole partition."""
         held = self.lookup()
-        rows = results.repartition(*self.keys)
+        rows = results
         if overwrite:
-            rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*self.keys).parquet(self.path)
+            rows.hint("rebalance", *self.keys).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*self.keys).parquet(self.path)
             return
         if held is not None:
             rows = rows.join(held.select(*self.keys).distinct(), self.keys, "left_anti")
-        rows.write.mode("append").partitionBy(*self.keys).parquet(self.path)
+        rows.hint("rebalance", *self.keys).write.mode("append").partitionBy(*self.keys).parquet(self.path)
