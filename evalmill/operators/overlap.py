@@ -14,9 +14,10 @@ from evalmill.functions.text import ngrams, words
 def bag_counts(df: DataFrame, keys: Sequence[str], bags: dict[str, Column]) -> DataFrame:
     """How often each token ``t`` is in each bag (token array) of a key.
 
-    All bags of a row are exploded together, so counting needs no join and
-    Spark combines a row's repeated tokens before the shuffle. Every key also
-    has a null token with zero counts, so rows without tokens stay.
+    ``keys`` identify a row. The texts move once, by key; the exploded tokens of
+    all bags are then counted where they are, without a join or a further
+    shuffle. Every key also has a null token with zero counts, so rows without
+    tokens stay.
     """
 
     def tagged(tokens: Column, which: int) -> Column:
@@ -24,7 +25,7 @@ def bag_counts(df: DataFrame, keys: Sequence[str], bags: dict[str, Column]) -> D
 
     nothing = F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(-1).alias("which")))
     every = F.concat(nothing, *[tagged(c, i) for i, c in enumerate(bags.values())])
-    tokens = df.select(*keys, F.explode(every).alias("_x")).select(*keys, "_x.*")
+    tokens = df.repartition(*keys).select(*keys, F.explode(every).alias("_x")).select(*keys, "_x.*")
     return tokens.groupBy(*keys, "t").agg(*[F.count_if(F.col("which") == i).alias(n) for i, n in enumerate(bags)])
 
 
@@ -45,8 +46,8 @@ def ngram_overlap(
 ) -> DataFrame:
     """Per key and n: ``matched`` (clipped by the best reference), ``n_pred``, ``n_ref`` (first reference).
 
-    ``refs`` is an array of at most ``n_refs`` token arrays. One shuffle: every
-    (key, n, gram) carries its count in the prediction and in each reference.
+    ``refs`` is an array of at most ``n_refs`` token arrays. ``keys`` identify a
+    row; texts move once, by key, and their n-grams are counted in place.
     """
 
     def side(tokens: Column, number: int) -> Column:
@@ -60,7 +61,7 @@ def ngram_overlap(
     empty = F.array().cast("array<string>")
     sides = [side(pred, 0)] + [side(F.coalesce(F.get(refs, F.lit(i)), empty), i + 1) for i in range(n_refs)]
     none = [F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("t"), F.lit(-1).alias("side")) for n in orders]
-    grams = df.select(*keys, F.explode(F.concat(F.array(*none), *sides)).alias("_x")).select(*keys, "_x.*")
+    grams = df.repartition(*keys).select(*keys, F.explode(F.concat(F.array(*none), *sides)).alias("_x")).select(*keys, "_x.*")
     counts = grams.groupBy(*keys, "n", "t").agg(*[F.count_if(F.col("side") == i).alias(f"c{i}") for i in range(n_refs + 1)])
     best = F.greatest(*[F.col(f"c{i + 1}") for i in range(n_refs)]) if n_refs > 1 else F.col("c1")
     return counts.groupBy(*keys, "n").agg(

@@ -28,7 +28,7 @@ def _(t):
     return counts.agg(F.count("train_id").alias("demos"))
 
 
-@query("c2_retrieve_fixed", "SELECT item_id AS test_id, CAST(r AS INT) AS \"rank\", id AS train_id FROM benchmark, (VALUES (1, 5), (2, 0), (3, 17)) x(r, id)")
+@query("c2_retrieve_fixed", "SELECT item_id AS test_id, CAST(r AS INT) AS \"rank\", id AS train_id FROM benchmark, (VALUES (1, CAST(5 AS BIGINT)), (2, 0), (3, 17)) x(r, id)")
 def _(t):
     return R.retrieve_fixed(tests(t), trains(t), [5, 0, 17])
 
