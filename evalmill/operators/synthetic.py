@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.operators.ordering import top_k
 from evalmill.operators.retrieve import dense_index, draw_distinct
 from evalmill.operators.sequences import uniform
 from evalmill.session import pin
