@@ -120,6 +120,39 @@ from docs d left join ranked using (rid) group by d.rid, d.doc_id
 """
 
 
+TOP_K = """
+with held as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from held q join held c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20
+"""
+
+NEAR = f"""
+with recursive docs as (
+  select row_number() over () as rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACES}+'), lambda w: w <> '') as ws
+  from documents),
+sets as (
+  select rid, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+         else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as shingles from docs),
+sized as (select rid, len(shingles) as n from sets),
+each as materialized (select rid, md5(unnest(shingles)) as s from sets),
+common as (select a.rid as a, b.rid as b, count(*) as c from each a join each b on a.s = b.s and a.rid < b.rid group by a.rid, b.rid),
+links as materialized (
+  select a, b from common join sized x on x.rid = a join sized y on y.rid = b where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(rid, other) as (select rid, rid from docs union select r.rid, l.b from reach r join both_ways l on l.a = r.other),
+least as (select r.rid, min(d.doc_id) as component_id from reach r join docs d on d.rid = r.other group by r.rid)
+select d.doc_id, s.n::bigint as n_shingles, l.component_id, d.doc_id = l.component_id as kept
+from docs d join sized s using (rid) join least l using (rid)
+"""
+
+ORACLES["op4_bayes_minhash"] = NEAR
+ORACLES["op8_ball_tree_top_k"] = TOP_K
 ORACLES["op9_quality_rules"] = quality_sql()
 ORACLES["op6_license_dice"] = license_sql()
 ORACLES["op7_entropy_secrets"] = secrets_sql()

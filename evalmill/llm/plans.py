@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from evalmill.llm import oracles
 from evalmill.llm.bpe import round_trip
 from evalmill.llm.licenses import scan_licenses
+from evalmill.llm.neardup import near_duplicates
 from evalmill.llm.packing import pack_documents
+from evalmill.llm.pages import extract_pages
 from evalmill.llm.quality import quality_rules
 from evalmill.llm.secrets import scan_secrets, written
 from evalmill.llm.sharding import shard_documents
+from evalmill.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = oracles.ORACLES
@@ -42,6 +45,12 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards; law bytes, equal texts together."""
@@ -81,8 +90,21 @@ def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the highest integer inner product for every query row."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_features=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -40,7 +40,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of a slice in order, and how many each row has. Null texts have none."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    # taken into buffers of their own: on a slice, lower-casing after the cast reads beside the texts
+    texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
