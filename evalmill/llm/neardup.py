@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.llm.components import components
-from evalmill.llm.texts import bounds, slices, split_words
+from evalmill.llm.texts import bounds, lower_ascii, slices, split_words, words_of
 from evalmill.session import pin
 
 #: Rows of a bucket that are compared in one group; larger buckets are cut into blocks that meet pair by pair.
@@ -308,3 +308,18 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     out = signed.drop("sig").join(whole, F.col("key") == F.col("node"), "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group: one row of every component, with all its columns.
+
+    Rows without an id and texts without words stand for themselves. Of rows with equal id and equal words one stays.
+    """
+    judged = near_duplicates(docs, scheme, id_col, text).filter("kept")
+    chosen = judged.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).filter(F.col("_key").isNotNull()).dropDuplicates(["_id", "_key"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("bigint").alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    lowered = F.array_join(words_of(lower_ascii(F.col("_text"))), " ")
+    rows = rows.withColumn("_words", F.md5(lowered.cast("binary")))
+    alone = rows.filter(F.col("_doc").isNull() | (lowered == "")).select("_row.*")
+    found = rows.filter(F.col("_doc").isNotNull() & (lowered != "")).join(chosen, F.col("_doc") == F.col("_id"), "left_semi")
+    return found.dropDuplicates(["_doc", "_words"]).select("_row.*").unionByName(alone)

@@ -15,6 +15,7 @@ from evalmill.llm.neardup import near_duplicates
 from evalmill.llm.packing import pack_documents
 from evalmill.llm.pages import extract_pages
 from evalmill.llm.quality import quality_rules
+from evalmill.llm.scoring import score_documents
 from evalmill.llm.secrets import scan_secrets, written
 from evalmill.llm.sharding import shard_documents
 from evalmill.llm.topk import top_k
@@ -32,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the hidden Markov model and under unigrams."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""

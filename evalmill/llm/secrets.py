@@ -192,3 +192,11 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
     tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["end"] + 1, F.char_length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, tail)).otherwise(text)
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """All rows and columns of ``docs``, with every secret span of ``text`` replaced. Null texts stay null."""
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    found = scan_secrets(marked, text="_text", spans="_spans")
+    clean = redact(F.col("_text"), F.col("_spans"), mark)
+    return found.select(*[clean.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
