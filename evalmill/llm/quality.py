@@ -150,7 +150,9 @@ def quality_rules(
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~broken)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     extra = [c for c in df.columns if c not in base.columns and c not in {*counts, "base_failed", "kept"}] if keep_features else []
-    return df.select(*base.columns, *counts, *extra, "base_failed", "kept")
+    # behind a generator, so that a filter on the verdict is not pushed down as a second copy of all the expressions
+    judged = F.explode(F.array(F.struct(*counts, *extra, "base_failed", "kept"))).alias("_judged")
+    return df.select(*[F.col(f"`{c}`") for c in base.columns], judged).select(*[F.col(f"`{c}`") for c in base.columns], "_judged.*")
 
 
 def filter_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:

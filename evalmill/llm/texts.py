@@ -65,13 +65,13 @@ def pick_lists(index: np.ndarray, values: np.ndarray, ends: np.ndarray) -> tuple
     return values[steps], total
 
 
-def salted_rank(df: DataFrame, by: Sequence[str], spread: Column, order: Sequence[Column], rows: int, per_slot: int = 200_000, rank: str = "rank") -> DataFrame:
+def salted_rank(df: DataFrame, by: Sequence[str], spread: Column, order: Sequence[Column], rows: int, per_slot: int = 50_000, rank: str = "rank") -> DataFrame:
     """0-based gapless rank within ``by`` groups of any size.
 
     A group is dealt over slots by the hash ``spread``; the slots' counts (a small table) give each slot its
     first rank and only the rows of a slot are sorted together. Ranks follow the slots, then ``order``.
     """
-    slots = max(1, -(-rows // per_slot)) * 4
+    slots = max(64, -(-rows // per_slot))
     work = df.withColumn("_slot", F.pmod(spread, F.lit(slots)).cast("int"))
     counts = work.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
