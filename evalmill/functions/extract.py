@@ -343,11 +343,11 @@ VERDICT_STYLES = {
     "arena": r"\[\[([AB<>=]+)\]\]",
     "choice": r"Choice: ([ABC])",
     "rating": r"\[\[(\d+(?:\.\d+)?)\]\]",
-    "letter": r"([mM])",
+    "letter": r"^([mM])",
     "json_choice": r'"choice": "(.*?)"',
-    "json_score": r'"score": "?(\d+)"?',
+    "json_score": r'"score": "?(-?\d+(?:\.\d+)?)"?',
     "grade": r"([ABC])",
-    "winner": r'"winner"\s*:\s*"([AB])"',
+    "winner": r'"?(?:winner|胜者)"?\s*:\s*"([A-Z])"',
 }
 LAST_MATCH = {"winner"}
 
@@ -369,9 +369,9 @@ def checklist_scores(n: int) -> Rule:
     """``n`` scores in [0, 1] out of a (possibly fenced) JSON list; null if anything is off."""
 
     def rule(text: Column) -> Column:
-        body = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-        rows = F.from_json(body, "array<struct<checklist_id:int,evaluation_score:double>>")
-        scores = F.transform(rows, lambda r: r["evaluation_score"])
+        body = F.regexp_extract(text, r"(?s)^\s*(?:```(?:json)?\s*)?(\[.*\])\s*(?:```)?\s*$", 1)
+        rows = F.from_json(body, "array<struct<checklist_id:string,evaluation_score:string>>")
+        scores = F.transform(rows, lambda r: r["evaluation_score"].try_cast("double"))
         fine = (F.size(scores) == n) & F.forall(scores, lambda s: F.coalesce(s.between(0, 1), F.lit(False)))
         return F.when(fine, scores)
 
@@ -392,13 +392,14 @@ def gold_entities(text: Column) -> Column:
 
 
 def predicted_entities(types: Sequence[str]) -> Rule:
-    """For each wanted type, the rest of the first line after ``type:``."""
+    """For each wanted type, the word after the last ``type:`` (either width of the colon) that names something."""
 
     def rule(text: Column) -> Column:
-        found = F.map_from_arrays(
-            F.array(*[F.lit(t) for t in types]),
-            F.array(*[strip(F.regexp_extract(text, f"{re.escape(t)}:([^\n]*)", 1)) for t in types]),
-        )
-        return F.map_filter(found, lambda _, v: (v != "") & ~v.isin(ENTITY_ABSENT))
+        def last(t: str) -> Column:
+            said = F.regexp_extract_all(text, F.lit(rf"{re.escape(t)}[:：](?=(?s:..))\s*([^\n ]*)"), F.lit(1))
+            return last_of(F.filter(said, lambda v: (v != "") & ~v.isin(ENTITY_ABSENT)))
+
+        found = F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[last(t) for t in types]))
+        return F.map_filter(found, lambda _, v: v.isNotNull())
 
     return rule

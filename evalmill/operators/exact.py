@@ -125,10 +125,10 @@ def within_limits(df, by, pred="prediction", lower="lower", upper="upper"):
 # fixed values: TeX clean-up of a math string before comparing; plain replacements, then patterns, in this order
 MATH_PLAIN = [
     ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
-    ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0."),
+    ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0."),
 ]
 MATH_PATTERNS = [
-    (r"\\text\{ .*$", ""), (r"^\.", "0."), (r"^[a-z]=", ""), (r"\\sqrt([^{])", r"\\sqrt{$1}"), (" ", ""),
+    (r"\\text\{ .*$", ""), (r"^\.", "0."), (r"^[^=]{0,2}=([^=]*)$", "$1"), (r"\\sqrt([^{])", r"\\sqrt{$1}"), (" ", ""),
     (r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), (r"\\frac([^{])\{", r"\\frac{$1}{"), (r"^0\.5$", r"\\frac{1}{2}"),
     (r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}"),
 ]
@@ -233,7 +233,8 @@ def prefix_match(df, by, pred="prediction", ref="reference"):
     """Leading numbers that agree, averaged, times 100."""
 
     def numbers(text: str) -> Column:
-        return F.regexp_extract_all(F.col(text), F.lit(r"[0-9]+"), F.lit(0))
+        found = F.regexp_extract_all(F.col(text), F.lit(r"[0-9]+"), F.lit(0))
+        return F.transform(found, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", ""))
 
     same = F.zip_with(numbers(pred), numbers(ref), lambda a, b: a.eqNullSafe(b))
     wrong = F.array_position(same, False)

@@ -35,6 +35,12 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda p: strip(p) != "")
 
 
+def first_word(paragraph: Column) -> Column:
+    """The first word in lower case, without quotes before it and up to its first punctuation mark."""
+    word = F.regexp_replace(F.get(F.split(strip(paragraph), r"\s+"), F.lit(0)), "^'*\"*", "")
+    return F.lower(F.regexp_extract(word, "^[^.,?!'\"]*", 0))
+
+
 VERIFIERS: dict[str, Verifier] = {
     "keywords:existence": lambda x, kw: F.forall(
         _listed(kw, "keywords"), lambda w: F.contains(F.lower(x), F.lower(w))
@@ -52,7 +58,7 @@ VERIFIERS: dict[str, Verifier] = {
     "length_constraints:nth_paragraph_first_word": lambda x, kw: let(
         _parts(x, "\n\n"),
         lambda p: (F.size(p) == kw["num"].cast("int"))
-        & F.lower(strip(F.get(p, kw["nth"].cast("int") - 1))).startswith(F.lower(kw["first_word"])),
+        & (first_word(F.get(p, kw["nth"].cast("int") - 1)) == F.lower(kw["first_word"])),
     ),
     "detectable_content:number_placeholders": lambda x, kw: F.regexp_count(x, F.lit(r"(?s)\[.*?\]")) >= kw["num"].cast("int"),
     "detectable_content:postscript": lambda x, kw: F.contains(F.lower(x), F.lower(kw["marker"])),

@@ -45,8 +45,8 @@ def loss_ranking_accuracy(scores: DataFrame, items: DataFrame, kind: str, gold:
 
 
 def bits_per_byte(scores: DataFrame, by=(), keys=("item_id",)) -> DataFrame:
-    """Mean smallest bits per byte over items, and mean of the others' average; times 100."""
-    bpb = F.col("nll") * F.col("n_tokens") / F.nullif("n_bytes", F.lit(0.0))
+    """Mean smallest bits per byte over items, and mean of the others' average; times 100. NaN values are left out."""
+    bpb = F.nanvl((F.col("nll") * F.col("n_tokens") / F.nullif("n_bytes", F.lit(0.0))).cast("double"), F.lit(None).cast("double"))
     per = scores.groupBy(*by, *keys).agg(F.min(bpb).alias("lo"), F.sum(bpb).alias("s"), F.count(bpb).alias("n"))
     others = F.when(F.col("n") > 1, (F.col("s") - F.col("lo")) / (F.col("n") - 1))
     return per.groupBy(*by).agg((F.avg("lo") * 100).alias("correct_bpb"), (F.avg(others) * 100).alias("incorrect_bpb"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -52,12 +52,20 @@ def score_with_model(
     return rows.mapInPandas(run, f"{fields}, {output}, error string")
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The output written so far; None only where there is no folder or nothing in it yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def resume(tasks: DataFrame, path: str, keys: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Do only the rows whose keys are not yet in the output folder, append them, and return the whole output."""
     spark = tasks.sparkSession
-    try:
-        done = spark.read.parquet(path)
-        work(pending_work(tasks, done.select(*keys).distinct(), keys)).write.mode("append").parquet(path)
-    except AnalysisException:
-        work(tasks).write.mode("append").parquet(path)
+    done = existing(spark, path)
+    left = tasks if done is None else pending_work(tasks, done.select(*keys).distinct(), keys)
+    work(left).write.mode("append").parquet(path)
     return spark.read.parquet(path)

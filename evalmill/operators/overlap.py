@@ -42,37 +42,37 @@ def f1_of() -> Column:
 
 
 def ngram_overlap(
-    df: DataFrame, keys: Sequence[str], pred: Column, refs: Column, n_refs: int = 1, orders: Sequence[int] = (1, 2, 3, 4)
+    df: DataFrame, keys: Sequence[str], pred: Column, refs: Column, orders: Sequence[int] = (1, 2, 3, 4)
 ) -> DataFrame:
     """Per key and n: ``matched`` (clipped by the best reference), ``n_pred``, ``n_ref`` (first reference).
 
-    ``refs`` is an array of at most ``n_refs`` token arrays. ``keys`` identify a
+    ``refs`` is an array of token arrays, as many as a row has. ``keys`` identify a
     row; texts move once, by key, and their n-grams are counted in place.
     """
 
-    def side(tokens: Column, number: int) -> Column:
+    def side(tokens: Column, number: Column) -> Column:
         def tagged(n: int) -> Column:
-            return F.transform(
-                ngrams(tokens, n), lambda t: F.struct(F.lit(n).alias("n"), t.alias("t"), F.lit(number).alias("side"))
-            )
+            return F.transform(ngrams(tokens, n), lambda t: F.struct(F.lit(n).alias("n"), t.alias("t"), number.alias("side")))
 
         return F.concat(*[tagged(n) for n in orders])
 
-    empty = F.array().cast("array<string>")
-    sides = [side(pred, 0)] + [side(F.coalesce(F.get(refs, F.lit(i)), empty), i + 1) for i in range(n_refs)]
+    of_refs = F.coalesce(F.flatten(F.transform(refs, lambda r, i: side(F.coalesce(r, F.array().cast("array<string>")), i + 1))), F.array())
+    sides = [side(pred, F.lit(0)), of_refs]
     none = [F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("t"), F.lit(-1).alias("side")) for n in orders]
     grams = df.repartition(*keys).select(*keys, F.explode(F.concat(F.array(*none), *sides)).alias("_x")).select(*keys, "_x.*")
-    counts = grams.groupBy(*keys, "n", "t").agg(*[F.count_if(F.col("side") == i).alias(f"c{i}") for i in range(n_refs + 1)])
-    best = F.greatest(*[F.col(f"c{i + 1}") for i in range(n_refs)]) if n_refs > 1 else F.col("c1")
+    # both steps keep the partitioning by key
+    each = grams.groupBy(*keys, "n", "t", "side").agg(F.count(F.lit(1)).alias("c"))
+    most = lambda chosen: F.coalesce(F.max(F.when(chosen, F.col("c"))), F.lit(0))
+    counts = each.groupBy(*keys, "n", "t").agg(most(F.col("side") == 0).alias("c0"), most(F.col("side") == 1).alias("c1"), most(F.col("side") > 0).alias("best"))
     return counts.groupBy(*keys, "n").agg(
-        F.sum(F.least("c0", best)).alias("matched"), F.sum("c0").alias("n_pred"), F.sum("c1").alias("n_ref")
+        F.sum(F.least("c0", "best")).alias("matched"), F.sum("c0").alias("n_pred"), F.sum("c1").alias("n_ref")
     )
 
 
 def rouge_n(df, by, key="pair_id", pred="prediction", ref="reference", orders=(1, 2)):
     """Mean n-gram F1 times 100 (the plain mean, not a bootstrap middle)."""
     rows = df.select(*by, key, words(F.col(pred)).alias("_p"), words(F.col(ref)).alias("_r"))
-    counts = ngram_overlap(rows, [*by, key], F.col("_p"), F.array("_r"), 1, orders)
+    counts = ngram_overlap(rows, [*by, key], F.col("_p"), F.array("_r"), orders)
     f1 = F.when(F.col("matched") > 0, 2.0 * F.col("matched") / (F.col("n_pred") + F.col("n_ref"))).otherwise(0.0)
     return counts.groupBy(*by).agg(*[(F.avg(F.when(F.col("n") == n, f1)) * 100).alias(f"rouge{n}") for n in orders])
 
@@ -137,10 +137,10 @@ def bleu_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(BLEU_TOKEN), F.lit(0))
 
 
-def corpus_bleu(df, by, key="pair_id", pred="prediction", refs="refs", n_refs=1):
+def corpus_bleu(df, by, key="pair_id", pred="prediction", refs="refs"):
     """Corpus BLEU-4 with exponential smoothing and brevity penalty (closest reference length)."""
     rows = df.select(*by, key, bleu_tokens(F.col(pred)).alias("_p"), F.transform(refs, bleu_tokens).alias("_r"))
-    counts = ngram_overlap(rows, [*by, key], F.col("_p"), F.col("_r"), n_refs)
+    counts = ngram_overlap(rows, [*by, key], F.col("_p"), F.col("_r"))
     sums = counts.groupBy(*by).agg(
         *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in (1, 2, 3, 4) for c in ("matched", "n_pred")]
     )

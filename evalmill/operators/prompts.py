@@ -400,10 +400,10 @@ STYLE_MARKS = {
 
 
 def style_features(text: Column, tokens: Column | None = None) -> dict[str, Column]:
-    """Token count and markdown counts, fenced code left out (tokens count the whole text)."""
+    """Token count and markdown counts, both with fenced code left out."""
     prose = F.regexp_replace(text, r"(?s)```.*?```", "")
     counts = {k: F.regexp_count(prose, F.lit(p)) for k, p in STYLE_MARKS.items()}
-    counts["tokens"] = tokens if tokens is not None else F.regexp_count(text, F.lit(r"\S+"))
+    counts["tokens"] = tokens if tokens is not None else F.regexp_count(prose, F.lit(r"\S+"))
     return counts
 
 

@@ -183,7 +183,9 @@ def style_controlled(
     models = sorted(r["m"] for r in names)
     if len(models) > MAX_MODELS:
         raise ValueError(f"more than {MAX_MODELS} models")
-    levels = {c: sorted(r[0] for r in battles.select(c).distinct().limit(1000).collect()) for c in controls}
+    levels = {c: sorted(r[0] for r in battles.select(c).distinct().limit(MAX_MODELS + 1).collect()) for c in controls}
+    if any(len(v) > MAX_MODELS for v in levels.values()):
+        raise ValueError(f"a control has more than {MAX_MODELS} levels")
 
     diffs = battles.select("*", *[style_difference(F.col(a), F.col(b)).alias(f"_d_{n}") for n, a, b in styles])
     aggs = [f(F.col(f"_d_{n}")).alias(f"{k}_{n}") for n, _, _ in styles for k, f in (("m", F.avg), ("s", F.stddev_pop))]

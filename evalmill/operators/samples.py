@@ -49,17 +49,17 @@ def _at_least(n: Column, c: Column, k: int, m: int) -> Column:
     total = F.lit(0.0)
     for i in range(m, k + 1):
         total = total + _choose(c, i) * _choose(n - c, k - i)
-    return total / _choose(n, k)
+    return F.when(n >= k, total / F.greatest(_choose(n, k), F.lit(1.0))).otherwise(0.0)
 
 
 def g_pass_at_k(counts: DataFrame, by, k: int, thresholds: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """G-pass@k at each threshold and their mean mG-pass@k, times 100.
+    """G-pass@k at each threshold and their mean mG-pass@k, times 100; items with fewer than k samples count as 0.
 
     Every distinct (n, c) is worked out once; there are few of those.
     """
     from math import ceil
 
-    small = counts.groupBy(*by, "n", "c").agg(F.count(F.lit(1)).alias("_w")).filter(F.col("n") >= k)
+    small = counts.groupBy(*by, "n", "c").agg(F.count(F.lit(1)).alias("_w"))
     n, c, w = F.col("n"), F.col("c"), F.col("_w")
     mean = lambda x: F.sum(x * w) / F.sum(w) * 100
     columns = [

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
 from evalmill.operators import align as A
+from evalmill.operators.ratings import MAX_MODELS
 from evalmill.plans.catalog import query
 from evalmill.plans.fixtures import with_tables
 from evalmill.plans.sql import round6
@@ -15,11 +16,11 @@ SCORED = with_tables("ev_scored")
 
 
 @query("a6_check_complete", BOTH + """
-, h AS (SELECT DISTINCT model, item_id FROM ev_predictions WHERE model <> 'm0'), n AS (SELECT count(*) AS n FROM ev_items)
+, h AS (SELECT DISTINCT model, item_id FROM ev_predictions), n AS (SELECT count(*) AS n FROM ev_items)
 SELECT model, n - count(i.item_id) AS missing, count(*) FILTER (i.item_id IS NULL) AS extra, n = count(i.item_id) AND count(*) FILTER (i.item_id IS NULL) = 0 AS complete
 FROM h LEFT JOIN ev_items i USING (item_id), n GROUP BY model, n""")
 def _(t):
-    return A.check_complete(t.ev_predictions.filter("model <> 'm0'"), t.ev_items)
+    return A.check_complete(t.ev_predictions, t.ev_items)
 
 
 @query("a6_unmatched_ids", BOTH + """
@@ -106,7 +107,9 @@ def _(t):
 SELECT m.model, i.item_id FROM (SELECT DISTINCT model FROM ev_predictions) m, ev_items i
 WHERE NOT EXISTS (SELECT 1 FROM ev_predictions p WHERE p.model = m.model AND p.item_id = i.item_id)""")
 def _(t):
-    models = sorted(r["model"] for r in t.ev_predictions.select("model").distinct().limit(1000).collect())
+    models = sorted(r["model"] for r in t.ev_predictions.select("model").distinct().limit(MAX_MODELS + 1).collect())
+    if len(models) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
     tasks = t.ev_items.select("item_id", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     return A.pending_work(tasks, t.ev_predictions, ["model", "item_id"])
 

@@ -175,7 +175,7 @@ def _(t):
 
 
 @query("e15_entity_maps", ENTITY_SQL := with_tables("ev_items") + """
-SELECT item_id, category AS gold_priority, difficulty AS gold_status, CASE WHEN item_id % 3 <> 0 THEN category END AS said_priority, CASE WHEN item_id % 4 <> 0 THEN 'F' END AS said_status FROM ev_items""")
+SELECT item_id, category AS gold_priority, difficulty AS gold_status, CASE WHEN item_id % 3 <> 0 THEN split_part(category, ' ', 1) END AS said_priority, CASE WHEN item_id % 4 <> 0 THEN 'F' END AS said_status FROM ev_items""")
 def _(t):
     return entities(t).select(
         "item_id", F.col("gold")["priority"].alias("gold_priority"), F.col("gold")["status"].alias("gold_status"),

@@ -302,7 +302,7 @@ def count_sql(pattern: str) -> str:
 
 @query("b26_style_features", "WITH s AS (SELECT doc_id, text, regexp_replace(text, '(?s)```.*?```', '', 'g') AS x FROM documents) SELECT doc_id, " + ", ".join(
     f"{count_sql(p)} AS {k}" for k, p in P.STYLE_MARKS.items()
-) + r", CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS tokens FROM s")
+) + r", CAST(len(regexp_extract_all(x, '\S+')) AS INT) AS tokens FROM s")
 def _(t):
     return t.documents.select("doc_id", *[c.alias(k) for k, c in P.style_features(F.col("text")).items()])
 

@@ -108,7 +108,7 @@ def short_items(t):
 
 @query("h9_kinship_chains")
 def _(t):
-    names = sorted(r["n_name"] for r in t.nation.select("n_name").limit(1000).collect())
+    names = sorted(r["n_name"] for r in t.nation.select("n_name").collect())
     return Y.kinship_chains(t.orders.select(F.col("o_orderkey").alias("item_id")), names, 6).drop("chain")
 
 

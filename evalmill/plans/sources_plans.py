@@ -134,6 +134,33 @@ def _(t):
     return t.spark.read.text(path)
 
 
+BOARD_SQL = RESULTS + """
+, w AS (SELECT dataset, """ + ", ".join(
+    f"printf('%.2f', round(max(score) FILTER (model = 'm{i}'), 2)) AS m{i}" for i in range(5)
+) + """ FROM ev_results WHERE metric = 'accuracy' GROUP BY dataset)
+"""
+
+
+@query("a9_write_leaderboard_csv", BOARD_SQL + "SELECT dataset, 'accuracy' AS metric, m0, m1, m2, m3, m4 FROM w")
+def _(t):
+    board = L.pivot_models(t.ev_results.filter("metric = 'accuracy'"), [f"m{i}" for i in range(5)])
+    path = scratch_path(t.spark, "board")
+    W.write_leaderboard(board, path, "csv")
+    return t.spark.read.csv(path, header=True)
+
+
+@query("a9_write_leaderboard_text", BOARD_SQL + """
+, c AS (SELECT * FROM w UNION ALL SELECT 'dataset', 'm0', 'm1', 'm2', 'm3', 'm4'),
+s AS (SELECT max(length(dataset))::INT AS d, max(length(m0))::INT AS w0, max(length(m1))::INT AS w1, max(length(m2))::INT AS w2, max(length(m3))::INT AS w3 FROM c)
+SELECT rpad(dataset, d, ' ') || ' ' || CASE WHEN dataset = 'dataset' THEN 'metric  ' ELSE 'accuracy' END || ' ' || rpad(m0, w0, ' ') || ' ' || rpad(m1, w1, ' ')
+ || ' ' || rpad(m2, w2, ' ') || ' ' || rpad(m3, w3, ' ') || ' ' || m4 AS value FROM c, s""")
+def _(t):
+    board = L.pivot_models(t.ev_results.filter("metric = 'accuracy'"), [f"m{i}" for i in range(5)])
+    path = scratch_path(t.spark, "board")
+    W.write_leaderboard(board, path, "text")
+    return t.spark.read.text(path)
+
+
 @query("a10_result_store", RESULTS + """
 SELECT model, dataset, metric, round(CASE WHEN model = 'm0' AND dataset = '5-LOW' THEN score + 1 WHEN dataset = '2-HIGH' THEN -1e0 ELSE score END, 6) AS score FROM ev_results""")
 def _(t):

@@ -12,13 +12,18 @@ BOM = r"\x{feff}"
 
 
 def read_items(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
-    """JSON lines or CSV with a header; a byte-order mark at the start of a file does no harm."""
+    """JSON lines or CSV whose columns are found by their header names; a byte-order mark at the start does no harm.
+
+    A line that is no JSON, and a CSV without a wanted column, raise.
+    """
     if fmt == "jsonl":
         wanted = StructType.fromDDL(schema)
         lines = spark.read.text(path).select(F.regexp_replace("value", f"^{BOM}", "").alias("value"))
-        return lines.filter("value <> ''").select(F.from_json("value", wanted).alias("_r")).select("_r.*")
+        return lines.filter("value <> ''").select(F.from_json("value", wanted, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
     if fmt == "csv":
-        return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=True)
+        rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        names = {c.lstrip("\ufeff"): c for c in rows.columns}
+        return rows.select(*[F.col(f"`{names.get(f.name, f.name)}`").cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
     raise ValueError(f"unknown format {fmt}: use jsonl or csv")
 
 
@@ -28,7 +33,7 @@ SUBJECT_SCHEMA = "input string, A string, B string, C string, D string, target s
 def read_subject_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """``<subject>_<split>.csv`` files without header, six columns each; a row of other width raises."""
     rows = spark.read.csv(
-        f"{folder}/*_{split}.csv", schema=SUBJECT_SCHEMA, escape='"', mode="FAILFAST"
+        f"{folder}/*_{split}.csv", schema=SUBJECT_SCHEMA, escape='"', mode="FAILFAST", multiLine=True
     )
     # a subject may be a file or a folder of part files
     name = F.regexp_extract("_metadata.file_path", rf"([^/=]+)_{split}\.csv(?:/|$)", 1)

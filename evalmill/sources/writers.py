@@ -26,10 +26,14 @@ def markdown_lines(df: DataFrame) -> DataFrame:
     return top.unionByName(body)
 
 
-def text_lines(df: DataFrame, width: int = 24) -> DataFrame:
-    """The table's rows as lines of equal column width."""
-    cells = [F.rpad(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")), width, " ") for c in df.columns]
-    return df.select(F.rtrim(F.concat_ws(" ", *cells)).alias("value"))
+def text_lines(df: DataFrame) -> DataFrame:
+    """A header and the table's rows as lines; every column is as wide as its longest cell."""
+    shown = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")).alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    longest = shown.agg(*[F.max(F.char_length(c)).alias(c) for c in shown.columns]).first()
+    widths = [max(len(name), longest[c] or 0) for name, c in zip(df.columns, shown.columns)]
+    head = " ".join(name.ljust(w) for name, w in zip(df.columns, widths)).rstrip()
+    body = shown.select(F.lit(1).alias("part"), F.rtrim(F.concat_ws(" ", *[F.rpad(c, w, " ") for c, w in zip(shown.columns, widths)])).alias("value"))
+    return df.sparkSession.createDataFrame([(0, head)], "part int, value string").unionByName(body)
 
 
 def write_leaderboard(df: DataFrame, path: str, fmt: str) -> None:
@@ -40,7 +44,7 @@ def write_leaderboard(df: DataFrame, path: str, fmt: str) -> None:
     elif fmt == "markdown":
         markdown_lines(df).coalesce(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(path)
     elif fmt == "text":
-        text_lines(df).coalesce(1).write.mode("overwrite").text(path)
+        text_lines(df).coalesce(1).sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown format {fmt}")
 
