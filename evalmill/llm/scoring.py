@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from evalmill.llm.texts import bounds, slices, split_words
 from evalmill.session import pin
 
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 #: A word of at least this share of the training tokens is a symbol of its own: at most 1 / SHARE of them.
 SHARE = 1 / 20_000
 CLASSES = 4096
