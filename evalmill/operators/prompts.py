@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -242,6 +243,88 @@ def render_chat(conv: DataFrame, roles: Mapping[str, tuple[str, str]], begin: st
     return conv.groupBy("conv_id").agg(F.concat(F.lit(begin), body, F.lit(end)).alias("prompt"))
 
 
+@dataclass(frozen=True)
+class RoleMarks:
+    """Marks of a role; ``default`` is its text in a round without a turn of it, ``generate``: the model speaks here."""
+
+    name: str
+    begin: str = ""
+    end: str = ""
+    default: str = ""
+    generate: bool = False
+
+
+def render_rounds(
+    conv: DataFrame,
+    roles: Sequence[RoleMarks],
+    reserved: Sequence[RoleMarks] = (),
+    fallback: Mapping[str, str] | None = None,
+    begin: str = "",
+    end: str = "",
+    generate: bool = False,
+) -> DataFrame:
+    """One prompt per conversation(conv_id, turn, role, text[, turn_begin, turn_end]) from a model's round of ``roles``.
+
+    A round goes through all roles in order; a turn whose role does not come after the last one opens the next round.
+    ``reserved`` roles and those in ``fallback`` (shown with the marks of another role) stand between rounds, a turn
+    without a role is shown bare, any other role raises. ``turn_begin`` and ``turn_end`` replace a role's marks for a
+    turn. With ``generate`` the last round ends behind the opening mark of its first generating role, and neither
+    later turns nor ``end`` follow.
+    """
+    names, n = [r.name for r in roles], len(roles)
+    marks = {r.name: r for r in [*roles, *reserved]}
+    marks |= {role: marks[other] for role, other in (fallback or {}).items() if role not in marks}
+    own = lambda c: F.col(c) if c in conv.columns else F.lit(None).cast("string")
+
+    unknown = F.raise_error(F.concat(F.lit("no marks for role "), F.col("role"))).cast("int")
+    place, left, right = F.when(F.col("role").isNull(), F.lit(-1)), F.lit(""), F.lit("")
+    for name, r in marks.items():
+        hit = F.col("role") == name
+        place = place.when(hit, names.index(name) if name in names else -1)
+        left, right = F.when(hit, F.lit(r.begin)).otherwise(left), F.when(hit, F.lit(r.end)).otherwise(right)
+    turn = F.struct(
+        F.col("turn").cast("bigint").alias("turn"),
+        place.otherwise(unknown).alias("place"),
+        F.coalesce(own("turn_begin"), left).alias("begin"),
+        F.concat(F.coalesce("text", F.lit("")), F.coalesce(own("turn_end"), right)).alias("rest"),
+    )
+    rows = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    before = lambda i: F.coalesce(F.get("turns", i - 1)["place"], F.lit(-1))
+
+    speaker = next((i for i, r in enumerate(roles) if r.generate), None) if generate else None
+    if speaker is not None:
+        opens = lambda t, i: F.when((t["place"] >= 0) & ((before(i) < 0) | (t["place"] <= before(i))), i)
+        rows = rows.withColumn("cut", F.array_max(F.transform("turns", opens)))
+        tail = F.slice("turns", F.col("cut") + 1, F.size("turns"))
+        mark = F.get(F.filter(tail, lambda t: t["place"] == speaker), F.lit(0))["begin"]
+        asked = F.struct(
+            F.lit(None).cast("bigint").alias("turn"),
+            F.lit(speaker).alias("place"),
+            F.coalesce(mark, F.lit(roles[speaker].begin)).alias("begin"),
+            F.lit("").alias("rest"),
+        )
+        heard = F.filter(tail, lambda t: (t["place"] >= 0) & (t["place"] < speaker))
+        short = F.concat(F.slice("turns", F.lit(1), F.col("cut")), heard, F.array(asked))
+        rows = rows.withColumn("turns", F.when(F.col("cut").isNull(), F.col("turns")).otherwise(short))
+
+    shown = [r.begin + r.default + r.end for r in roles]
+    silent = F.array(*[F.lit("".join(shown[a:b])) for a in range(n + 1) for b in range(n + 1)])
+    gap = lambda a, b: F.get(silent, a * (n + 1) + b)  # noqa: E731  roles from a up to b, without turns
+    closing = lambda last: F.when(last >= 0, gap(last + 1, F.lit(n))).otherwise("")
+
+    def piece(t: Column, i: Column) -> Column:
+        opening = F.when(t["place"] >= 0, gap(F.lit(0), t["place"])).otherwise("")
+        same = (before(i) >= 0) & (t["place"] > before(i))
+        lead = F.when(same, gap(before(i) + 1, t["place"])).otherwise(F.concat(closing(before(i)), opening))
+        return F.concat(lead, t["begin"], t["rest"])
+
+    tail_text = F.concat(closing(before(F.size("turns"))), F.lit(end))
+    if speaker is not None:
+        tail_text = F.when(F.col("cut").isNull(), tail_text).otherwise("")
+    body = F.array_join(F.transform("turns", piece), "")
+    return rows.select("conv_id", F.concat(F.lit(begin), body, tail_text).alias("prompt"))
+
+
 # --- options --------------------------------------------------------------------------------------
 
 

@@ -192,6 +192,19 @@ def _(t):
     return P.render_chat(t.conversations, roles, "<s>", "</s>")
 
 
+@query("b15_render_chat_generate", """
+WITH p AS (SELECT *, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE -1 END AS k FROM conversations),
+l AS (SELECT *, lag(k, 1, -1) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM p),
+s AS (SELECT *, max(turn) FILTER (k >= 0 AND (b < 0 OR k <= b)) OVER (PARTITION BY conv_id) AS cut FROM l),
+x AS (SELECT conv_id, turn, cut, CASE WHEN turn > cut AND k < 0 OR turn > cut AND k = 1 THEN '' ELSE
+ CASE WHEN b = 0 AND k <= 0 THEN '[A][/A]' ELSE '' END || CASE WHEN k = 1 AND b <> 0 THEN '[U][/U]' ELSE '' END ||
+ CASE WHEN k = 0 THEN '[U]' || text || '[/U]' WHEN k < 0 THEN '[S]' || text || '[/S]' WHEN turn = cut THEN '' ELSE '[A]' || text || '[/A]' END END AS piece FROM s)
+SELECT conv_id, '<s>' || string_agg(piece, '' ORDER BY turn) || CASE WHEN max(cut) IS NULL THEN '</s>' ELSE '[A]' END AS prompt FROM x GROUP BY conv_id""")
+def _(t):
+    roles = [P.RoleMarks("user", "[U]", "[/U]"), P.RoleMarks("assistant", "[A]", "[/A]", generate=True)]
+    return P.render_rounds(t.conversations, roles, [P.RoleMarks("system", "[S]", "[/S]")], begin="<s>", end="</s>", generate=True)
+
+
 def with_options(t):
     return t.part.select(
         F.col("p_partkey").alias("item_id"),

@@ -80,3 +80,48 @@ def test_fit_context_keeps_a_prefix(spark):
 def test_labels_from_output_refuses_free_text(spark):
     with pytest.raises(ValueError):
         P.labels_from_output(spark.range(50), "id", limit=10)
+
+
+TURNS = [
+    (0, None, "begin", None),
+    (1, "SYSTEM", "system msg", None),
+    (2, "HUMAN", "U0", None),
+    (3, "BOT", "B0", None),
+    (4, "HUMAN", "U1", "\n"),
+    (5, "BOT", "B1", None),
+    (6, "HUMAN", "U2", None),
+    (7, "BOT", "B2", None),
+    (8, None, "end", None),
+]
+
+
+def rounds(spark, thinks: bool, system: bool, generate: bool, turns=TURNS) -> str:
+    conv = spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn int, role string, text string, turn_end string")
+    roles = [
+        P.RoleMarks("HUMAN", "<H>:", "<eoh>\n"),
+        P.RoleMarks("THOUGHTS", "<T>:", "<eot>\n", "None", generate=thinks),
+        P.RoleMarks("BOT", "<B>:", "<eob>\n", generate=not thinks),
+    ]
+    reserved = [P.RoleMarks("SYSTEM", "<S>:", "<eos>\n")] if system else []
+    return P.render_rounds(conv, roles, reserved, {"SYSTEM": "HUMAN"}, "meta\n", "meta end", generate).first()["prompt"]
+
+
+@pytest.mark.parametrize("system", [False, True])
+def test_render_rounds(spark, system):
+    first = "<S>:system msg<eos>\n" if system else "<H>:system msg<eoh>\n"
+    common = "meta\nbegin" + first + "<H>:U0<eoh>\n<T>:None<eot>\n<B>:B0<eob>\n<H>:U1\n<T>:None<eot>\n<B>:B1<eob>\n<H>:U2<eoh>\n<T>:"
+    whole = common + "None<eot>\n<B>:B2<eob>\nendmeta end"
+    assert rounds(spark, True, system, generate=True) == common
+    assert rounds(spark, False, system, generate=True) == common + "None<eot>\n<B>:"
+    assert rounds(spark, True, system, generate=False) == rounds(spark, False, system, generate=False) == whole
+
+
+def test_render_rounds_edges(spark):
+    alone = [(0, "SYSTEM", "s", None)]
+    assert rounds(spark, True, True, True, alone) == "meta\n<S>:s<eos>\nmeta end"
+    two = [(0, "BOT", "b", None), (1, "BOT", None, None)]
+    filled = "<H>:<eoh>\n<T>:None<eot>\n"
+    assert rounds(spark, False, True, False, two) == f"meta\n{filled}<B>:b<eob>\n{filled}<B>:<eob>\nmeta end"
+    assert rounds(spark, False, True, True, two) == f"meta\n{filled}<B>:b<eob>\n{filled}<B>:"
+    with pytest.raises(Exception, match="no marks for role"):
+        rounds(spark, True, True, False, [(0, "JUDGE", "x", None)])
