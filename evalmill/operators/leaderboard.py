@@ -78,11 +78,19 @@ def group_scores(results: DataFrame, taxonomy: DataFrame) -> DataFrame:
     )
 
 
-def pivot_models(results: DataFrame, models: Sequence[str], digits: int = 2) -> DataFrame:
-    """One row per (dataset, metric), one text column per model, ``-`` where missing."""
+def pivot_models(results: DataFrame, models: Sequence[str], digits: int = 2, settings: DataFrame | None = None) -> DataFrame:
+    """One row per (dataset, metric), one text column per model, ``-`` where missing.
+
+    ``settings(dataset, version, mode)`` with one row per set adds the prompt version and how the set was run.
+    """
     cell = F.format_string(f"%.{digits}f", F.round("score", digits))
     wide = results.withColumn("_c", cell).groupBy("dataset", "metric").pivot("model", list(models)).agg(F.first("_c"))
-    return wide.select("dataset", "metric", *[F.coalesce(F.col(m), F.lit("-")).alias(m) for m in models])
+    cells = [F.coalesce(F.col(m), F.lit("-")).alias(m) for m in models]
+    if settings is None:
+        return wide.select("dataset", "metric", *cells)
+    known = wide.join(settings.select("dataset", F.col("version").alias("_v"), F.col("mode").alias("_m")), "dataset", "left")
+    version, mode = (F.coalesce(F.col(c), F.lit("-")).alias(name) for c, name in (("_v", "version"), ("_m", "mode")))
+    return known.select("dataset", version, "metric", mode, *cells)
 
 
 def compression_table(results: DataFrame, datasets: Sequence[str], digits: int = 4) -> DataFrame:

@@ -110,6 +110,18 @@ def _(t):
     return L.pivot_models(t.ev_results, [*MODELS, "m9"])
 
 
+@query("g29_leaderboard_settings", RESULTS + """
+SELECT dataset, CASE WHEN dataset <> '5-LOW' THEN substr(md5(dataset), 1, 6) ELSE '-' END AS version, metric,
+CASE WHEN dataset = '5-LOW' THEN '-' WHEN dataset < '3' THEN 'gen' ELSE 'ppl' END AS mode, """ + ", ".join(
+    f"coalesce(printf('%.2f', round(max(score) FILTER (model = '{m}'), 2)), '-') AS {m}" for m in MODELS
+) + " FROM ev_results GROUP BY dataset, metric")
+def _(t):
+    version = F.substring(F.md5(F.col("dataset").cast("binary")), 1, 6)
+    mode = F.when(F.col("dataset") < "3", "gen").otherwise("ppl")
+    listed = t.ev_results.filter(F.col("dataset") != "5-LOW").select("dataset", version.alias("version"), mode.alias("mode")).distinct()
+    return L.pivot_models(t.ev_results, MODELS, settings=listed)
+
+
 @query("g30_compression_table", RESULTS + """
 , a AS (SELECT model, """ + ", ".join(
     f"round(max(score) FILTER (dataset = '{d}'), 4) AS \"{d}\"" for d in SETS
