@@ -1,10 +1,9 @@
 """Ranks, running sums and exact selection that hold when one group is huge.
 
 A plain ``row_number() over (partition by g order by x)`` sorts the whole of
-``g`` in one task. Here the order column is cut at approximate percentiles, so
-each (group, slot) is a small piece; slot totals (a tiny table) give every
-piece its starting offset. Cut points become literals in the plan, so
-recomputed tasks see the same slots.
+``g`` in one task. Here rows are dealt by ranges of (g, x, tie), so a huge group,
+or one heavy value, is cut into as many slots as its size asks for; slot totals
+(a tiny table) give every slot its starting offset.
 """
 
 from __future__ import annotations
@@ -14,28 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.session import pin
 
-def cut_points(df: DataFrame, columns: Sequence[str], pieces: int) -> list[list]:
-    """Distinct approximate percentiles of numeric columns: one pass, ``pieces`` numbers each."""
-    shares = [i / pieces for i in range(1, pieces)]
-    row = df.agg(*[F.percentile_approx(F.col(c), shares, 1000).alias(c) for c in columns]).first()
-    return [sorted(set(row[c] or [])) for c in columns]
 
+def range_slots(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``_slot``, the number of the row's range in the order of ``columns``.
 
-def slot_of(value: Column, points: list) -> Column:
-    """0..2n: every cut point is a slot of its own, so a heavy value stands alone.
-
-    Nested comparisons, about log2(n) of them per row.
+    Spark samples the ranges; they are written once, as a number that is computed again may differ.
     """
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(2 * lo)
-        mid = (lo + hi) // 2
-        point = F.lit(points[mid])
-        return F.when(value < point, search(lo, mid)).when(value == point, 2 * mid + 1).otherwise(search(mid + 1, hi))
-
-    return search(0, len(points))
+    return pin(df.repartitionByRange(*columns).withColumn("_slot", F.spark_partition_id()))
 
 
 def running(
@@ -45,7 +31,6 @@ def running(
     tie: Column,
     sums: dict[str, Column] | None = None,
     rank: str | None = "rank",
-    pieces: int = 32,
 ) -> DataFrame:
     """Add ``rank`` (1-based) and inclusive running sums inside each ``by`` group.
 
@@ -55,12 +40,9 @@ def running(
     sums = sums or {}
     by = list(by)
     work = df.withColumn("_o", order).withColumn("_t", tie)
-    points, tie_points = cut_points(work, ["_o", "_t"], pieces)
-    slot = slot_of(F.col("_o"), points)
-    fine = F.when(slot % 2 == 1, slot_of(F.col("_t"), tie_points)).otherwise(0)
-    work = work.withColumn("_slot", (slot * (2 * pieces + 1) + fine).cast("int"))
     for name, value in sums.items():
         work = work.withColumn(f"_v_{name}", value)
+    work = range_slots(work, [*by, "_o", "_t"])
     totals = work.groupBy(*by, "_slot").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in sums],

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalmill.operators import ordering as O
@@ -17,9 +18,19 @@ def skewed(spark, n=4000):
     return rows, spark.createDataFrame(rows, "g string, v double, id bigint, w double")
 
 
-def test_running_rank_and_sum(spark):
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """Small tables in one range, and in as many as there are shuffle partitions."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield request.param
+    spark.conf.set(key, old)
+
+
+def test_running_rank_and_sum(spark, coalesced):
     rows, df = skewed(spark)
-    out = O.running(df, ["g"], F.col("v"), F.col("id"), {"total": F.col("w")}, pieces=8).collect()
+    out = O.running(df, ["g"], F.col("v"), F.col("id"), {"total": F.col("w")}).collect()
     assert len(out) == len(rows)
     got = {r["id"]: (r["rank"], r["total"]) for r in out}
     for g in {r[0] for r in rows}:
@@ -29,29 +40,30 @@ def test_running_rank_and_sum(spark):
             assert got[r[2]] == (place, total)
 
 
-def test_running_without_groups_descending(spark):
+def test_running_without_groups_descending(spark, coalesced):
     rows, df = skewed(spark, 1500)
-    out = O.running(df, [], -F.col("v"), F.col("id"), pieces=16).collect()
+    out = O.running(df, [], -F.col("v"), F.col("id")).collect()
     expected = {r[2]: i for i, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[2])), 1)}
     assert {r["id"]: r["rank"] for r in out} == expected
 
 
-def test_running_splits_the_hot_group(spark):
+def test_running_on_no_rows(spark, coalesced):
+    df = skewed(spark, 10)[1].filter("id < 0")
+    assert O.running(df, ["g"], F.col("v"), F.col("id"), {"total": F.col("w")}).collect() == []
+
+
+@pytest.mark.parametrize("coalesced", ["false"], indirect=True)
+def test_ranges_split_the_hot_group(spark, coalesced):
     """The heavy value of the heavy group is cut by its tie column."""
     _, df = skewed(spark)
-    work = df.withColumn("_o", F.col("v")).withColumn("_t", F.col("id"))
-    points, ties = O.cut_points(work, ["_o", "_t"], 16)
-    slot = O.slot_of(F.col("_o"), points)
-    fine = F.when(slot % 2 == 1, O.slot_of(F.col("_t"), ties)).otherwise(0)
-    largest = work.groupBy("g", slot.alias("a"), fine.alias("b")).count().agg(F.max("count")).first()[0]
-    assert largest < work.filter("g = 'hot'").count() / 8
-
-
-def test_slot_of_counts_points_below(spark):
-    points = [1.0, 2.0, 5.0]
-    df = spark.createDataFrame([(0.5,), (1.0,), (1.5,), (2.0,), (4.0,), (5.0,), (9.0,)], "x double")
-    got = [r[0] for r in df.select(O.slot_of(F.col("x"), points)).collect()]
-    assert got == [0, 1, 2, 3, 4, 5, 6]
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    dealt = O.range_slots(df, ["g", "v", "id"])
+    spark.conf.set(key, old)
+    assert dealt.select("_slot").distinct().count() == 16
+    largest = dealt.groupBy("g", "_slot").count().agg(F.max("count")).first()[0]
+    assert largest < df.filter("g = 'hot'").count() / 6
 
 
 def test_smallest_is_exact(spark):
