@@ -1,9 +1,10 @@
 """Hidden Markov language model: Baum-Welch on all training documents, exact likelihoods by the scaled forward recursion.
 
-States emit symbols: every word with at least SHARE of the training tokens is one, other words share the symbol of
-their ending, and the end of a text is one. Inside such a class a word has its smoothed relative frequency, so word
-probabilities sum to one and the tables of the model stay small for any vocabulary. Word counts themselves live in
-a distributed table; chunks of documents fetch the counts of their own distinct words from it.
+States emit words and the end of a text. Every word has an emission of its own in every state, however rare it is, so
+the table of emissions grows with the vocabulary and is never in one place: it is cut by a hash of the word into
+buckets. Chunks of documents hold the rows of their own distinct words. In each round they send their expected counts
+to the buckets, which add them by word and send every chunk its rows back. Only starts, moves, the emissions of the
+end and one total per state reach the driver.
 """
 
 from __future__ import annotations
@@ -15,21 +16,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.llm.texts import bounds, slices, split_words
 from evalmill.session import pin
 
 CHUNK = 12 << 20
-#: A word of at least this share of the training tokens is a symbol of its own: at most 1 / SHARE of them.
-SHARE = 1 / 20_000
-CLASSES = 4096
+#: Rows (one per chunk and distinct word) that a bucket holds on average: the number of buckets grows with the input.
+BUCKET = 500_000
 #: Longest training sequence; longer texts train as several, scores are never cut.
 SEGMENT = 1024
 LOCKSTEP = 512
-CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, n_train array<bigint>"
-CODED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, class_score double, symbols binary"
+CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, n_train array<bigint>, order binary"
+SHARED = "chunk bigint, bucket int, index binary, c binary, fresh bigint, loose double"
+#: Occurrences, dealt like all tokens over the states, that are added to a word's own before its states are estimated.
+KAPPA = 10.0
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -37,11 +39,20 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """Chunks of documents(doc_id, text, held) with the places of their words among the chunk's distinct ones, written once."""
+    """Chunks of documents(doc_id, text, held) with the places of their words among the chunk's distinct ones, written once.
+
+    ``order`` lists the distinct words by hash, so those of a bucket stand together.
+    """
     schema = pa.schema(
         [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("counts", pa.list_(pa.int32()))]
-        + [("places", pa.binary()), ("words", pa.list_(pa.string())), ("n_train", pa.list_(pa.int64()))]
+        + [("places", pa.binary()), ("words", pa.list_(pa.string())), ("n_train", pa.list_(pa.int64())), ("order", pa.binary())]
     )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -69,103 +80,88 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             arrays = [pa.array([v], f.type) for v, f in zip(row, schema)]
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())))
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(n_train)], pa.int32()), pa.array(n_train, pa.int64())))
+            order = np.argsort(word_hashes(coded.dictionary), kind="stable")
+            arrays.append(pa.array([order.astype("<u4").tobytes()], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return pin(docs.withColumn("size", F.octet_length("text")).mapInArrow(cut, CHUNKS))
 
 
 @dataclass
-class Symbols:
-    """The bounded part of the vocabulary: frequent words and class totals, with the corpus totals."""
+class Totals:
+    """Training tokens with ends, distinct ones among them, ends, and the sum of ``loose`` over the distinct ones."""
 
     n_tokens: int
     n_distinct: int
     n_ends: int
-    frequent: dict[str, int]
-    word_counts: np.ndarray
-    class_tokens: np.ndarray
-    class_words: np.ndarray
+    loose: float
 
     @property
-    def size(self) -> int:
-        return 1 + len(self.frequent) + CLASSES
+    def whole(self) -> float:
+        return self.n_tokens + 0.5 * (self.n_distinct + 1)
 
-    def unigram(self) -> np.ndarray:
-        counts = np.concatenate([[self.n_ends], self.word_counts, self.class_tokens]) + 0.5
-        return counts / counts.sum()
+    def base(self, counts):
+        """Smoothed unigram probability of words of these training counts; what is left is that of one unseen word."""
+        return (counts + 0.5) / self.whole
 
 
-def word_class(word: Column) -> Column:
-    """Class of a word by its last three characters."""
-    return F.pmod(F.xxhash64(F.substring(word, -3, 3)), F.lit(CLASSES)).cast("int")
+def loose(counts):
+    """The part of a word's occurrences that is dealt over the states like all tokens: nearly all of a rare word's."""
+    return counts * KAPPA / (counts + KAPPA)
 
 
-def count_words(chunks: DataFrame) -> DataFrame:
-    """(chunk, pos, word, c, lead): the training count of every distinct word of every chunk; lead marks one row per word.
+def share_words(chunks: DataFrame) -> DataFrame:
+    """(chunk, bucket, index, c, fresh, loose): for a chunk's words of a bucket, by hash, their rows in the bucket and training counts.
 
-    A word stands at most once per chunk, so its group has one row per chunk and no occurrence is shuffled.
+    A word stands at most once per chunk, and a bucket has one row per chunk. ``fresh`` counts the bucket's words with
+    training tokens and ``loose`` sums theirs, on one of its rows.
     """
-    listed = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "n_train")).alias("pos", "at")).select("chunk", "pos", "at.words", "at.n_train")
-    by_word = Window.partitionBy("words")
-    first = F.row_number().over(by_word.orderBy("chunk")) == 1
-    return pin(listed.select("chunk", "pos", F.col("words").alias("word"), F.sum("n_train").over(by_word).alias("c"), first.alias("lead")))
-
-
-def read_symbols(chunks: DataFrame, counted: DataFrame) -> Symbols:
-    ends = chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
-    seen = counted.filter("lead and c > 0")
-    totals = seen.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n = (totals["n"] or 0) + ends
-    # at most 1 / SHARE words and CLASSES totals reach the driver
-    frequent = seen.filter(F.col("c") >= SHARE * n).select("word", "c").orderBy("word").collect()
-    classes = seen.filter(F.col("c") < SHARE * n).groupBy(word_class(F.col("word")).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in classes:
-        tokens[r["k"]], words[r["k"]] = r["n"], r["v"]
-    counts = np.array([r["c"] for r in frequent], dtype=np.int64)
-    return Symbols(n, totals["v"] + (ends > 0), ends, {r["word"]: i + 1 for i, r in enumerate(frequent)}, counts, tokens, words)
-
-
-def code_documents(chunks: DataFrame, counted: DataFrame, symbols: Symbols) -> DataFrame:
-    """One row per document: its symbols (little-endian unsigned 16-bit, the end last) and what needs no state."""
-    back = counted.select(F.col("chunk").alias("home"), "pos", "c", word_class(F.col("word")).alias("class"))
-    s, least = symbols, SHARE * symbols.n_tokens
-    if s.size > 1 << 16:
-        raise ValueError("too many symbols")
-
-    def code(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(found.column("pos")))
-        c = np.asarray(found.column("c"), dtype=np.float64)[order]
-        classes = np.asarray(found.column("class"), dtype=np.int64)[order]
-        words = chunk.column("words")[0].as_py()
-        symbol = classes + 1 + len(s.frequent)
-        often = np.flatnonzero((c >= least) & (c > 0))
-        symbol[often] = [s.frequent[words[i]] for i in often]
-        inside = np.log10((c + 0.5) / (s.class_tokens[classes] + 0.5 * (s.class_words[classes] + 1)))
-        inside[often] = 0.0
-        whole = s.n_tokens + 0.5 * (s.n_distinct + 1)
-        base = np.log10((c + 0.5) / whole)
-        end_base = np.log10((s.n_ends + 0.5) / whole)
-        places = np.frombuffer(zlib.decompress(chunk.column("places")[0].as_py()), "<u4").astype(np.int64)
-        edges = bounds(np.array(chunk.column("counts")[0].as_py(), dtype=np.int64))
-        coded, known = symbol[places].astype("<u2"), (c > 0)[places]
-        of_base, of_class = base[places], inside[places]
-        end = np.zeros(1, "<u2").tobytes()
+    pairs = chunks.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    bits = max(6, (pairs // BUCKET).bit_length())
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("n_train", pa.list_(pa.int64()))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, n_train = batch.column("words")[i].values, batch.column("n_train")[i].values
+                order = np.frombuffer(batch.column("order")[i].as_py(), "<u4")
+                words, n_train = words.take(pa.array(order)), n_train.take(pa.array(order))
+                bucket = (word_hashes(words) >> np.uint64(64 - bits)).astype(np.int32)
+                used, first = np.unique(bucket, return_index=True)
+                ends = pa.array(np.append(first, len(words)), pa.int32())
+                chunk = pa.array(np.full(len(used), batch.column("chunk")[i].as_py()), pa.int64())
+                lists = [pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, n_train)]
+                yield pa.RecordBatch.from_arrays([chunk, pa.array(used, pa.int32()), *lists], schema=schema)
+
+    def count(rows: pa.Table) -> pa.Table:
+        lists = rows.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        index = np.asarray(coded.indices, dtype=np.int64)
+        c = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(c, index, np.asarray(rows.column("n_train").combine_chunks().flatten()))
+        edges = bounds(np.asarray(lists.value_lengths(), dtype=np.int64))
         spans = list(zip(edges, edges[1:]))
         return pa.table(
             {
-                "doc_id": pa.array(chunk.column("doc_ids")[0].as_py(), pa.int64()),
-                "held_out": pa.array(chunk.column("held")[0].as_py(), pa.bool_()),
-                "n_tokens": pa.array([b - a + 1 for a, b in spans], pa.int64()),
-                "n_known": pa.array([int(known[a:b].sum()) + (s.n_ends > 0) for a, b in spans], pa.int64()),
-                "base_score": pa.array([float(of_base[a:b].sum() + end_base) for a, b in spans], pa.float64()),
-                "class_score": pa.array([float(of_class[a:b].sum()) for a, b in spans], pa.float64()),
-                "symbols": pa.array([coded[a:b].tobytes() + end for a, b in spans], pa.binary()),
+                "chunk": rows.column("chunk"),
+                "bucket": rows.column("bucket"),
+                "index": pa.array([index[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                "c": pa.array([c[index[a:b]].astype("<i8").tobytes() for a, b in spans], pa.binary()),
+                "fresh": pa.array([int((c > 0).sum()) if n == 0 else 0 for n in range(len(spans))], pa.int64()),
+                "loose": pa.array([float(loose(c).sum()) if n == 0 else 0.0 for n in range(len(spans))], pa.float64()),
             }
         )
 
-    whole = chunks.select("chunk", "doc_ids", "held", "counts", "places", "words").groupBy("chunk")
-    return pin(whole.cogroup(back.groupBy("home")).applyInArrow(code, CODED))
+    dealt = chunks.select("chunk", "words", "n_train", "order").mapInArrow(deal, "chunk bigint, bucket int, words array<string>, n_train array<bigint>")
+    return pin(dealt.groupBy("bucket").applyInArrow(count, SHARED))
+
+
+def read_totals(chunks: DataFrame, shared: DataFrame) -> Totals:
+    in_chunk = F.aggregate("n_train", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    found = chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("ends"), F.sum(in_chunk).alias("n")).first()
+    ends = found["ends"] or 0
+    words = shared.agg(F.sum("fresh").alias("n"), F.sum("loose").alias("loose")).first()
+    return Totals((found["n"] or 0) + ends, (words["n"] or 0) + (ends > 0), ends, (words["loose"] or 0.0) + loose(ends))
 
 
 @dataclass
@@ -248,75 +244,209 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
     return starts_sum, moves_sum, emits_sum
 
 
-def segments(symbols: pa.Array) -> list[np.ndarray]:
-    out = []
-    for held in symbols.to_pylist():
-        whole = np.frombuffer(held, "<u2")
-        out += [whole[a : a + SEGMENT] for a in range(0, len(whole), SEGMENT)]
-    return out
+@dataclass
+class Model:
+    """What the driver holds of the model: start (K), moves (K, K), end (K) and how a word's emissions are made.
 
+    At first they are ``weight`` times the smoothed unigram, and ``guess`` for some words. Later ``scale`` times a
+    word's own counts per state, as far as they are not loose, plus ``weight`` for each loose one and for the half
+    occurrence that the unigram adds.
+    """
 
-def first_guess(coded: DataFrame, unigram: np.ndarray, states: int, seed: int = 3) -> Hmm:
+    start: np.ndarray
+    moves: np.ndarray
+    end: np.ndarray
+    weight: np.ndarray
+    scale: np.ndarray | None
+    guess: dict[str, np.ndarray]
+
+    def needs(self) -> list[str]:
+        """Columns of a chunk: its words only where some of them are looked up."""
+        return ["chunk", "doc_ids", "held", "counts", "places", "order", *(["words"] if self.guess else [])]
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts to a 65,536th of an occurrence, by state and byte, so that what is clear compresses to little."""
+    rounded = np.round(counts.T * 65536.0) / 65536.0
+    return rounded.astype("<f4").reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def unpacked(held: bytes, states: int) -> np.ndarray:
+    planes = np.frombuffer(held, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<f4").reshape(states, -1).T
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a pinned table that a later one has replaced, and let Spark clean shuffles out of use."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    jvm.System.gc()
+
+
+class Chunk:
+    """One chunk with the training counts of its words and the counts per state, as the buckets have sent them."""
+
+    def __init__(self, chunk: pa.Table, rows: pa.Table, states: int):
+        held = {n: chunk.column(n)[0] for n in chunk.column_names}
+        self.number = held["chunk"].as_py()
+        self.words = held["words"].values if "words" in held else None
+        self.order = np.frombuffer(held["order"].as_py(), "<u4").astype(np.int64)
+        self.held = np.array(held["held"].as_py(), dtype=bool)
+        self.edges = bounds(np.array(held["counts"].as_py(), dtype=np.int64))
+        self.places = np.frombuffer(zlib.decompress(held["places"].as_py()), "<u4")
+        self.doc_ids = held["doc_ids"].as_py()
+        rows = rows.sort_by("bucket")
+        self.buckets = rows.column("bucket").to_pylist()
+        parts = [np.frombuffer(x, "<i8") for x in rows.column("c").to_pylist()]
+        self.cuts = bounds(np.array([len(x) for x in parts], dtype=np.int64))
+        self.c = np.zeros(len(self.order), np.int64)
+        self.sums = np.zeros((len(self.order), states))
+        if parts:
+            self.c[self.order] = np.concatenate(parts)
+        if parts and "sums" in rows.column_names:
+            self.sums[self.order] = np.concatenate([unpacked(x, states) for x in rows.column("sums").to_pylist()])
+
+    def hmm(self, model: Model, totals: Totals) -> Hmm:
+        """The model for this chunk: symbol 0 is the end, symbol 1 + i its i-th distinct word."""
+        if model.scale is not None:
+            emits = np.outer(loose(self.c) + 0.5, model.weight) + self.sums * (self.c / (self.c + KAPPA))[:, None] * model.scale
+        else:
+            emits = np.outer(totals.base(self.c), model.weight)
+            for i, w in enumerate(self.words.to_pylist()):
+                if w in model.guess:
+                    emits[i] += model.guess[w]
+        return Hmm(model.start, model.moves, np.vstack([model.end, emits]))
+
+    def sequence(self, i: int) -> np.ndarray:
+        return np.append(self.places[self.edges[i] : self.edges[i + 1]] + np.uint32(1), np.uint32(0))
+
+    def segments(self) -> list[np.ndarray]:
+        """The training sequences."""
+        out = []
+        for i in np.flatnonzero(~self.held):
+            whole = self.sequence(i)
+            out += [whole[a : a + SEGMENT] for a in range(0, len(whole), SEGMENT)]
+        return out
+
+
+def first_guess(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int, seed: int = 3) -> Model:
     """Emissions half the unigram, half one of a few texts that differ most: only the start of the iterations.
 
-    The texts are 16 per state, drawn by a hash.
+    The texts are 16 per state, drawn by a hash, each up to its first training sequence.
     """
-    drawn = coded.filter("not held_out").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "symbols").limit(16 * states).select("symbols").collect()
-    mixed = []
-    for r in drawn:
-        counts = np.bincount(np.frombuffer(r["symbols"], "<u2"), minlength=len(unigram)).astype(float)
-        mixed.append(0.5 * counts / counts.sum() + 0.5 * unigram)
-    chosen = [unigram]
+    listed = chunks.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "held")).alias("pos", "at")).filter("not at.held")
+    drawn = [(r["chunk"], r["pos"]) for r in listed.orderBy(F.xxhash64(F.lit(seed), "at.doc_ids"), "chunk", "pos").limit(16 * states).select("chunk", "pos").collect()]
+    of_chunk: dict[int, list[int]] = {}
+    for chunk, pos in drawn:
+        of_chunk.setdefault(chunk, []).append(pos)
+
+    def read(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        whole, out = Chunk(chunk, rows, states), []
+        for pos in of_chunk[whole.number]:
+            seen, n = np.unique(whole.sequence(pos)[:SEGMENT], return_counts=True)
+            out += [(whole.number, pos, None if i == 0 else whole.words[int(i) - 1].as_py(), 0 if i == 0 else int(whole.c[i - 1]), int(k)) for i, k in zip(seen, n)]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array(list(v), t) for n, v, t in zip(("chunk", "pos", "word", "c", "n"), zip(*out), types)})
+
+    found = []
+    if drawn:
+        here = F.col("chunk").isin(list(of_chunk))
+        both = chunks.drop("n_train").filter(here).groupBy("chunk").cogroup(shared.filter(here).select("chunk", "bucket", "c").groupBy("chunk"))
+        found = both.applyInArrow(read, "chunk bigint, pos bigint, word string, c bigint, n bigint").collect()
+    counts = {r["word"]: r["c"] for r in found} | {None: totals.n_ends}
+    row = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (w is not None, w or "")))}
+    known = np.array([totals.base(counts[w]) for w in row])
+    # words outside the drawn texts have the same ratio in all of them, so they stand together at the end
+    unigram = np.append(known, max(1 - known.sum(), 1e-12))
+    texts = {at: np.zeros(len(unigram)) for at in drawn}
+    for r in found:
+        texts[r["chunk"], r["pos"]][row[r["word"]]] = r["n"]
+    mixed = [0.5 * t / t.sum() + 0.5 * unigram for t in texts.values()]
+    chosen, last = [], unigram
     far = np.full(len(mixed), np.inf)
-    for _ in range(states - 1):
-        if not mixed:
-            break
-        last = chosen[-1]
+    while mixed and len(chosen) < states - 1:
         far = np.minimum(far, [float((m * np.log(m / last)).sum() + (last * np.log(last / m)).sum()) for m in mixed])
         chosen.append(mixed[int(far.argmax())])
-    chosen += [unigram] * (states - len(chosen))
+        last = chosen[-1]
+    weight = np.array([1.0] + [0.5] * len(chosen) + [1.0] * (states - 1 - len(chosen)))
+    more = np.zeros((len(unigram), states))
+    for j, m in enumerate(chosen):
+        more[:, j + 1] = m - 0.5 * unigram
     stay = 0.95
     moves = np.full((states, states), (1 - stay) / max(states - 1, 1))
     np.fill_diagonal(moves, stay if states > 1 else 1.0)
-    return Hmm(np.full(states, 1 / states), moves, np.array(chosen).T.copy())
+    guess = {w: more[i] for w, i in row.items() if w is not None}
+    return Model(np.full(states, 1 / states), moves, weight * totals.base(totals.n_ends) + more[row[None]], weight, None, guess)
 
 
-def train(coded: DataFrame, unigram: np.ndarray, states: int = 8, rounds: int = 6, prior: float = 20.0) -> Hmm:
-    """Baum-Welch over all training rows; every round adds the tasks' counts by symbol and collects the model's size."""
-    model = first_guess(coded, unigram, states)
+def expect(chunks: DataFrame, rows: DataFrame, model: Model, totals: Totals, states: int) -> DataFrame:
+    """One round's expected counts: (chunk, bucket, counts) of a chunk's words, and in rows with a negative bucket the
+    sums s0, s1, ... of moves (-K to -1), starts, ends, all tokens and those that are not loose."""
     names = [f"s{i}" for i in range(states)]
-    schema = "symbol int, " + ", ".join(f"{n} double" for n in names)
-
-    def counts_of(model: Hmm):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                for part in slices(batch, "symbols", 8 << 20):
-                    found = expected_counts(model, segments(part.column("symbols")))
-                    total = found if total is None else tuple(a + b for a, b in zip(total, found))
-            if total is not None:
-                start, moves, emits = total
-                used = np.flatnonzero(emits.sum(axis=1))
-                rows = np.vstack([start[None], moves, emits[used]])
-                keys = np.concatenate([[-1 - states], np.arange(-states, 0), used]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(rows[:, j]) for j in range(states)]], names=["symbol", *names])
-
-        return run
-
-    training = coded.filter("not held_out").select("symbols")
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), *[(n, pa.float64()) for n in names]])
+
+    def run(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        whole = Chunk(chunk, rows, states)
+        sequences = whole.segments()
+        if not sequences:
+            return schema.empty_table()
+        start, moves, emits = expected_counts(whole.hmm(model, totals), sequences)
+        sent = emits[1:][whole.order]
+        counts = [packed(sent[a:b]) for a, b in zip(whole.cuts, whole.cuts[1:])]
+        c = np.append(totals.n_ends, whole.c)
+        small = np.vstack([moves, start, emits[0], emits.sum(axis=0), (c / (c + KAPPA)) @ emits])
+        keys = [*range(-states, 0), *[-i - states for i in (1, 2, 3, 4)]]
+        values = np.vstack([np.zeros((len(counts), states)), small])
+        columns = [[whole.number] * len(values), [*whole.buckets, *keys], [*counts, *[None] * len(keys)], *values.T]
+        return pa.table([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+
+    kept = chunks.select(*model.needs())
+    return pin(kept.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(run, "chunk bigint, bucket int, counts binary, " + ", ".join(f"{n} double" for n in names)))
+
+
+def add_counts(expected: DataFrame, shared: DataFrame, states: int) -> DataFrame:
+    """(chunk, bucket, c, sums): the chunks' expected counts added by word, sent back to every chunk that has the word."""
+
+    def add(sent: pa.Table, rows: pa.Table) -> pa.Table:
+        index = {r: np.frombuffer(x, "<u4") for r, x in zip(rows.column("chunk").to_pylist(), rows.column("index").to_pylist())}
+        sums = np.zeros((1 + max(int(x.max()) for x in index.values()), states))
+        # a chunk has a word once, so no row is added twice in one step; chunks in order, for the same sums in every run
+        for chunk, counts in sorted(zip(sent.column("chunk").to_pylist(), sent.column("counts").to_pylist())):
+            sums[index[chunk]] += unpacked(counts, states)
+        back = pa.array([packed(sums[index[r]]) for r in rows.column("chunk").to_pylist()], pa.binary())
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "c": rows.column("c"), "sums": back})
+
+    sent = expected.filter("bucket >= 0").select("chunk", "bucket", "counts")
+    known = shared.select("chunk", "bucket", "index", "c")
+    return sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(add, "chunk bigint, bucket int, c binary, sums binary")
+
+
+def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8, rounds: int = 6) -> tuple[Model, DataFrame]:
+    """Baum-Welch over all training rows: the model and the rows with the counts that its emissions need.
+
+    Of a word seen c times, KAPPA parts in c + KAPPA are dealt over the states like all tokens and the others as they
+    were found, so few occurrences say little and a word that was never seen has about its unigram share in every state.
+    """
+    model, rows = first_guess(chunks, shared, totals, states), shared.select("chunk", "bucket", "c")
+    names, last = [f"s{i}" for i in range(states)], None
     for _ in range(rounds):
-        added = training.mapInArrow(counts_of(model), schema).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-        if not added.num_rows:
+        expected = expect(chunks, rows, model, totals, states)
+        added = {r["bucket"]: np.array([r[n] for n in names]) for r in expected.filter("bucket < 0").groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+        if last is not None:
+            release(last)
+        if not added:
             break
-        keys = np.asarray(added.column("symbol").combine_chunks())
-        rows = np.column_stack([np.asarray(added.column(n).combine_chunks()) for n in names])
-        emits = np.outer(unigram, np.full(states, prior))
-        emits[keys[keys >= 0]] += rows[keys >= 0]
-        moves = np.full((states, states), 0.1)
-        moves[keys[(keys < 0) & (keys >= -states)] + states] += rows[(keys < 0) & (keys >= -states)]
-        start = rows[keys == -1 - states].sum(axis=0) + 0.1
-        model = Hmm(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
-    return model
+        last = expected
+        rows = add_counts(expected, shared, states)
+        moves = np.array([added[i - states] for i in range(states)]) + 0.1
+        start, ends, tokens, firm = (added[-i - states] for i in (1, 2, 3, 4))
+        share = (tokens + 0.1) / (tokens + 0.1).sum()
+        scale = 1 / (firm + share * (totals.loose + 0.5 * (totals.n_distinct + 1)))
+        end = (ends * totals.n_ends / (totals.n_ends + KAPPA) + share * (loose(totals.n_ends) + 0.5)) * scale
+        model = Model((start + 0.1) / (start + 0.1).sum(), moves / moves.sum(axis=1, keepdims=True), end, share * scale, scale, {})
+    return model, rows
 
 
 def score_documents(docs: DataFrame, states: int = 8, rounds: int = 6, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -325,23 +455,32 @@ def score_documents(docs: DataFrame, states: int = 8, rounds: int = 6, id_col: s
     Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end. A null text is an empty one: its end alone.
     Training rows are those not held out (see ``held_out``); repeated rows count each time. Scores are log10 of the
     probability of the whole text: ``base_score`` under smoothed unigrams, ``score`` under the model, in which a word
-    that was never seen has what its class leaves for one such word. Without training rows the model is its prior.
+    that was never seen has what the states leave for one such word. Without training rows the model is its prior.
     """
     ids = F.col(f"`{id_col}`")
     rows = docs.select(ids.cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), held_out(ids).alias("held"))
     chunks = chunk_table(rows)
-    counted = count_words(chunks)
-    symbols = read_symbols(chunks, counted)
-    coded = code_documents(chunks, counted, symbols)
-    model = train(coded, symbols.unigram(), states, rounds)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "symbols", 8 << 20):
-                logs = forward(model, [np.frombuffer(x, "<u2") for x in part.column("symbols").to_pylist()])
-                score = pa.array(logs + np.asarray(part.column("class_score")))
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in schema.names[:-1]], score], schema=schema)
+    shared = share_words(chunks)
+    totals = read_totals(chunks, shared)
+    model, rows = train(chunks, shared, totals, states, rounds)
+
+    def score(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        whole = Chunk(chunk, rows, states)
+        base, known = np.log10(totals.base(whole.c)), whole.c > 0
+        of_base, of_known = base[whole.places], known[whole.places]
+        end_base = np.log10(totals.base(totals.n_ends))
+        spans = list(zip(whole.edges, whole.edges[1:]))
+        return pa.table(
+            {
+                "doc_id": pa.array(whole.doc_ids, pa.int64()),
+                "held_out": pa.array(whole.held, pa.bool_()),
+                "n_tokens": pa.array([b - a + 1 for a, b in spans], pa.int64()),
+                "n_known": pa.array([int(of_known[a:b].sum()) + (totals.n_ends > 0) for a, b in spans], pa.int64()),
+                "base_score": pa.array([float(of_base[a:b].sum() + end_base) for a, b in spans], pa.float64()),
+                "score": pa.array(forward(whole.hmm(model, totals), [whole.sequence(i) for i in range(len(spans))]), pa.float64()),
+            }
+        )
 
-    scored = coded.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(symbols.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    kept = chunks.select(*model.needs())
+    out = kept.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
