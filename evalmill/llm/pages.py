@@ -2,7 +2,7 @@
 
 Blocks (the text between block-level tags) stand for lines. A block's ratio is its text over its tags; ratios are
 smoothed with a Gaussian along the page, and a threshold on the smoothed values marks content. The marked text
-chooses the content region: the element around it. Every block of the region that is no boilerplate is returned,
+chooses the content region: the element around it. Forms and names of boilerplate are judged by what they hold. Every block of the region that is no boilerplate is returned,
 short ones too.
 """
 
@@ -35,6 +35,9 @@ DROP_NAMES = frozenset(
     "promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
+#: Of these, names that a wrapper of the article may have for its layout; the others tell what the text itself is.
+LAYOUT_NAMES = frozenset("hidden masthead menu nav navbar navigation search sidebar toolbar topbar widget widgets".split())
+OWN_NAMES = DROP_NAMES - LAYOUT_NAMES
 DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Elements that close an open element of the same kind when they begin, up to the given borders.
 CLOSES = {
@@ -52,13 +55,28 @@ PARTS = re.compile("[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "core", "inside", "text", "marked")
-
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, core: bool):
-        self.tag, self.parent, self.dropped, self.core = tag, parent, dropped, core
-        self.inside = core or (parent is not None and parent.inside)
+    """``hard``: it or an element around it never holds main text. ``soft``: it is a form or its names say boilerplate,
+    which what it holds can refute (see ``pardon``), but not if it is ``own``: then its names tell what its text is.
+    ``drops`` counts both kinds from the root on."""
+
+    __slots__ = ("tag", "parent", "hard", "soft", "own", "drops", "core", "inside", "text", "marked")
+
+    def __init__(self, tag: str, parent: Element | None, hard: bool = False, soft: bool = False, own: bool = False, core: bool = False):
+        self.tag, self.parent, self.soft, self.own = tag, parent, soft, own
+        self.hard = hard or (parent is not None and parent.hard)
+        self.drops = (parent.drops if parent is not None else 0) + (hard or soft)
+        self.core = core and not self.hard
+        self.inside = self.core or (parent is not None and parent.inside)
         self.text = self.marked = 0
 
+    def chain(self) -> list[Element]:
+        """From the root to this element."""
+        out, element = [], self
+        while element is not None:
+            out.append(element)
+            element = element.parent
+        return out[::-1]
+
 
 class Block:
     __slots__ = ("parts", "tags", "linked", "owner", "text")
@@ -67,10 +85,10 @@ class Block:
         self.parts, self.tags, self.linked, self.owner, self.text = [], 1, 0, owner, ""
 
 
-def names_boilerplate(value: str) -> bool:
+def names_boilerplate(value: str, words: frozenset = DROP_NAMES) -> bool:
     for name in value.split():
         parts = [p.lower() for p in PARTS.findall(name)]
-        if parts and not {"has", "no", "with", "without"} & set(parts) and (parts[0] in DROP_NAMES or parts[-1] in DROP_NAMES):
+        if parts and not {"has", "no", "with", "without"} & set(parts) and (parts[0] in words or parts[-1] in words):
             return True
     return False
 
@@ -80,7 +98,7 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Element("", None, False, False)
+        self.root = Element("", None)
         self.stack = [self.root]
         self.blocks: list[Block] = []
         self.open: Block | None = None
@@ -89,17 +107,19 @@ class Blocks(HTMLParser):
     def end_block(self) -> None:
         if self.open is not None:
             self.open.text = " ".join("".join(self.open.parts).split())
-            if self.open.text and not self.open.owner.dropped:
+            if self.open.text and not self.open.owner.hard:
                 self.blocks.append(self.open)
             self.open = None
 
     def boilerplate(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in DROP_TAGS or (attrs.get("role") or "").lower() in DROP_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+        """Never main text, whatever it holds; a form is judged by what it holds."""
+        role = (attrs.get("role") or "").lower()
+        if tag in DROP_TAGS - {"form"} or role in DROP_ROLES - {"form"} or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return True
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         if tag == "header" or "header" in {n.lower().split("-")[-1].split("_")[-1] for n in names.split()}:
             return not self.stack[-1].inside  # the head of a page, not of its article
-        return tag not in ("html", "body", "main") and names_boilerplate(names)
+        return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK_TAGS:
@@ -113,9 +133,12 @@ class Blocks(HTMLParser):
         if tag in VOID_TAGS:
             return
         held, parent = dict(attrs), self.stack[-1]
-        dropped = parent.dropped or self.boilerplate(tag, held)
-        core = not dropped and (tag in ("article", "main") or (held.get("role") or "").lower() in ("main", "article"))
-        self.stack.append(Element(tag, parent, dropped, core))
+        names, role = f"{held.get('class') or ''} {held.get('id') or ''}", (held.get("role") or "").lower()
+        head = tag == "header" or "header" in {n.lower().split("-")[-1].split("_")[-1] for n in names.split()}
+        named = not head and tag not in ("html", "body", "main")
+        soft = "form" in (tag, role) or (named and names_boilerplate(names))
+        own = named and names_boilerplate(names, OWN_NAMES)
+        self.stack.append(Element(tag, parent, self.boilerplate(tag, held), soft, own, tag in ("article", "main") or role in ("main", "article")))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -143,8 +166,8 @@ class Blocks(HTMLParser):
         if self.open is None:
             if not data.strip():
                 return
-            self.open = Block(next(e for e in reversed(self.stack) if e.tag in BLOCK_TAGS or e.parent is None or e.dropped))
-        elif self.stack[-1].dropped and not self.open.owner.dropped:
+            self.open = Block(next(e for e in reversed(self.stack) if e.tag in BLOCK_TAGS or e.parent is None or e.drops > e.parent.drops))
+        elif self.stack[-1].drops > self.open.owner.drops:
             return  # an advert or button inside a sentence
         self.open.parts.append(data)
         self.open.linked += len(data) if self.links else 0
@@ -176,23 +199,48 @@ def split_at(values: list[float]) -> float:
     return cut
 
 
+def mark(blocks: list[Block], sigma: float) -> list[bool]:
+    """Which blocks are content by their smoothed ratio; elements get the sums of their text and marked text."""
+    ratios = smooth([len(b.text) / b.tags for b in blocks], sigma)
+    cut = split_at(ratios)
+    marked = [r >= cut for r in ratios]
+    chains = [b.owner.chain() for b in blocks]
+    for element in (e for chain in chains for e in chain):
+        element.text = element.marked = 0
+    for block, chain, is_content in zip(blocks, chains, marked):
+        for element in chain:
+            element.text += len(block.text)
+            element.marked += len(block.text) if is_content else 0
+    return marked
+
+
+def pardon(blocks: list[Block]) -> None:
+    """A form or an element named for its layout is no boilerplate if the page's articles and mains are all inside such
+    elements and one is inside this one, or if it holds most of the marked text and no article or main stands beside it."""
+    chains = [b.owner.chain() for b in blocks]
+    total = chains[0][0].marked
+    cores = {id(e): e.chain() for chain in chains for e in chain if e.core}
+    clear = {id(e) for b in blocks for e in b.owner.chain() if e.core and not any(x.soft for x in b.owner.chain())}
+    around = set() if clear else {id(e) for chain in cores.values() for e in chain[:-1]}
+    for element in {id(e): e for chain in chains for e in chain if e.soft and not e.own}.values():
+        beside = clear - {id(e) for e in element.chain()}
+        if id(element) in around or (2 * element.marked > total and not beside):
+            element.soft = False
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     parser = Blocks()
     parser.feed(html)
     parser.close()
     parser.end_block()
     blocks = parser.blocks
+    if any(b.owner.drops for b in blocks):
+        mark(blocks, sigma)
+        pardon(blocks)
+        blocks = [b for b in blocks if not any(e.soft for e in b.owner.chain())]
     if not blocks:
         return ""
-    ratios = smooth([len(b.text) / b.tags for b in blocks], sigma)
-    cut = split_at(ratios)
-    marked = [r >= cut for r in ratios]
-    for block, is_content in zip(blocks, marked):
-        element: Element | None = block.owner
-        while element is not None:
-            element.text += len(block.text)
-            element.marked += len(block.text) if is_content else 0
-            element = element.parent
+    marked = mark(blocks, sigma)
     region = content_region(blocks)
     if not region.core:  # nothing says where the article ends: link lists around the marked blocks go
         inside = [i for i, m in enumerate(marked) if m]
@@ -209,21 +257,17 @@ def within(element: Element | None, region: Element) -> bool:
 
 
 def content_region(blocks: list[Block]) -> Element:
-    """The article or main element with the most marked text, else the smallest element with nearly all of it."""
-    chains = []
-    for b in blocks:
-        chain, element = [], b.owner
-        while element is not None:
-            chain.append(element)
-            element = element.parent
-        chains.append(chain[::-1])
-    cores = [e for chain in chains for e in chain if e.core]
+    """The article or main element with the most marked text if that is most of the page's, else the smallest element
+    with all marked text and the headings of the page."""
+    chains = [b.owner.chain() for b in blocks]
+    root = chains[0][0]
+    cores = [e for chain in chains for e in chain if e.core and 2 * e.marked > root.marked]
     if cores:
-        most = max(e.marked or e.text for e in cores)
-        near = [e for e in cores if (e.marked or e.text) == most]
+        most = max(e.marked for e in cores)
+        near = [e for e in cores if e.marked == most]
         articles = [e for e in near if e.tag == "article"]
         return (articles or near)[0]
-    root = chains[0][0]
+    heads = [chain for b, chain in zip(blocks, chains) if b.owner.tag == "h1" and 2 * b.linked <= len(b.text)]
     region, found = root, True
     while found:
         found = False
@@ -231,7 +275,8 @@ def content_region(blocks: list[Block]) -> Element:
             depth = chain.index(region) if region in chain else -1
             if 0 <= depth < len(chain) - 1:
                 child = chain[depth + 1]
-                if child.marked > 0.9 * root.marked and child.tag in ("html", "body", "div", "section", "center", "td", "table", "tbody", "tr"):
+                whole = child.marked == root.marked and all(child in head for head in heads)
+                if whole and child.tag in ("html", "body", "div", "section", "center", "form", "td", "table", "tbody", "tr"):
                     region, found = child, True
                     break
     return region

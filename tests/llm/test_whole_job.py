@@ -3,7 +3,10 @@
 import random
 import zlib
 
+import pytest
+
 from evalmill.llm import scoring
+from evalmill.llm.pages import main_text
 
 
 def test_rare_words_have_emissions_of_their_own(spark):
@@ -28,3 +31,29 @@ def test_rare_words_have_emissions_of_their_own(spark):
     own, other = (scored[fresh[w]] for w in ("aaqqq", "bbqqq"))
     assert own["base_score"] == other["base_score"] and own["train_tokens"] > 2 * 20_000
     assert own["score"] > other["score"] + 0.05
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story goes on for quite a while, so that nobody takes it for a label.</p>" for i in range(8))
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id='aspnetForm'><div class='menu'>{MENU}</div><article><h1>Title</h1>{STORY}</article><input></form></body>",
+        f"<body><div class='sidebar-right'><main><h1>Title</h1>{STORY}</main><aside>{MENU}</aside></div></body>",
+        f"<body><div class='page right-sidebar'><div><h1>Title</h1>{STORY}</div><div class='sidebar'>{MENU}</div></div></body>",
+        f"<body><div><h1>Title</h1>{STORY}</div><div><article class='card'><p>Read this other text too.</p></article></div></body>",
+        f"<body><h1>Title</h1><div>{STORY}</div></body>",
+    ],
+)
+def test_articles_in_common_layouts(page):
+    text = main_text(page)
+    assert "Title" in text and all(f"Paragraph {i} of" in text for i in range(8)) and "About" not in text
+
+
+def test_boilerplate_around_an_article_still_goes():
+    comments = f"<div class='comments'><article class='comment'>{STORY.replace('story', 'answer') * 3}</article></div>"
+    form = "<form><p>Sign up for our letter with your address and your name, please.</p></form>"
+    text = main_text(f"<body><article><h1>Title</h1>{STORY}</article>{comments}{form}</body>")
+    assert text.startswith("Title") and text.count("Paragraph") == 8 and "answer" not in text and "Sign up" not in text
