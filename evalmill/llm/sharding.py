@@ -7,7 +7,7 @@ while a cut may fall inside it, so each round returns a bounded number of sums,
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -103,8 +103,61 @@ def ambiguous(pieces: list[Piece], shards: int) -> list[Piece]:
     return [p for p, a, b in zip(pieces, sums, sums[1:]) if p.groups > 1 and any(a <= most and b > least for least, most in ranges)]
 
 
+def even_ends(pieces: list[Piece], capacity: int, shards: int, large: list[tuple[int, int]]) -> tuple[list[int], list[Piece]]:
+    """Piece indices where shards 0, 1, ... end, near equal shares of what is left, and the pieces to refine first.
+
+    ``large``: (key, size) of the largest groups. Those above the fair share count as a shard each, the others share
+    what is left. No shard exceeds ``capacity``, and each leaves no more than the shards after it can hold.
+    """
+    sums = [0, *accumulate(p.size for p in pieces)]
+    todo: list[Piece] = []
+    total, big = sums[-1], []
+    while more := [x for x in large if x not in big and x[1] * (shards - len(big)) > total - sum(size for _, size in big)]:
+        big += more
+    starts = [p.start for p in pieces]
+    big_at = sorted((bisect_right(starts, key) - 1, size) for key, size in big)
+    least = [len(pieces)]  # least[k]: the first piece from which k shards hold all that follows
+    for _ in range(shards):
+        target = sums[least[-1]] - capacity
+        i = bisect_left(sums, max(target, 0))
+        if target > 0 and sums[i] > target and pieces[i - 1].groups > 1:
+            todo.append(pieces[i - 1])
+        least.append(min(i, least[-1]))
+    ends, at = [], 0
+    for left in range(shards, 0, -1):
+        if at == len(pieces):
+            break
+        ahead = [size for i, size in big_at if i >= at]
+        free = max(left - len(ahead), 1)
+        target = sums[at] + min(capacity, max(-(-(total - sums[at] - sum(ahead)) // free), 1)) if left > 1 else total
+        i = bisect_right(sums, target) - 1
+        if i < len(pieces) and sums[i] < target:
+            if pieces[i].groups > 1:
+                todo.append(pieces[i])
+            over = sums[i + 1] - target < target - sums[i] and sums[i + 1] - sums[at] <= capacity
+            i += over or i == at
+        at = max(i, least[left - 1])
+        ends.append(at)
+    return ends, list(dict.fromkeys(todo))
+
+
+def even_cuts(groups: DataFrame, capacity: int, shards: int) -> list[int]:
+    """First hash of shards 1, 2, ... of near equal sizes under the capacity, from groups(key, size) with unique keys."""
+    # one row per shard reaches the driver
+    large = [(r["key"], r["size"]) for r in groups.orderBy(F.desc("size"), "key").limit(shards).collect()]
+    pieces = split(groups, [Piece(0, 64, 0, 2)], None)
+    while True:
+        ends, todo = even_ends(pieces, capacity, shards, large)
+        if not todo:
+            return [pieces[i].start for i in ends if i < len(pieces)]
+        width = max(p.width for p in todo)
+        wide = [p for p in todo if p.width == width]
+        pieces = sorted([p for p in pieces if p not in set(wide)] + split(groups, wide, width))
+
+
 def cut_hashes(groups: DataFrame, shards: int) -> tuple[list[int], int]:
-    """First hash of shards 1, 2, ... and the capacity, from groups(key, size) with unique keys."""
+    """First hash of shards 1, 2, ... when each is filled to the capacity, and the capacity, from groups(key, size) with
+    unique keys."""
     pieces = split(groups, [Piece(0, 64, 0, 2)], None)
     while todo := ambiguous(pieces, shards):
         width = max(p.width for p in todo)
@@ -135,13 +188,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     """Every row of ``docs`` with ``_size``, ``_shard`` (0 to shards - 1) and ``_slot`` (gapless from 0 in its shard).
 
     Law: bytes. Equal texts (null ones too) stay together, so no shard is smaller than its largest group allows;
-    the largest shard is as small as any cut of the ordered groups can make it. With fewer groups than shards the
+    the largest shard is as small as any cut of the ordered groups can make it, and under that size the shards get near
+    equal parts: one that a large group fills leaves the others to share the rest. With fewer groups than shards the
     last shards stay empty. Repeated rows each get a slot. An empty table gives an empty one.
     """
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {"_size", "_shard", "_slot", "_key"}], size_of(F.col(f"`{text}`")).alias("_size"), group_key(F.col(f"`{text}`")).alias("_key"))
     groups = pin(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("rows")))
     rows = groups.agg(F.sum("rows")).first()[0] or 0
-    cuts, _ = cut_hashes(groups, shards)
+    _, capacity = cut_hashes(groups, shards)
+    cuts = even_cuts(groups, capacity, shards)
     out = keyed.withColumn("_shard", shard_of(F.col("_key"), cuts))
     ids = F.col(f"`{id_col}`")
     return salted_rank(out, ["_shard"], F.xxhash64(ids, F.lit(7)), [ids, F.col("_key")], rows, rank="_slot").drop("_key")

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from evalmill.llm import scoring
+from evalmill.llm import scoring, sharding
 from evalmill.llm.pages import main_text
 
 
@@ -57,3 +57,36 @@ def test_boilerplate_around_an_article_still_goes():
     form = "<form><p>Sign up for our letter with your address and your name, please.</p></form>"
     text = main_text(f"<body><article><h1>Title</h1>{STORY}</article>{comments}{form}</body>")
     assert text.startswith("Title") and text.count("Paragraph") == 8 and "answer" not in text and "Sign up" not in text
+
+
+@pytest.mark.parametrize("place", [0, 0.3, 0.98, 1])
+def test_a_hot_group_leaves_no_shard_empty(spark, monkeypatch, place):
+    monkeypatch.setattr(sharding, "SUMS", 128)
+    random.seed(8)
+    keys = sorted({random.getrandbits(64) - (1 << 63) for _ in range(4000)})
+    sizes = [random.randint(1, 100) for _ in keys]
+    hot = min(int(place * len(keys)), len(keys) - 1)
+    sizes[hot] = sum(sizes) // 2
+    table = spark.createDataFrame(list(zip(keys, sizes)), "key bigint, size bigint")
+    _, capacity = sharding.cut_hashes(table, 16)
+    cuts = sharding.even_cuts(table, capacity, 16)
+    load = [0] * 16
+    for k, size in zip(keys, sizes):
+        load[sum(c <= k for c in cuts)] += size
+    fair = (sum(load) - sizes[hot]) / 15
+    assert max(load) == capacity and min(load) > 0
+    # a few groups behind the hot one take a shard of their own, and its part goes to the one before
+    assert sum(x > 2 * fair for x in load) == 1 and sum(x < 0.8 * fair for x in load) <= 2
+
+
+def test_even_cuts_never_exceed_the_capacity():
+    random.seed(9)
+    for n in range(400):
+        sizes = [random.choice([1, 5, random.randint(1, 3000)]) for _ in range(random.randint(1, 60))]
+        shards = random.randint(1, 16)
+        capacity = sharding.smallest_capacity(sizes, shards)
+        pieces = [sharding.Piece(i, 0, x, 1) for i, x in enumerate(sizes)]
+        large = sorted(((i, x) for i, x in enumerate(sizes)), key=lambda p: -p[1])[:shards]
+        ends, todo = sharding.even_ends(pieces, capacity, shards, large)
+        assert not todo and ends[-1] == len(sizes) and len(ends) <= shards
+        assert max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends)) <= capacity
