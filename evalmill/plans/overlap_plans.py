@@ -157,8 +157,8 @@ def _(t):
 
 
 @query("f34_typed_entity_f1", with_tables("ev_items") + """
-, b AS (SELECT item_id, 'gold' AS s, x.k AS k, x.v AS v FROM ev_items, LATERAL (SELECT unnest([{'k': 'priority', 'v': category}, {'k': 'status', 'v': difficulty}]) AS x) z
- UNION ALL SELECT item_id, 'said', 'priority', category FROM ev_items WHERE item_id % 3 <> 0 UNION ALL SELECT item_id, 'said', 'status', 'F' FROM ev_items WHERE item_id % 4 <> 0),
+, b AS (SELECT item_id, 'gold' AS s, x.k AS k, x.v AS v FROM ev_items, LATERAL (SELECT unnest([{'k': 'priority', 'v': split_part(category, ' ', 1)}, {'k': 'status', 'v': split_part(difficulty, ' ', 1)}]) AS x) z
+ UNION ALL SELECT item_id, 'said', 'priority', split_part(category, ' ', 1) FROM ev_items WHERE item_id % 3 <> 0 UNION ALL SELECT item_id, 'said', 'status', 'F' FROM ev_items WHERE item_id % 4 <> 0),
 c AS (SELECT item_id, s, k, ch, count(*) AS n FROM (SELECT item_id, s, k, unnest(string_split(v, '')) AS ch FROM b) WHERE ch <> ' ' GROUP BY ALL),
 z AS (SELECT item_id, s, k, sum(n) AS n FROM c GROUP BY ALL),
 o AS (SELECT g.item_id, g.k, sum(least(g.n, p.n)) AS both_ FROM c g JOIN c p ON g.s = 'gold' AND p.s = 'said' AND g.item_id = p.item_id AND g.k = p.k AND g.ch = p.ch GROUP BY 1, 2),

@@ -57,8 +57,8 @@ def tail(n: str, c: str, k: int, m: int) -> str:
 
 G_K = 4
 G_SQL = ", ".join(
-    [f"round(avg({tail('n', 'c', G_K, m)}) * 100, 6) AS \"g_pass@4_{th}\"" for th, m in [(0.0, 1), (0.25, 1), (0.5, 2), (0.75, 3), (1.0, 4)]]
-    + [f"round(avg(({tail('n', 'c', G_K, 3)} + {tail('n', 'c', G_K, 4)}) * 2 / 4) * 100, 6) AS \"mg_pass@4\""]
+    [f"round(avg(CASE WHEN n >= {G_K} THEN {tail('n', 'c', G_K, m)} ELSE 0e0 END) * 100, 6) AS \"g_pass@4_{th}\"" for th, m in [(0.0, 1), (0.25, 1), (0.5, 2), (0.75, 3), (1.0, 4)]]
+    + [f"round(avg(CASE WHEN n >= {G_K} THEN ({tail('n', 'c', G_K, 3)} + {tail('n', 'c', G_K, 4)}) * 2 / 4 ELSE 0e0 END) * 100, 6) AS \"mg_pass@4\""]
 )
 
 
