@@ -14,10 +14,12 @@ from evalmill.llm.licenses import scan_licenses
 from evalmill.llm.neardup import near_duplicates
 from evalmill.llm.packing import pack_documents
 from evalmill.llm.pages import extract_pages
+from evalmill.llm.periods import periodic_runs
 from evalmill.llm.quality import quality_rules
 from evalmill.llm.scoring import score_documents
 from evalmill.llm.secrets import scan_secrets, written
 from evalmill.llm.sharding import shard_documents
+from evalmill.llm.texts import words_of
 from evalmill.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +117,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; texts with crc32(doc_id) % 10 = 0 become their words, repeated from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(ws):
+        n = F.size(ws).cast("bigint")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        return F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(ws[(a + (i - a) % p).cast("int")]))
+
+    # the words are bound as a lambda variable; as a column in a lambda's body they would be split again for every word
+    words = F.transform(F.array(words_of(F.col("text"))), repeated)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_sync_set_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document and its text without the repeats, as digests."""
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
