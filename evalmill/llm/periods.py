@@ -44,16 +44,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all windows of a sequence, from running sums modulo 2**64. Equal windows have equal hashes."""
+    """Hashes of all windows of a sequence, from running sums modulo 2**64. Equal windows have equal hashes.
 
-    def __init__(self, words: np.ndarray):
+    ``codes`` are the mixed bits of every number, where few numbers occur.
+    """
+
+    def __init__(self, words: np.ndarray, codes: np.ndarray | None = None):
         steps = np.full(len(words) + 1, BASE, dtype=np.uint64)
         steps[0] = 1
         powers = np.cumprod(steps)
         steps[1:] = np.uint64(pow(int(BASE), -1, 1 << 64))
         self.back = np.cumprod(steps)
         self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(mixed(words) * powers[:-1], out=self.sums[1:])
+        np.cumsum((mixed(words) if codes is None else codes[words]) * powers[:-1], out=self.sums[1:])
 
     def windows(self, size: int) -> np.ndarray:
         return (self.sums[size:] - self.sums[: len(self.sums) - size]) * self.back[: len(self.sums) - size]

@@ -19,8 +19,10 @@ from evalmill.llm.quality import quality_rules
 from evalmill.llm.scoring import score_documents
 from evalmill.llm.secrets import scan_secrets, written
 from evalmill.llm.sharding import shard_documents
+from evalmill.llm.suffixes import drop_repeats
 from evalmill.llm.texts import words_of
 from evalmill.llm.topk import top_k
+from evalmill.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = oracles.ORACLES
@@ -152,3 +154,24 @@ def op11_sync_set_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes under 400-byte strings that stand elsewhere too, as digests."""
+    out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's share in the eight components of largest variance, scaled to unit variance."""
+    out = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 8)
+    pairs = out.select("vec_id", "n", "deviation", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "pair"), "identity_error")
+    return pairs.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "pair.whitened", "pair.explained", "identity_error")
