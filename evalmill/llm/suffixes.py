@@ -4,7 +4,7 @@ Two suffixes matter to each other if their first ``size`` bytes (a window) are e
 neighbours travel together, the bucket of a suffix is not named by its first bytes but by the substring of ``SEED``
 bytes with the smallest hash in its window: equal windows hold the same one. Neighbouring suffixes mostly have the same
 bucket and are sent as one segment of text. Segments that stand somewhere else as a whole are settled by counting;
-buckets with a single segment have nothing to find.
+buckets with a single segment, in which their substring stands once, have nothing to find.
 
 Inside a bucket suffixes are sorted by their first and last eight bytes. Long ties are resolved by the ranks of a
 difference cover sample: of the places whose remainder by 7 is 0, 1 or 3. For any two places some shift below 7 moves
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.periods import Hashes, mixed, smallest_within
+from evalmill.llm.periods import NONE, Hashes, mixed, smallest_within
 from evalmill.llm.texts import bounds, slices
 from evalmill.session import pin
 
@@ -41,13 +41,23 @@ def key_columns(body):
     return [F.conv(F.substring(digest, a, 15), 16, 10).cast("bigint").alias(k) for k, a in (("k1", 1), ("k2", 16))]
 
 
-def segments_of(data: np.ndarray, counts: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first window, number of windows and bucket of every segment of texts that stand one after another."""
+def segments_of(data: np.ndarray, counts: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Document, first window, number of windows and bucket of every segment of texts that stand one after another.
+
+    Last comes whether a segment may hold one window twice, which needs its bucket's substring twice.
+    """
     ends = bounds(counts)
     windows = np.maximum(counts - size + 1, 0)
     if not windows.any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    low = smallest_within(mixed(Hashes(data, BYTE_CODES).windows(seed)), size - seed + 1)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+    hashes = mixed(Hashes(data, BYTE_CODES).windows(seed))
+    reach = size - seed + 1
+    low = smallest_within(hashes, reach)
+    # a substring names a bucket if some window over it has no smaller one; of one segment such places are neighbours
+    edge = np.full(reach - 1, NONE)
+    named = np.flatnonzero(~smallest_within(np.concatenate([edge, ~low, edge]), reach) == hashes)
+    near = (hashes[named[1:]] == hashes[named[:-1]]) & (np.diff(named) <= reach)
+    twice = np.unique(hashes[named[1:][near]])
     doc = np.repeat(np.arange(len(counts)), windows)
     total = bounds(windows)
     at = np.arange(total[-1]) + np.repeat(ends[:-1] - total[:-1], windows)
@@ -55,7 +65,8 @@ def segments_of(data: np.ndarray, counts: np.ndarray, size: int, seed: int) -> t
     new = np.ones(len(at), dtype=bool)
     new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return doc[first], at[first] - ends[:-1][doc[first]], np.diff(np.append(first, len(at))), low[first]
+    bucket = low[first]
+    return doc[first], at[first] - ends[:-1][doc[first]], np.diff(np.append(first, len(at))), bucket, np.isin(bucket, twice)
 
 
 def ranks(keys: np.ndarray) -> np.ndarray:
@@ -134,7 +145,7 @@ def stretches(flags: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + size
 
 
-PLACES = "m bigint, seg bigint, k1 bigint, k2 bigint, start bigint, n bigint"
+PLACES = "m bigint, seg bigint, k1 bigint, k2 bigint, start bigint, n bigint, own boolean"
 FOUND = "m bigint, seg bigint, spans array<struct<lo: bigint, hi: bigint>>"
 
 
@@ -153,13 +164,13 @@ def list_segments(texts: DataFrame, size: int, seed: int) -> DataFrame:
                 bodies = [b.as_py() for b in part.column("body")]
                 held = b"".join(bodies)
                 counts = np.array([len(b) for b in bodies], dtype=np.int64)
-                doc, start, n, bucket = segments_of(np.frombuffer(held, np.uint8), counts, size, seed)
+                doc, start, n, bucket, own = segments_of(np.frombuffer(held, np.uint8), counts, size, seed)
                 place = bounds(counts)[:-1][doc] + start
                 view = memoryview(held)
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + c + size - 1]) for a, c in zip(place.tolist(), n.tolist())), np.uint64, len(n))
                 keys = [np.asarray(part.column(k), dtype=np.int64)[doc] for k in ("k1", "k2")]
-                columns = [bucket.view(np.int64), digest.view(np.int64), *keys, start, n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["m", "seg", "k1", "k2", "start", "n"])
+                columns = [bucket.view(np.int64), digest.view(np.int64), *keys, start, n, own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["m", "seg", "k1", "k2", "start", "n", "own"])
 
     return texts.mapInArrow(run, PLACES)
 
@@ -232,8 +243,8 @@ def covered_spans(texts: DataFrame, size: int, seed: int, hot: int) -> DataFrame
     """k1, k2 and the covered spans (lo, hi; they may overlap) of every text that has any."""
     places = pin(list_segments(texts, size, seed))
     first = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n")]
-    distinct = places.groupBy("m", "seg").agg(F.count(F.lit(1)).alias("copies"), *first)
-    shared = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("segs")).filter("segs > 1")
+    distinct = places.groupBy("m", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("own").alias("own"), *first)
+    shared = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("segs"), F.max("own").alias("within")).filter("segs > 1 or within").drop("within")
     wanted = pin(distinct.join(shared, "m"))
     total = wanted.agg(F.sum(F.col("n") + size - 1)).first()[0] or 0
     cut = pin(cut_segments(texts, wanted, size))
