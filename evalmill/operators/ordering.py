@@ -68,12 +68,12 @@ def running(
     return out.select(*cols)
 
 
-def smallest(df: DataFrame, key: Column, tie: str, n: int, direct: int = 100_000) -> DataFrame:
+def smallest(df: DataFrame, key: Column, tie: str, n: int, direct: int | None = None) -> DataFrame:
     """Exactly the ``n`` rows with the smallest 64-bit ``key``, as a filter.
 
     Digit by digit (16 bits each) the key's histogram tells where the n-th
-    smallest lies; at most 65,536 counts reach the driver and no row is sorted
-    beyond the last, small digit group.
+    smallest lies; at most 65,536 counts reach the driver, and only rows of one
+    equal key are sorted. ``direct`` is still taken from callers and changes nothing.
     """
     work = df.withColumn("_k", key)
     chosen, left, inside = F.lit(False), n, F.lit(True)
@@ -93,7 +93,7 @@ def smallest(df: DataFrame, key: Column, tie: str, n: int, direct: int = 100_000
             return df
         chosen = chosen | (inside & (digit < F.lit(cut)))
         inside = digit == F.lit(cut)
-        if size <= direct:
+        if size == left:
             break
     below = work.filter(chosen)
     last = work.filter(inside).orderBy("_k", tie).limit(left)

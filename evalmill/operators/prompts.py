@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions.draws import below, bits
 from evalmill.operators.ordering import running, smallest
 from evalmill.session import pin
 
@@ -55,7 +56,7 @@ def sample_exact(df: DataFrame, size: int | float, id_col: str, seed: int | None
     n = int(size * total) if 0 < size < 1 else int(size)
     if n <= 0 and not 0 < size < 1 or n >= total:
         return df
-    key = F.xxhash64(F.lit(n if seed is None else seed), F.col(id_col))
+    key = bits(n if seed is None else seed, F.col(id_col))
     return smallest(df, key, id_col, n) if n else df.limit(0)
 
 
@@ -376,7 +377,7 @@ def shuffle_options(df: DataFrame, seed: int, id_col: str, options: str = "optio
     letters = "ABCDEFGHIJ"[:k]
     keys = F.array(*[F.lit(c) for c in letters])
     order = F.array_sort(
-        F.transform(keys, lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(id_col), c).alias("h"), c.alias("c")))
+        F.transform(keys, lambda c: F.struct(bits(seed, F.col(id_col), c).alias("h"), c.alias("c")))
     )
     rows = df.withColumn("circular_pattern", F.array_join(F.transform(order, lambda s: s["c"]), ""))
     shown, moved = apply_pattern(F.col(options), F.col(gold), F.col("circular_pattern"), letters)
@@ -389,7 +390,7 @@ def balance_positions(pairs: DataFrame, seed: int, id_col: str, a: str = "model_
     """Swap the sides of exactly half of the pairs (an odd rest falls by hash)."""
     n = pairs.count()
     half = n // 2 + (n % 2) * (seed % 2)
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    key = bits(seed, F.col(id_col))
     swapped = smallest(pairs, key, id_col, half).select(id_col).withColumn("swapped", F.lit(True))
     rows = pairs.join(swapped, id_col, "left").withColumn("swapped", F.coalesce("swapped", F.lit(False)))
     return _swap(rows, F.col("swapped"), a, b)
@@ -404,7 +405,7 @@ def _swap(df: DataFrame, flag: Column, a: str, b: str) -> DataFrame:
 def order_answers(pairs: DataFrame, mode: str, id_col: str = "item_id", seed: int = 0) -> DataFrame:
     """``random``: sides by hash; ``double``: every pair also with its sides swapped."""
     if mode == "random":
-        flag = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("model_a"), F.col("model_b")), F.lit(2)) == 1
+        flag = below(2, seed, F.col(id_col), F.col("model_a"), F.col("model_b")) == 1
         rows = pairs.withColumn("swapped", flag)
     else:
         rows = pairs.withColumn("swapped", F.explode(F.array(F.lit(False), F.lit(True))))

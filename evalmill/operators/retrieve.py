@@ -7,11 +7,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.functions.text import words
+from evalmill.functions.draws import below, bits
+from evalmill.functions.text import let, words
 from evalmill.operators.ordering import running, top_k
+from evalmill.session import pin
 
 # score function: (test rows, train rows) -> matrix train x test
 ScoreFn = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
@@ -48,11 +50,11 @@ def draw_distinct(key: Column, total: int, k: int, seed: int) -> Column:
     steps = F.sequence(F.lit(total - k).cast("bigint"), F.lit(total - 1).cast("bigint"))
 
     def step(acc: Column, j: Column) -> Column:
-        draw = F.pmod(F.xxhash64(F.lit(seed), key, j), j + 1)
+        draw = below(j + 1, seed, key, j)
         return F.array_append(acc, F.when(F.array_contains(acc, draw), j).otherwise(draw))
 
     drawn = F.aggregate(steps, start, step)
-    keyed = F.transform(drawn, lambda x: F.struct(F.xxhash64(F.lit(seed + 1), key, x).alias("h"), x.alias("x")))
+    keyed = F.transform(drawn, lambda x: F.struct(bits(seed + 1, key, x).alias("h"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
 
@@ -94,48 +96,26 @@ def _best(scores: np.ndarray, train_ids: np.ndarray, test_ids: np.ndarray, k: in
 
 
 def block_top_k(
-    test: DataFrame, train: DataFrame, score: ScoreFn, k: int, direct: int = 2048, test_block: int = 1024, train_block: int = 8192
+    test: DataFrame, train: DataFrame, score: ScoreFn, k: int, test_block: int = 1024, train_block: int = 8192, direct: int | None = None
 ) -> DataFrame:
     """Exact top k of ``score`` without one row per (test, train) pair.
 
-    Up to ``direct`` test rows (counted first) travel to the tasks, and the
-    train table is only scanned. More of them are cut into blocks: every train
-    block meets every test block in a task of its own. Either way a block
-    yields at most k rows per test row, which one ranking merges.
+    Both tables are cut into blocks and every train block meets every test block
+    in a task of its own, which yields at most k rows per test row; one ranking
+    merges them. ``direct`` is still taken from callers and changes nothing.
     """
-    n_test = test.count()
-    if n_test <= direct:
-        held = test.limit(direct).toPandas()
-
-        def scan(batches):
-            best = None
-            for batch in batches:
-                for start in range(0, len(batch), 256):
-                    part = batch.iloc[start : start + 256]
-                    if not len(held):
-                        continue
-                    found = _best(score(held, part), part["train_id"].to_numpy(), held["test_id"].to_numpy(), k)
-                    best = found if best is None else pd.concat([best, found])
-                    if len(best) > 8 * k * len(held):
-                        best = best.sort_values(["score", "train_id"], ascending=False).groupby("test_id").head(k)
-            if best is not None:
-                yield best.sort_values(["score", "train_id"], ascending=False).groupby("test_id").head(k)
-
-        found = train.mapInPandas(scan, EDGES)
-    else:
-        n_train = train.count()
-        q, t = math.ceil(n_test / test_block), math.ceil(max(n_train, 1) / train_block)
-        place = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = test.withColumn("_q", place("test_id", q)).withColumn("_t", every(t))
-        right = train.withColumn("_t", place("train_id", t)).withColumn("_q", every(q))
-
-        def meet(tests, trains):
-            if not len(tests) or not len(trains):
-                return pd.DataFrame({"test_id": [], "train_id": [], "score": []})
-            return _best(score(tests, trains), trains["train_id"].to_numpy(), tests["test_id"].to_numpy(), k)
-
-        found = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(meet, EDGES)
+    q, t = math.ceil(max(test.count(), 1) / test_block), math.ceil(max(train.count(), 1) / train_block)
+    place = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = test.withColumn("_q", place("test_id", q)).withColumn("_t", every(t))
+    right = train.withColumn("_t", place("train_id", t)).withColumn("_q", every(q))
+
+    def meet(tests, trains):
+        if not len(tests) or not len(trains):
+            return pd.DataFrame({"test_id": [], "train_id": [], "score": []})
+        return _best(score(tests, trains), trains["train_id"].to_numpy(), tests["test_id"].to_numpy(), k)
+
+    found = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(meet, EDGES)
     return top_k(found, ["test_id"], [F.desc("score"), F.desc("train_id")], k)
 
 
@@ -160,47 +140,98 @@ def retrieve_dense(test: DataFrame, train: DataFrame, k: int, normalise: bool =
     return found.filter((F.col("rank") <= k) & (F.col("score") > float("-inf")))
 
 
-def retrieve_bm25(test: DataFrame, train: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, **blocks) -> DataFrame:
-    """Okapi BM25 over lower-case words of ``text``; the larger train id first on ties.
+def term_counts(tokens: Column) -> Column:
+    """Array of (term, tf): the tokens are sorted once and counted by the ends of equal stretches."""
 
-    A term in more than half of the texts gets ``floor`` times the mean idf.
-    Word statistics are partial aggregates; texts stay where they are and are
-    scored against the weights of the test rows.
-    """
-    texts = train.select("train_id", words(F.col("text")).alias("tokens"))
-    n, mean_len = texts.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    held = texts.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = held.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
-    idf = raw.select("term", F.when(F.col("raw") < 0, floor * mean_idf).otherwise(F.col("raw")).alias("idf"))
-
-    asked = test.select("test_id", F.explode(words(F.col("text"))).alias("term")).groupBy("test_id", "term").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    weights = asked.join(idf, "term").groupBy("test_id").agg(
-        F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("ws")
-    )
-    rows = test.select("test_id").join(weights, "test_id", "left").select(
-        "test_id",
-        F.coalesce(F.transform("ws", lambda s: s["term"]), F.array().cast("array<string>")).alias("terms"),
-        F.coalesce(F.transform("ws", lambda s: s["w"]), F.array().cast("array<double>")).alias("weights"),
-    )
-    mean_len = float(mean_len or 1.0)
+    def counted(s: Column) -> Column:
+        last = lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1))
+        ends = F.filter(F.transform(s, lambda _, i: i + 1), last)
+        pair = lambda es: lambda e, j: F.struct(F.get(s, e - 1).alias("term"), (e - F.coalesce(F.get(es, j - 1), F.lit(0))).alias("tf"))
+        return let(ends, lambda es: F.transform(es, pair(es)))
 
-    def score(tests, trains):
-        terms = pd.Index(sorted({t for ts in tests["terms"] for t in ts}))
-        query = np.zeros((len(terms), len(tests)))
-        for j, (ts, ws) in enumerate(zip(tests["terms"], tests["weights"])):
-            query[terms.get_indexer(ts), j] = ws
-        out = np.zeros((len(trains), len(tests)))
-        for i, tokens in enumerate(trains["tokens"]):
-            places = terms.get_indexer(tokens)
-            found, tf = np.unique(places[places >= 0], return_counts=True)
-            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean_len))
-            out[i] = gain @ query[found]
-        return out
+    return let(F.array_sort(tokens), counted)
 
-    return block_top_k(rows, texts, score, k, **blocks)
+
+def postings(train: DataFrame) -> DataFrame:
+    """Inverted index (term, train_id, tf, length) of ``text``, written once. A text stays in its task."""
+    tokens = train.select("train_id", words(F.col("text")).alias("tokens"))
+    pairs = tokens.select("train_id", F.size("tokens").alias("length"), F.explode(term_counts(F.col("tokens"))).alias("p"))
+    return pin(pairs.select("p.term", "train_id", "p.tf", "length"))
+
+
+def retrieve_bm25(
+    test: DataFrame, train: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, train_block: int = 50_000, first: int = 16, **_: int
+) -> DataFrame:
+    """Okapi BM25 over lower-case words of ``text`` by postings; the larger train id first on ties.
+
+    A term in more than half of the texts gets ``floor`` times the mean idf. Every test row
+    scores the postings of its rarest terms first (about ``first`` times k of them): its k-th
+    sum is a score the best k reach. Terms that together cannot reach it propose no text; they
+    only complete texts that some other term proposed and that can still reach it. Posting
+    lists of more than ``train_block`` rows are split over several keys. Texts without a word
+    of the test row score 0 and fill up, largest id first.
+    """
+    index = postings(train)
+    n = train.count()
+    total = index.agg(F.sum("tf")).first()[0] or 0
+    mean_len = total / n if total else 1.0
+    held = pin(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean_idf = held.agg(F.avg(raw)).first()[0] or 0.0
+    # contributions lie between 0 and w * top
+    top = k1 + 1
+    gain = F.col("tf") * top / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_len))
+    parts = F.ceil(F.col("df") / train_block)
+    lists = held.filter(F.col("df") > train_block).select("term", parts.alias("_parts"))
+    split = index.join(lists, "term", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("train_id"), F.col("_parts")), F.lit(0))).drop("_parts")
+
+    def sums(asked: DataFrame) -> DataFrame:
+        """Score of the asked terms for every text that has one of them."""
+        dealt = asked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        return dealt.join(split, ["term", "_part"]).groupBy("test_id", "train_id").agg(F.sum(F.col("w") * gain).alias("s"))
+
+    asked = test.select("test_id", F.explode(term_counts(words(F.col("text")))).alias("p")).select("test_id", "p.term", F.col("p.tf").alias("times"))
+    idf = F.when(raw < 0, floor * mean_idf).otherwise(raw)
+    per = lambda *order: Window.partitionBy("test_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weighed = asked.join(held, "term").select("test_id", "term", "df", parts.alias("parts"), (F.col("times") * idf).alias("w"))
+    # a test row's own terms are few: windows over them stay small
+    weights = pin(
+        weighed.withColumn("_seen", F.sum("df").over(per("df", "term")) - F.col("df"))
+        .withColumn("up", F.greatest(F.col("w"), F.lit(0.0)) * top)
+        .withColumn("down", F.least(F.col("w"), F.lit(0.0)) * top)
+        .withColumn("_below", F.sum("up").over(per("up", "term")))
+    )
+    rare = F.col("_seen") < first * k
+    reached = top_k(sums(weights.filter(rare)), ["test_id"], [F.desc("s"), F.desc("train_id")], k).filter(F.col("rank") == k)
+    lowest = weights.groupBy("test_id").agg(F.coalesce(F.sum(F.when(~rare, F.col("down"))), F.lit(0.0)).alias("_low"))
+    goal = pin(reached.join(lowest, "test_id").select("test_id", (F.col("s") + F.col("_low") - 1e-6).alias("goal")))
+    marked = weights.join(goal, "test_id", "left").withColumn("opens", F.coalesce(F.col("_below") >= F.col("goal"), F.lit(True)))
+    rest = marked.filter(~F.col("opens"))
+    more = rest.groupBy("test_id").agg(F.sum("up").alias("_more"), F.first("goal").alias("_goal"))
+    proposed = sums(marked.filter("opens")).join(more, "test_id", "left")
+    proposed = pin(proposed.filter(F.coalesce(F.col("s") + F.col("_more") >= F.col("_goal"), F.lit(True))).select("test_id", "train_id", "s"))
+    asked_again = proposed.join(rest.select("test_id", "term", "w"), "test_id")
+    completed = asked_again.join(index, ["term", "train_id"]).select("test_id", "train_id", (F.col("w") * gain).alias("s"))
+    scored = proposed.unionByName(completed).groupBy("test_id", "train_id").agg((F.round(F.sum("s"), 9) + 0.0).alias("score"))
+    best = pin(top_k(scored, ["test_id"], [F.desc("score"), F.desc("train_id")], k).drop("rank"))
+    return fill_up(test, train, scored, best, k)
+
+
+def fill_up(test: DataFrame, train: DataFrame, scored: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Rows of score 0 for tests with fewer than k positive scores, from the largest train ids without a score."""
+    rich = best.filter("score > 0").groupBy("test_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    poor = pin(test.select("test_id").join(rich, "test_id", "left_anti"))
+    if poor.isEmpty():
+        return top_k(best, ["test_id"], [F.desc("score"), F.desc("train_id")], k)
+    taken = scored.join(poor, "test_id").select("test_id", "train_id")
+    counts = pin(poor.join(taken.groupBy("test_id").agg(F.count(F.lit(1)).alias("n")), "test_id", "left").fillna(0, ["n"]))
+    last = train.select("train_id").orderBy(F.desc("train_id")).limit(k + counts.agg(F.max("n")).first()[0])
+    last = last.withColumn("place", F.row_number().over(Window.orderBy(F.desc("train_id"))))
+    # among the last k + n texts at least k have none of the n scores
+    zeros = counts.select("test_id", F.explode(F.sequence(F.lit(1), (F.col("n") + k).cast("int"))).alias("place")).join(last, "place")
+    zeros = zeros.join(taken, ["test_id", "train_id"], "left_anti").select("test_id", "train_id", F.lit(0.0).alias("score"))
+    zeros = top_k(zeros, ["test_id"], [F.desc("train_id")], k).drop("rank")
+    return top_k(best.unionByName(zeros), ["test_id"], [F.desc("score"), F.desc("train_id")], k)
 
 
 def retrieve_diverse(test: DataFrame, train: DataFrame, k: int, candidates: int = 100, scale: float = 0.1, **blocks) -> DataFrame:
@@ -244,7 +275,8 @@ def select_vote_k(train: DataFrame, k: int, n: int, threshold: float = 1.0, seed
     join on the voter, who has only k votes.
     """
     votes = retrieve_dense(train.withColumnRenamed("train_id", "test_id"), train, k, normalise=True, skip_self=True, **blocks)
-    votes = votes.select(F.col("test_id").alias("voter"), F.col("train_id").alias("cand"))
+    # counted, compared with each other and filled up: searched once
+    votes = pin(votes.select(F.col("test_id").alias("voter"), F.col("train_id").alias("cand")))
     counts = votes.groupBy("cand").agg(F.count(F.lit(1)).alias("votes"))
     marked = votes.join(counts, "cand")
     a, b = marked.alias("a"), marked.alias("b")
@@ -256,7 +288,7 @@ def select_vote_k(train: DataFrame, k: int, n: int, threshold: float = 1.0, seed
     kept = counts.join(rejected, "cand", "left_anti").orderBy(F.desc("votes"), "cand").limit(n)
     kept = kept.select(F.col("cand").alias("train_id"), F.lit(0).alias("_part"), (-F.col("votes")).alias("_o"))
     rest = train.select("train_id").join(kept, "train_id", "left_anti").select(
-        "train_id", F.lit(1).alias("_part"), F.xxhash64(F.lit(seed), "train_id").alias("_o")
+        "train_id", F.lit(1).alias("_part"), bits(seed, "train_id").alias("_o")
     )
     first = kept.unionByName(rest).orderBy("_part", "_o", "train_id").limit(n)
     return first.select("train_id", (F.col("_part") == 0).alias("voted"))

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.functions.draws import bits, uniform
+
 # fixed value: id of the mask token
 MASK_ID = 126336
 
 
-def uniform(seed: int, *keys) -> Column:
-    """Reproducible number in [0, 1) from a hash of the keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
-
-
 def _mask(df: DataFrame, keep: Column, eps: float, seed: int, mask_id: int) -> DataFrame:
     t = uniform(seed, "seq_id")
     rows = df.withColumn("p_mask", (1 - eps) * t + eps)
@@ -65,7 +62,7 @@ def stratified_masks(pairs: DataFrame, batch: int, seed: int = 0) -> DataFrame:
     rows = rows.withColumn("masked", F.pmod(spread - 1, target) + 1)
     places = F.transform(
         F.sequence(F.lit(0), target - 1),
-        lambda i: F.struct(F.xxhash64(F.lit(seed + 1), F.col("item_id"), F.col("batch"), i).alias("h"), i.alias("i")),
+        lambda i: F.struct(bits(seed + 1, "item_id", "batch", i).alias("h"), i.alias("i")),
     )
     chosen = F.slice(F.array_sort(places), F.lit(1), F.col("masked"))
     rows = rows.withColumn("positions", F.array_sort(F.transform(chosen, lambda s: s["i"] + F.col("prompt_length"))))

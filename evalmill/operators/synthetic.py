@@ -11,34 +11,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions.draws import below, bits, in_drawn_order, uniform
 from evalmill.operators.retrieve import dense_index, draw_distinct
-from evalmill.operators.sequences import uniform
 from evalmill.session import pin
 
 
-def in_hash_order(items: Column, seed: int, *keys) -> Column:
-    """Array shuffled reproducibly per row."""
-    keyed = F.transform(items, lambda x, i: F.struct(F.xxhash64(F.lit(seed), *keys, i).alias("h"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda s: s["x"])
-
-
 def haystacks(docs: DataFrame, length: int, repeats: int, tokens: str = "tokens", doc_id: str = "doc_id") -> DataFrame:
-    """Per repeat, documents in hash order joined until ``length`` tokens are reached.
+    """Per repeat, documents in drawn order joined until ``length`` tokens are reached.
 
-    Every document used has at least one token, so the first ``length`` of them suffice.
+    All repeats come from one scan. A histogram of tokens over the leading 16 bits of the draws, the
+    only thing that reaches the driver, says which documents can be needed; no others move.
     """
-    full = docs.filter(F.size(tokens) > 0)
-    sizes = full.select(doc_id, F.size(tokens).alias("_n"))
-    parts = []
-    for i in range(repeats):
-        key = F.xxhash64(F.lit(i), F.col(doc_id))
-        parts.append(sizes.select(F.lit(i).alias("repeat"), key.alias("_h"), doc_id, "_n").orderBy("_h", doc_id).limit(length))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    size = F.size(tokens)
+    drawn = docs.filter(size > 0).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    drawn = drawn.withColumn("_h", bits(0, "repeat", doc_id))
+    digit = F.shiftright("_h", 44)
+    cuts = [0] * repeats
+    held = [0] * repeats
+    found = drawn.groupBy("repeat", digit.alias("d")).agg(F.sum(size).alias("n")).collect()
+    for r in sorted(found, key=lambda r: r["d"]):
+        if held[r["repeat"]] < length:
+            held[r["repeat"]] += r["n"]
+            cuts[r["repeat"]] = r["d"]
+    near = drawn.filter(digit <= F.get(F.array(*[F.lit(c) for c in cuts]), F.col("repeat")))
+    near = near.select("repeat", "_h", doc_id, F.slice(tokens, 1, length).alias("_t"))
     w = Window.partitionBy("repeat").orderBy("_h", doc_id).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter(F.col("_before") < length)
-    used = rows.join(full.select(doc_id, F.slice(tokens, 1, length).alias("_t")), doc_id)
+    used = near.withColumn("_before", F.coalesce(F.sum(F.size("_t")).over(w), F.lit(0))).filter(F.col("_before") < length)
     listed = F.array_sort(F.collect_list(F.struct("_before", "_t")))
     return used.groupBy("repeat").agg(F.slice(F.flatten(F.transform(listed, lambda s: s["_t"])), 1, length).alias("haystack"))
 
@@ -132,7 +130,7 @@ def kinship_chains(items: DataFrame, names: Sequence[str], n: int, seed: int = 0
         return F.replace(text, F.lit("{r}"), relation)
 
     fragments = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), fragment)
-    story = F.array_join(in_hash_order(fragments, seed + 3, F.col("item_id")), "")
+    story = F.array_join(in_drawn_order(fragments, seed + 3, F.col("item_id")), "")
     question = F.concat(F.lit("\nWho is the eldest relative that '"), F.get("chain", F.lit(n - 1)), F.lit("' can trace back to?"))
     return rows.select("item_id", F.concat(story, question).alias("prompt"), F.get("chain", F.lit(0)).alias("answer"), "chain")
 
@@ -150,8 +148,8 @@ def key_value_needles(
     sentences or one repeated line); it is repeated up to ``n_noise`` lines.
     """
     item = F.col("item_id")
-    key = lambda i: F.concat(F.lit("key-"), F.hex(F.pmod(F.xxhash64(F.lit(seed), item, i), F.lit(1 << 40))))
-    value = lambda i, j: (F.pmod(F.xxhash64(F.lit(seed + 1), item, i, j), F.lit(9_000_000)) + 1_000_000).cast("string")
+    key = lambda i: F.concat(F.lit("key-"), F.hex(below(1 << 40, seed, item, i)))
+    value = lambda i, j: (below(9_000_000, seed + 1, item, i, j) + 1_000_000).cast("string")
     head, middle, end = _pieces(NEEDLE_TEXT)
     say = lambda k, v: F.concat(F.lit(head), k, F.lit(middle), v, F.lit(end))
     span = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
@@ -160,7 +158,7 @@ def key_value_needles(
         lines = F.transform(span(n_noise), lambda i: say(key(i + 1_000_000), value(i + 1_000_000, F.lit(0))))
     else:
         lines = F.transform(span(n_noise), lambda i: F.get(noise, F.pmod(i, F.greatest(F.size(noise), F.lit(1)))))
-    rows = items.withColumn("_needles", in_hash_order(needles, seed + 2, item)).withColumn("_lines", lines)
+    rows = items.withColumn("_needles", in_drawn_order(needles, seed + 2, item)).withColumn("_lines", lines)
     places = F.array_sort(draw_distinct(item, n_noise, keys * values, seed + 3))
     pairs = F.zip_with("_needles", places, lambda n, p: F.struct(p.cast("int").alias("p"), n.alias("n")))
     context = F.aggregate(
@@ -176,8 +174,8 @@ def key_value_needles(
 def variable_chains(items: DataFrame, noise: str, n_noise: int, chains: int = 1, hops: int = 4, seed: int = 0) -> DataFrame:
     """Chains of assignments, each scattered in order over noise lines; the answer is the first chain's variables."""
     item = F.col("item_id")
-    name = lambda c, h: F.concat(F.lit("V"), F.upper(F.hex(F.pmod(F.xxhash64(F.lit(seed), item, F.lit(c * 1000 + h)), F.lit(1 << 36)))))
-    number = lambda c: (F.pmod(F.xxhash64(F.lit(seed + 1), item, F.lit(c)), F.lit(89_999)) + 10_000).cast("string")
+    name = lambda c, h: F.concat(F.lit("V"), F.hex(below(1 << 36, seed, item, F.lit(c * 1000 + h))))
+    number = lambda c: (below(89_999, seed + 1, item, F.lit(c)) + 10_000).cast("string")
     lines = F.array_repeat(F.lit(noise), n_noise)
     context = lines
     for c in range(chains):
@@ -202,17 +200,17 @@ def draw_words(items: DataFrame, vocabulary: DataFrame, n: int, seed: int = 0) -
 
 
 def word_vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Distinct words with a dense ``idx`` in hash order."""
+    """Distinct words with a dense ``idx`` in drawn order."""
     words = docs.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
     # numbering reads its input several times, so the distinct words are written once
-    return dense_index(pin(words.withColumn("_h", F.xxhash64("word"))), "_h").select("idx", "word")
+    return dense_index(pin(words.withColumn("_h", bits(0, "word"))), "_h").select("idx", "word")
 
 
 def common_words(items: DataFrame, vocabulary: DataFrame, n_words: int = 40, common: int = 10, often: int = 30, rarely: int = 3, seed: int = 0) -> DataFrame:
     """Numbered word list in which the first ``common`` drawn words are repeated often, the others rarely."""
     rows = draw_words(items, vocabulary, n_words, seed)
     copies = F.flatten(F.transform("words", lambda w, i: F.array_repeat(w, F.when(i < common, often).otherwise(rarely))))
-    rows = rows.withColumn("_list", in_hash_order(copies, seed + 5, F.col("item_id")))
+    rows = rows.withColumn("_list", in_drawn_order(copies, seed + 5, F.col("item_id")))
     numbered = F.array_join(F.transform("_list", lambda w, i: F.concat_ws(". ", i + 1, w)), " ")
     return rows.select(
         "item_id", F.concat(numbered, F.lit(f"\nWhat are the {common} most common words in the above list?")).alias("prompt"),
@@ -228,30 +226,50 @@ def frequent_words(items: DataFrame, vocabulary: DataFrame, n_vocab: int = 50, n
     ranked = F.concat(F.array(F.lit("...")), F.col("words"))
     times = F.array(*[F.lit(c) for c in counts])
     copies = F.flatten(F.zip_with(ranked, times, lambda w, n: F.array_repeat(w, F.coalesce(n, F.lit(0)))))
-    text = F.array_join(in_hash_order(copies, seed + 5, F.col("item_id")), " ")
+    text = F.array_join(in_drawn_order(copies, seed + 5, F.col("item_id")), " ")
     return rows.select("item_id", text.alias("prompt"), F.slice("words", 1, 3).alias("answers"))
 
 
 def distractor_qa(
-    questions: DataFrame, docs: DataFrame, budget: int, pool: int = 50, seed: int = 0, tokens: str = "n_tokens"
+    questions: DataFrame, docs: DataFrame, budget: int, pool: int = 16, seed: int = 0, tokens: str = "n_tokens"
 ) -> DataFrame:
     """Gold documents plus random others up to a token budget, shuffled.
 
     ``questions(item_id, question, answer, gold array<bigint>)``, ``docs(doc_id, text, n_tokens)``.
-    Each question draws ``pool`` distractors; gold documents come first and always stay.
+    Gold documents come first and always stay. A question draws places of the document list, skips
+    what it has drawn before, and stops before the document that no longer fits. It draws ``pool``
+    places, then twice as many, and so on, as long as it has budget left; questions that are full or
+    have met every document draw no more. Only ids and lengths take part; texts are joined at the end.
     """
-    index = dense_index(docs.select("doc_id"), "doc_id")
-    total = docs.count()
-    gold = questions.select("item_id", F.posexplode("gold").alias("_i", "doc_id"), F.lit(0).alias("_part"))
-    drawn = questions.select("item_id", "gold", F.posexplode(draw_distinct(F.col("item_id"), total, pool, seed)).alias("_i", "idx"))
-    others = drawn.join(index, "idx").filter(~F.array_contains("gold", F.col("doc_id"))).select("item_id", "_i", "doc_id", F.lit(1).alias("_part"))
-    rows = gold.unionByName(others).join(docs, "doc_id")
-    # one question has at most gold + pool documents
-    w = Window.partitionBy("item_id").orderBy("_part", "_i").rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.withColumn("_used", F.sum(tokens).over(w)).filter((F.col("_part") == 0) | (F.col("_used") <= budget))
-    listed = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "item_id", "doc_id").alias("h"), "doc_id", "text")))
+    index = pin(dense_index(docs.select("doc_id", F.col(tokens).alias("_n")), "doc_id"))
+    total = index.count()
+    gold = questions.select("item_id", F.posexplode("gold").alias("_i", "doc_id")).join(index.select("doc_id", "_n"), "doc_id")
+    start = gold.select("item_id", (F.col("_i") - (1 << 30)).cast("bigint").alias("place"), "doc_id", "_n", F.lit(True).alias("keeps"))
+    taken = pin(start)
+    own = questions.select("item_id")
+    low, high = 0, pool
+    while True:
+        state = taken.groupBy("item_id").agg(F.sum(F.when(F.col("keeps"), F.col("_n")).otherwise(0)).alias("used"), F.count(F.lit(1)).alias("met"), F.bool_and("keeps").alias("room"))
+        open_ = pin(own.join(state, "item_id", "left").select("item_id", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("met", F.lit(0)).alias("met"), F.coalesce("room", F.lit(True)).alias("room")))
+        open_ = open_.filter((F.col("used") < budget) & F.col("room") & (F.col("met") < total))
+        if open_.isEmpty():
+            break
+        places = F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint")))
+        drawn = open_.select("item_id", "used", places.alias("place")).withColumn("idx", below(total, seed, "item_id", "place"))
+        first = drawn.groupBy("item_id", "used", "idx").agg(F.min("place").alias("place")).join(index, "idx")
+        fresh = first.join(taken.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+        # a question's draws of one round are bounded by what its budget asked for
+        w = Window.partitionBy("item_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = fresh.withColumn("_sum", F.col("used") + F.sum("_n").over(w))
+        marked = summed.withColumn("keeps", F.col("_sum") <= budget)
+        # the first document that does not fit is noted: it ends the question
+        ended = marked.withColumn("_over", F.sum(F.when(F.col("keeps"), 0).otherwise(1)).over(w)).filter(F.col("_over") <= 1)
+        taken = pin(taken.unionByName(ended.select("item_id", "place", "doc_id", "_n", "keeps")))
+        low, high = high, 3 * high - 2 * low
+    rows = taken.filter("keeps").select("item_id", "doc_id").join(docs, "doc_id")
+    listed = F.array_sort(F.collect_list(F.struct(bits(seed + 1, "item_id", "doc_id").alias("h"), "doc_id", "text")))
     shown = F.transform(listed, lambda s, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(":\n"), s["text"]))
-    contexts = kept.groupBy("item_id").agg(
+    contexts = rows.groupBy("item_id").agg(
         F.array_join(shown, "\n\n").alias("context"), F.transform(listed, lambda s: s["doc_id"]).alias("doc_ids")
     )
     out = questions.join(contexts, "item_id")

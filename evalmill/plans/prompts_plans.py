@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalmill.operators import prompts as P
+from evalmill.plans import draws_sql as D
 from evalmill.plans.catalog import query
 from evalmill.plans.fixtures import with_tables
 
@@ -33,7 +34,7 @@ def _(t):
     return P.take_range(rows, "[-300:-5:7]")
 
 
-@query("b4_sample_exact")
+@query("b4_sample_exact", D.SAMPLE_EXACT)
 def _(t):
     return P.sample_exact(t.orders.select("o_orderkey"), 0.3, "o_orderkey", seed=7)
 
@@ -239,12 +240,12 @@ def _(t):
     return flat_options(P.cycle_options(with_options(t), "item_id"))
 
 
-@query("b17_shuffle_options")
+@query("b17_shuffle_options", OPTIONS_SQL(P.all_patterns("ABCD"), f"p = {D.SHUFFLED}"))
 def _(t):
     return flat_options(P.shuffle_options(with_options(t), 11, "item_id"))
 
 
-@query("b18_balance_positions")
+@query("b18_balance_positions", D.BALANCED)
 def _(t):
     pairs = t.ev_items.select("item_id", F.lit("x").alias("model_a"), F.lit("y").alias("model_b"))
     return P.balance_positions(pairs, 5, "item_id")
@@ -256,7 +257,7 @@ def _(t):
     return P.order_answers(t.ev_battles.select("item_id", "pos", "model_a", "model_b"), "double")
 
 
-@query("b19_order_answers_random")
+@query("b19_order_answers_random", D.ORDERED_AT_RANDOM)
 def _(t):
     return P.order_answers(t.ev_battles.select("item_id", "pos", "model_a", "model_b"), "random", seed=3)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalmill.operators import retrieve as R
+from evalmill.plans import draws_sql as D
 from evalmill.plans.catalog import query
 from evalmill.plans.sql import round6
 
@@ -33,7 +34,7 @@ def _(t):
     return R.retrieve_fixed(tests(t), trains(t), [5, 0, 17])
 
 
-@query("c3_retrieve_random")
+@query("c3_retrieve_random", D.RANDOM_DEMOS)
 def _(t):
     return R.retrieve_random(t.orders.select(F.col("o_orderkey").alias("test_id")), trains(t), 4)
 
@@ -64,7 +65,7 @@ def _(t):
 
 @query("c5_retrieve_bm25_in_blocks", BM25)
 def _(t):
-    found = R.retrieve_bm25(tests(t), trains(t), 5, direct=0, test_block=16, train_block=2000)
+    found = R.retrieve_bm25(tests(t), trains(t), 5, train_block=2000)
     return round6(found.select("test_id", "rank", "train_id", "score"))
 
 
@@ -82,7 +83,7 @@ def _(t):
 
 @query("c6_retrieve_dense_in_blocks", DOT)
 def _(t):
-    found = R.retrieve_dense(vectors(t, "test_id"), vectors(t, "train_id"), 4, direct=0, test_block=256, train_block=1024)
+    found = R.retrieve_dense(vectors(t, "test_id"), vectors(t, "train_id"), 4, test_block=256, train_block=1024)
     return round6(found.select("test_id", "rank", "train_id", "score"))
 
 

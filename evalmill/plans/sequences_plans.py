@@ -6,36 +6,38 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from evalmill import registry
+from evalmill.functions.draws import below
 from evalmill.functions.text import words
 from evalmill.operators import model as M
 from evalmill.operators import sequences as Q
 from evalmill.operators import synthetic as Y
+from evalmill.plans import draws_sql as D
 from evalmill.plans.catalog import query
 from evalmill.plans.fixtures import with_tables
 from evalmill.plans.sql import round6
 from evalmill.session import pin, scratch_path
 from evalmill.streaming import scoring as S
 
-# own tokens: the hash of a word, below the mask token's id
+# own tokens: a number drawn for the word, below the mask token's id
 def token_ids(text):
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(Q.MASK_ID)).cast("int"))
+    return F.transform(words(text), lambda w: below(Q.MASK_ID, 0, w).cast("int"))
 
 
 def seqs(t):
     return t.documents.select(F.col("doc_id").alias("seq_id"), token_ids(F.col("text")).alias("input_ids"))
 
 
-@query("h1_mask_tokens")
+@query("h1_mask_tokens", D.MASK_TOKENS)
 def _(t):
     return Q.mask_tokens(seqs(t))
 
 
-@query("h2_truncate_random")
+@query("h2_truncate_random", D.TRUNCATED)
 def _(t):
     return Q.truncate_random(seqs(t), seed=3)
 
 
-@query("h3_sft_rows")
+@query("h3_sft_rows", D.SFT_ROWS)
 def _(t):
     rows = t.ev_text_pairs.select(
         F.col("pair_id").alias("seq_id"), token_ids(F.col("reference")).alias("prompt_ids"), token_ids(F.col("prediction")).alias("answer_ids")
@@ -43,7 +45,7 @@ def _(t):
     return Q.sft_rows(rows, 512, eos_id=126081)
 
 
-@query("h4_stratified_masks")
+@query("h4_stratified_masks", D.STRATIFIED)
 def _(t):
     rows = t.ev_text_pairs.select(
         F.col("pair_id").alias("item_id"), F.size(words(F.col("reference"))).alias("prompt_length"), F.size(words(F.col("prediction"))).alias("target_length")
@@ -81,19 +83,19 @@ def needles(t, repeats):
     )
 
 
-@query("h7_needle_haystack")
+@query("h7_needle_haystack", D.NEEDLE)
 def _(t):
     return Y.needle_haystack(word_docs(t), needles(t, 3), [500, 1000, 2000], [0, 25, 50, 75, 100], 3, buffer=50)
 
 
-@query("h8_multi_needle")
+@query("h8_multi_needle", D.MULTI_NEEDLE)
 def _(t):
     stacks = Y.haystacks(word_docs(t), 1000, 3).join(needles(t, 3), "repeat")
     rows = stacks.withColumn("needles", F.array("needle", F.array(F.lit("second"), F.lit("needle")), F.array(F.lit("third"), F.lit("needle"))))
     return Y.multi_needle(rows, 20, 10).select("repeat", "context", "keyword")
 
 
-@query("h8_parallel_needles")
+@query("h8_parallel_needles", D.PARALLEL_NEEDLES)
 def _(t):
     stacks = Y.haystacks(word_docs(t), 1000, 3).join(needles(t, 3), "repeat")
     rows = stacks.withColumn("needles", F.array("needle", F.array(F.lit("second"), F.lit("needle")))).withColumn(
@@ -106,7 +108,7 @@ def short_items(t):
     return t.benchmark.select("item_id")
 
 
-@query("h9_kinship_chains")
+@query("h9_kinship_chains", D.KINSHIP)
 def _(t):
     names = sorted(r["n_name"] for r in t.nation.select("n_name").collect())
     return Y.kinship_chains(t.orders.select(F.col("o_orderkey").alias("item_id")), names, 6).drop("chain")
@@ -117,17 +119,17 @@ def sentences(t):
     return t.benchmark.select("item_id", lines.alias("lines"))
 
 
-@query("h10_key_value_needles")
+@query("h10_key_value_needles", D.key_value(False))
 def _(t):
     return Y.key_value_needles(sentences(t), F.col("lines"), 60)
 
 
-@query("h10_key_value_decoys")
+@query("h10_key_value_decoys", D.key_value(True))
 def _(t):
     return Y.key_value_needles(sentences(t), F.col("lines"), 60, decoys=True)
 
 
-@query("h11_variable_chains")
+@query("h11_variable_chains", D.VARIABLE_CHAINS)
 def _(t):
     return Y.variable_chains(short_items(t), "The grass is green.", 40, chains=2)
 
@@ -136,17 +138,17 @@ def vocabulary(t):
     return pin(Y.word_vocabulary(word_docs(t)))
 
 
-@query("h12_common_words")
+@query("h12_common_words", D.COMMON_WORDS)
 def _(t):
     return Y.common_words(short_items(t), vocabulary(t))
 
 
-@query("h12_frequent_words")
+@query("h12_frequent_words", D.FREQUENT_WORDS)
 def _(t):
     return Y.frequent_words(short_items(t), vocabulary(t))
 
 
-@query("h13_distractor_qa")
+@query("h13_distractor_qa", D.DISTRACTORS)
 def _(t):
     docs = t.documents.select("doc_id", "text", F.size(words(F.col("text"))).alias("n_tokens"))
     gold = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
@@ -154,7 +156,7 @@ def _(t):
         F.col("doc_id").alias("item_id"), F.concat(F.lit("Which source is "), "source", F.lit("?")).alias("question"),
         F.col("source").alias("answer"), F.array("doc_id").alias("gold"),
     )
-    return Y.distractor_qa(questions, docs, 4000, pool=30)
+    return Y.distractor_qa(questions, docs, 4000)
 
 
 def _load_length_model():

@@ -129,3 +129,40 @@ def test_vote_k_fills_up(spark):
 def test_empty_test_table(spark, vectors):
     _, train = vectors
     assert R.retrieve_dense(train.withColumnRenamed("train_id", "test_id").limit(0), train, 3).count() == 0
+
+
+@pytest.mark.parametrize("k, first, train_block", [(1, 1, 7), (3, 2, 10_000), (12, 16, 7), (200, 1, 50)])
+def test_bm25_opens_only_what_can_win_and_misses_nothing(spark, k, first, train_block):
+    rng = np.random.default_rng(k)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weight = 1 / np.arange(1, 61) ** 1.2
+    draw = lambda n: " ".join(rng.choice(vocabulary, size=n, p=weight / weight.sum()))
+    texts = [draw(int(rng.integers(0, 25))) for _ in range(150)]
+    asked = [draw(int(rng.integers(1, 12))) for _ in range(20)] + ["", "w0", "w59 w0 w0", "unknown words"]
+    docs = [t.split() for t in texts]
+    n, avg = len(docs), np.mean([len(d) for d in docs])
+    held = {w: sum(w in d for d in docs) for d in docs for w in d}
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in held.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: v if v >= 0 else 0.25 * mean for w, v in idf.items()}
+    train = spark.createDataFrame(list(enumerate(texts)), "train_id bigint, text string").repartition(5)
+    test = spark.createDataFrame(list(enumerate(asked)), "test_id bigint, text string")
+    got = {}
+    for r in R.retrieve_bm25(test, train, k, first=first, train_block=train_block).collect():
+        got.setdefault(r["test_id"], {})[r["rank"]] = (r["train_id"], r["score"])
+    for q, text in enumerate(asked):
+        score = [sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in text.split()) for d in docs]
+        expected = sorted(((round(s, 9), i) for i, s in enumerate(score)), reverse=True)[:k]
+        assert [got[q][r + 1][1] for r in range(len(expected))] == pytest.approx([s for s, _ in expected], abs=1e-8)
+        clear = [i for s, i in expected if sum(abs(s - x) < 2e-9 for x in score) == 1 or s == 0]
+        assert [got[q][r + 1][0] for r, (s, i) in enumerate(expected) if i in clear] == clear and len(got[q]) == len(expected)
+
+
+def test_bm25_where_common_words_count_against_a_text(spark):
+    """Every word stands in most texts, so the mean weight is below zero and texts without a word win."""
+    texts = ["a b c", "a b", "a b c", "a c", "b c", "a b c", "x"]
+    train = spark.createDataFrame(list(enumerate(texts)), "train_id bigint, text string")
+    test = spark.createDataFrame([(0, "a b")], "test_id bigint, text string")
+    rows = R.retrieve_bm25(test, train, 7).orderBy("rank").collect()
+    assert rows[0]["train_id"] == 6 and rows[0]["score"] == 0 and len({r["train_id"] for r in rows}) == 7
+    assert [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True)

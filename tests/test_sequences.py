@@ -167,3 +167,23 @@ def test_resume_does_only_the_rest(spark, tmp_path):
     M.resume(spark.range(15), path, ["id"], work)
     assert M.resume(spark.range(15), path, ["id"], work).count() == 15
     assert asked == [10, 5, 0]
+
+
+@pytest.mark.parametrize("budget, pool", [(0, 4), (60, 1), (60, 16), (10**6, 3)])
+def test_distractors_fill_the_budget(spark, budget, pool):
+    sizes = {i: (i * 7) % 13 for i in range(50)}
+    docs = spark.createDataFrame([(i, f"text {i}", n) for i, n in sizes.items()], "doc_id bigint, text string, n_tokens int")
+    questions = spark.createDataFrame([(q, "why?", "so", [q, q + 1]) for q in range(12)], "item_id bigint, question string, answer string, gold array<bigint>")
+    rows = Y.distractor_qa(questions, docs, budget, pool=pool, seed=5).collect()
+    assert len(rows) == 12
+    for r in rows:
+        ids = r["doc_ids"]
+        used = sum(sizes[i] for i in ids)
+        assert len(set(ids)) == len(ids) and {r["item_id"], r["item_id"] + 1} <= set(ids) and r["prompt"].count("Document ") == len(ids)
+        if budget == 10**6:
+            assert set(ids) == set(sizes)
+        elif budget:
+            assert budget - max(sizes.values()) < used <= budget
+        else:
+            assert len(ids) == 2 and len(rows) == 12
+    assert rows != Y.distractor_qa(questions, docs, budget, pool=pool, seed=6).collect() or not budget
