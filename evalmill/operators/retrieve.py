@@ -149,7 +149,7 @@ def term_counts(tokens: Column) -> Column:
         pair = lambda es: lambda e, j: F.struct(F.get(s, e - 1).alias("term"), (e - F.coalesce(F.get(es, j - 1), F.lit(0))).alias("tf"))
         return let(ends, lambda es: F.transform(es, pair(es)))
 
-    return let(F.array_sort(tokens), counted)
+    return let(F.sort_array(tokens), counted)
 
 
 def postings(train: DataFrame) -> DataFrame:
@@ -160,15 +160,16 @@ def postings(train: DataFrame) -> DataFrame:
 
 
 def retrieve_bm25(
-    test: DataFrame, train: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, train_block: int = 50_000, first: int = 16, **_: int
+    test: DataFrame, train: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, train_block: int = 50_000, first: int = 16, short: int = 1_000_000, **_: int
 ) -> DataFrame:
     """Okapi BM25 over lower-case words of ``text`` by postings; the larger train id first on ties.
 
     A term in more than half of the texts gets ``floor`` times the mean idf. Every test row
-    scores the postings of its rarest terms first (about ``first`` times k of them): its k-th
-    sum is a score the best k reach. Terms that together cannot reach it propose no text; they
-    only complete texts that some other term proposed and that can still reach it. Posting
-    lists of more than ``train_block`` rows are split over several keys. Texts without a word
+    scores the postings of its rarest terms first (about ``first`` times k of them) and then, in
+    full, the best 4 k of these texts: their k-th score is one the best k reach. Terms that together cannot reach it propose no text; they
+    only complete texts that some other term proposed and that can still reach it. A test row
+    whose lists hold at most ``short`` postings in all opens them without looking for a goal.
+    Posting lists of more than ``train_block`` rows are split over several keys. Texts without a word
     of the test row score 0 and fill up, largest id first.
     """
     index = postings(train)
@@ -183,12 +184,17 @@ def retrieve_bm25(
     gain = F.col("tf") * top / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_len))
     parts = F.ceil(F.col("df") / train_block)
     lists = held.filter(F.col("df") > train_block).select("term", parts.alias("_parts"))
-    split = index.join(lists, "term", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("train_id"), F.col("_parts")), F.lit(0))).drop("_parts")
+    own_part = F.coalesce(F.pmod(F.xxhash64("train_id"), F.col("_parts")), F.lit(0))
+    long_lists = not lists.isEmpty()
 
     def sums(asked: DataFrame) -> DataFrame:
         """Score of the asked terms for every text that has one of them."""
-        dealt = asked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        return dealt.join(split, ["term", "_part"]).groupBy("test_id", "train_id").agg(F.sum(F.col("w") * gain).alias("s"))
+        if not long_lists:
+            met = asked.join(index, "term")
+        else:
+            dealt = asked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+            met = dealt.join(index.join(lists, "term", "left").withColumn("_part", own_part), ["term", "_part"])
+        return met.groupBy("test_id", "train_id").agg(F.sum(F.col("w") * gain).alias("s"))
 
     asked = test.select("test_id", F.explode(term_counts(words(F.col("text")))).alias("p")).select("test_id", "p.term", F.col("p.tf").alias("times"))
     idf = F.when(raw < 0, floor * mean_idf).otherwise(raw)
@@ -198,21 +204,38 @@ def retrieve_bm25(
     weights = pin(
         weighed.withColumn("_seen", F.sum("df").over(per("df", "term")) - F.col("df"))
         .withColumn("up", F.greatest(F.col("w"), F.lit(0.0)) * top)
-        .withColumn("down", F.least(F.col("w"), F.lit(0.0)) * top)
         .withColumn("_below", F.sum("up").over(per("up", "term")))
     )
-    rare = F.col("_seen") < first * k
-    reached = top_k(sums(weights.filter(rare)), ["test_id"], [F.desc("s"), F.desc("train_id")], k).filter(F.col("rank") == k)
-    lowest = weights.groupBy("test_id").agg(F.coalesce(F.sum(F.when(~rare, F.col("down"))), F.lit(0.0)).alias("_low"))
-    goal = pin(reached.join(lowest, "test_id").select("test_id", (F.col("s") + F.col("_low") - 1e-6).alias("goal")))
-    marked = weights.join(goal, "test_id", "left").withColumn("opens", F.coalesce(F.col("_below") >= F.col("goal"), F.lit(True)))
-    rest = marked.filter(~F.col("opens"))
-    more = rest.groupBy("test_id").agg(F.sum("up").alias("_more"), F.first("goal").alias("_goal"))
-    proposed = sums(marked.filter("opens")).join(more, "test_id", "left")
-    proposed = pin(proposed.filter(F.coalesce(F.col("s") + F.col("_more") >= F.col("_goal"), F.lit(True))).select("test_id", "train_id", "s"))
-    asked_again = proposed.join(rest.select("test_id", "term", "w"), "test_id")
-    completed = asked_again.join(index, ["term", "train_id"]).select("test_id", "train_id", (F.col("w") * gain).alias("s"))
-    scored = proposed.unionByName(completed).groupBy("test_id", "train_id").agg((F.round(F.sum("s"), 9) + 0.0).alias("score"))
+
+    def full(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """Score of the given terms for the given pairs only."""
+        looked_up = pairs.select("test_id", "train_id").join(terms.select("test_id", "term", "w"), "test_id").join(index, ["term", "train_id"])
+        return looked_up.groupBy("test_id", "train_id").agg(F.sum(F.col("w") * gain).alias("s"))
+
+    def pruned(wide: DataFrame) -> DataFrame:
+        """Scores of all texts that can be among the best k, and lower ones of some others."""
+        likely = top_k(sums(wide.filter(F.col("_seen") < first * k)), ["test_id"], [F.desc("s"), F.desc("train_id")], 4 * k)
+        reached = top_k(full(likely, wide), ["test_id"], [F.desc("s"), F.desc("train_id")], k).filter(F.col("rank") == k)
+        goal = pin(reached.select("test_id", (F.col("s") - 1e-6).alias("goal")))
+        marked = wide.join(goal, "test_id", "left").withColumn("opens", F.coalesce(F.col("_below") >= F.col("goal"), F.lit(True)))
+        rest = marked.filter(~F.col("opens"))
+        more = rest.groupBy("test_id").agg(F.sum("up").alias("_more"), F.first("goal").alias("_goal"), F.sum("df").alias("_lists"), F.count(F.lit(1)).alias("_terms"))
+        proposed = sums(marked.filter("opens")).join(more, "test_id", "left")
+        proposed = pin(proposed.filter(F.coalesce(F.col("s") + F.col("_more") >= F.col("_goal"), F.lit(True))).select("test_id", "train_id", "s"))
+        # many texts are completed by reading the lists to the end (what else they hold stays below the goal), few by looking them up
+        costs = proposed.groupBy("test_id").agg(F.count(F.lit(1)).alias("_n")).join(more, "test_id")
+        many = pin(costs.select("test_id", (F.col("_n") * F.col("_terms") > F.col("_lists")).alias("_many")))
+        rest = rest.join(many, "test_id")
+        completed = full(proposed, rest.filter(~F.col("_many"))).unionByName(sums(rest.filter("_many").drop("_many")))
+        return proposed.unionByName(completed).groupBy("test_id", "train_id").agg(F.sum("s").alias("s"))
+
+    sizes = weights.groupBy("test_id").agg((F.sum("df") > short).alias("_wide"))
+    wide = weights.join(sizes.filter("_wide"), "test_id").drop("_wide")
+    if wide.isEmpty():
+        parts_scored = sums(weights)
+    else:
+        parts_scored = sums(weights.join(sizes.filter("not _wide"), "test_id").drop("_wide")).unionByName(pruned(wide))
+    scored = parts_scored.withColumn("score", F.round("s", 9) + 0.0).drop("s")
     best = pin(top_k(scored, ["test_id"], [F.desc("score"), F.desc("train_id")], k).drop("rank"))
     return fill_up(test, train, scored, best, k)
 

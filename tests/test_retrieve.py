@@ -148,7 +148,7 @@ def test_bm25_opens_only_what_can_win_and_misses_nothing(spark, k, first, train_
     train = spark.createDataFrame(list(enumerate(texts)), "train_id bigint, text string").repartition(5)
     test = spark.createDataFrame(list(enumerate(asked)), "test_id bigint, text string")
     got = {}
-    for r in R.retrieve_bm25(test, train, k, first=first, train_block=train_block).collect():
+    for r in R.retrieve_bm25(test, train, k, first=first, train_block=train_block, short=20 * first).collect():
         got.setdefault(r["test_id"], {})[r["rank"]] = (r["train_id"], r["score"])
     for q, text in enumerate(asked):
         score = [sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in text.split()) for d in docs]
