@@ -9,7 +9,7 @@ from evalmill.operators import overlap as O
 from evalmill.plans.catalog import query
 from evalmill.plans.extract_plans import entities
 from evalmill.plans.fixtures import with_tables
-from evalmill.plans.sql import round6
+from evalmill.plans.sql import LCS, round6
 
 PAIRS = with_tables("ev_text_pairs")
 
@@ -41,7 +41,14 @@ def _(t):
     return round6(O.rouge_n(t.ev_text_pairs, ["model"]))
 
 
-@query("f23_rouge_l")
+def cjk_words(text: str) -> str:
+    return rf"regexp_extract_all(regexp_replace(lower({text}), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+
+
+@query("f23_rouge_l", PAIRS + f"""
+, w AS (SELECT model, {cjk_words('prediction')} AS p, {cjk_words("coalesce(reference, '')")} AS r FROM ev_text_pairs),
+f AS (SELECT model, CASE WHEN len(p) + len(r) = 0 THEN 0e0 ELSE 2e0 * {LCS('p', 'r')} / (len(p) + len(r)) END AS f FROM w)
+SELECT model, round(avg(f) * 100, 6) AS "rougeL" FROM f GROUP BY model""")
 def _(t):
     return round6(O.rouge_l(t.ev_text_pairs.withColumn("refs", F.array("reference")), ["model"]))
 
@@ -73,12 +80,19 @@ def _(t):
     return round6(O.probe_scores(t.ev_url_pairs, ["model"]))
 
 
-@query("f26_lcs_share")
+@query("f26_lcs_share", with_tables("ev_url_pairs") + f"""
+, w AS (SELECT model, {WORDS_P} AS p, {WORDS_R} AS r FROM ev_url_pairs),
+f AS (SELECT model, CASE WHEN len(p) + len(r) = 0 THEN 0e0 ELSE 2e0 * {LCS('p', 'r')} / (len(p) + len(r)) END AS f FROM w)
+SELECT model, round(avg(CASE WHEN f > 0.75 THEN 100e0 ELSE 0e0 END), 6) AS "rougeL" FROM f GROUP BY model""")
 def _(t):
     return round6(O.lcs_share(t.ev_url_pairs, ["model"]))
 
 
-@query("f27_code_similarity")
+@query("f27_code_similarity", PAIRS + rf"""
+, c AS (SELECT model, reference, list_filter(string_split(regexp_replace(prediction, '^\n+', ''), chr(10)), lambda l: NOT regexp_matches(l, '`|#|//')) AS ls FROM ev_text_pairs),
+w AS (SELECT model, CASE WHEN len(ls) = 0 OR ls[1] = '' THEN []::VARCHAR[] ELSE string_split(ls[1], '') END AS p, CASE WHEN reference = '' THEN []::VARCHAR[] ELSE string_split(reference, '') END AS r FROM c),
+f AS (SELECT model, CASE WHEN len(p) + len(r) = 0 THEN 1e0 ELSE 2e0 * {LCS('r', 'p')} / (len(p) + len(r)) END AS f FROM w)
+SELECT model, round(avg(f) * 100, 6) AS score FROM f GROUP BY model""")
 def _(t):
     return round6(O.code_similarity(t.ev_text_pairs.withColumn("refs", F.array("reference")), ["model"]))
 
