@@ -1,13 +1,13 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt over shards by a hash, queries over blocks; a task holds one shard and one block. A first pass
+Vectors are dealt over shards by a hash, queries over large blocks; a task holds one shard and one block, builds the
+shard's tree once and searches it for the whole block, with matrix products for bounds and leaves. A first pass
 looks only into the leaf with the best bound in every shard. The k-th best score it finds, over all shards, is a
 score the true top k must reach: the second pass starts from it and opens only nodes that can still reach it.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from evalmill.session import pin
 
 SHARD_ROWS = 16_384
-QUERY_ROWS = 1_024
-LEAF = 64
+QUERY_ROWS = 8_192
+LEAF = 256
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -81,43 +81,62 @@ def build_tree(rows: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> BallTree:
     return BallTree(rows[order], ids[order], center, radius.astype(float), left, right, first, last)
 
 
-def keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by score, ties to the smaller id."""
-    if len(ids) > 4 * k:  # a partition first; ties at the edge stay in
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= edge
-        scores, ids = scores[near], ids[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+def best_of(owner: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, queries: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best found of every query by score, ties to the smaller id; raises the floor of queries that have k."""
+    order = np.lexsort((ids, -scores, owner))
+    owner, scores, ids = owner[order], scores[order], ids[order]
+    first = np.searchsorted(owner, np.arange(queries))
+    near = np.arange(len(owner)) - first[owner] < k
+    owner, scores, ids = owner[near], scores[near], ids[near]
+    last = np.searchsorted(owner, np.arange(queries), side="right") - 1
+    full = np.bincount(owner, minlength=queries) == k
+    floor[full] = np.maximum(floor[full], scores[last[full]])
+    return owner, scores, ids
 
 
-def search(tree: BallTree, query: np.ndarray, own: int, k: int, floor: float, first_leaf: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Best k of the tree with a score of ``floor`` or more, without ``own``.
+def search(tree: BallTree, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray, first_leaf: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Best k of the tree for every query with a score of its floor or more, without the query's own id; rows opened.
 
-    Open nodes wait in the order of their bound: query . center + |query| * radius. A leaf that is reached raises
-    the k-th score; the search ends when the best open bound is below it. Bounds get a little slack for rounding.
+    One product gives the bounds of all nodes for all queries: query . center + |query| * radius, and never more than
+    the parent's. The leaves are visited from the highest bound down; a leaf is one product with the queries that can
+    still find something there. What is found raises their k-th scores. Bounds get a little slack for rounding. With
+    ``first_leaf`` a query opens only its own best leaf (and further ones until it has k rows).
     """
-    bounds = tree.center @ query + np.linalg.norm(query) * tree.radius
+    bounds = tree.center @ queries.T + tree.radius[:, None] * np.linalg.norm(queries, axis=1)
     bounds += 1e-9 * np.abs(bounds) + 1e-6
-    heap = [(-bounds[0], 0)]
-    scores, ids = np.zeros(0), np.zeros(0, dtype=np.int64)
-    while heap and -heap[0][0] >= floor:
-        _, node = heapq.heappop(heap)
-        if tree.left[node] >= 0:
-            for child in (tree.left[node], tree.right[node]):
-                if bounds[child] >= floor:
-                    heapq.heappush(heap, (-bounds[child], int(child)))
+    for node in range(len(tree.left)):
+        for child in (tree.left[node], tree.right[node]):
+            if child >= 0:
+                np.minimum(bounds[child], bounds[node], out=bounds[child])
+    leaves = np.flatnonzero(tree.left < 0)
+    bounds = bounds[leaves]
+    floor = floors.astype(float)
+    if first_leaf:
+        # leaves by falling bound until they hold k rows besides the query's own
+        order = np.argsort(-bounds, axis=0)
+        sizes = (tree.last - tree.first)[leaves][order]
+        needed = np.cumsum(sizes, axis=0) - sizes < k + 1
+        opened = np.zeros(bounds.shape, dtype=bool)
+        np.put_along_axis(opened, order, needed, axis=0)
+    found = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held, looked = 0, 0
+    for n in np.argsort(-bounds.max(axis=1, initial=-np.inf)):
+        asked = np.flatnonzero(opened[n] if first_leaf else bounds[n] >= floor)
+        if not len(asked):
             continue
-        a, b = tree.first[node], tree.last[node]
-        near_ids = tree.ids[a:b]
-        near = tree.rows[a:b] @ query
-        good = (near >= floor) & (near_ids != own)
-        scores, ids = keep_best(np.concatenate([scores, near[good]]), np.concatenate([ids, near_ids[good]]), k)
-        if len(scores) == k:
-            floor = max(floor, scores[-1])
-        if first_leaf and len(scores) >= min(k, len(tree.ids) - 1):
-            break
-    return scores, ids
+        a, b = tree.first[leaves[n]], tree.last[leaves[n]]
+        looked += len(asked) * (b - a)
+        scores = queries[asked] @ tree.rows[a:b].T
+        q, r = np.nonzero((scores >= floor[asked][:, None]) & (own[asked][:, None] != tree.ids[a:b]))
+        waiting.append((asked[q], scores[q, r], tree.ids[a:b][r]))
+        held += len(q)
+        if held > 2 * k * len(queries) + 100_000:
+            found = best_of(*[np.concatenate([f, *w]) for f, w in zip(found, zip(*waiting))], k, len(queries), floor)
+            waiting, held = [], 0
+    if waiting:
+        found = best_of(*[np.concatenate([f, *w]) for f, w in zip(found, zip(*waiting))], k, len(queries), floor)
+    return *found, looked
 
 
 def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -163,15 +182,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
     def scan(first_leaf: bool):
         def run(asked_rows: pa.Table, held: pa.Table) -> pa.Table:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            columns = [np.zeros(0, np.int64)] * 3
             if asked_rows.num_rows and held.num_rows:
                 tree = build_tree(matrix(held.column("v"), width), np.asarray(held.column("vec_id"), dtype=np.int64))
+                own = np.asarray(asked_rows.column("query_id"), dtype=np.int64)
                 floors = np.asarray(asked_rows.column("floor"), dtype=float)
-                rows = matrix(asked_rows.column("q"), width)
-                for number, (own, query, floor) in enumerate(zip(asked_rows.column("query_id").to_pylist(), rows, floors)):
-                    scores, ids = search(tree, query, own, k, floor, first_leaf)
-                    out.append((np.full(len(ids), own, dtype=np.int64), ids, scores.astype(np.int64)))
-            columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ([], [], []))]
+                owner, scores, ids, _ = search(tree, matrix(asked_rows.column("q"), width), own, k, floors, first_leaf)
+                columns = [own[owner], ids, scores.astype(np.int64)]
             return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
         return run
