@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.session import pin
+
 # fixed values: metrics in order of preference, and metrics never shown
 PREFERRED = [
     "score", "auc_score", "accuracy", "humaneval_pass@1", "rouge1", "avg_toxicity_score",
@@ -54,30 +57,116 @@ def group_scores(results: DataFrame, taxonomy: DataFrame) -> DataFrame:
     ``error`` row with a null score.
     """
     sizes = taxonomy.groupBy("group").agg(F.count(F.lit(1)).alias("wanted"))
-    found = results.join(taxonomy, ["dataset", "metric"])
-    s, w = F.col("score"), F.col("weight")
-    clamped = F.sum(1.0 / F.greatest(s, F.lit(1.0)))
-    harmonic = F.when(F.min(s) <= 0, F.count(s) / clamped).otherwise(F.count(s) / F.sum(F.when(s > 0, 1.0 / s)))
-    stats = found.groupBy("model", "group", "how").agg(
-        F.count(F.lit(1)).alias("present"),
-        F.avg(s).alias("naive_average"),
-        (F.sum(F.when(w != 0, s * w)) / F.sum(w)).alias("weighted_average"),
-        F.sum(s).alias("sum"),
-        F.stddev_pop(s).alias("standard_deviation"),
-        harmonic.alias("harmonic_mean"),
-    )
-    value = F.lit(None).cast("double")
-    for how in ["naive_average", "weighted_average", "sum", "standard_deviation", "harmonic_mean"]:
-        value = F.when(F.col("how") == how, F.col(how)).otherwise(value)
+    stats = averages(results.join(taxonomy, ["dataset", "metric"]), ["model", "group", "how"])
     whole = F.col("present") == F.col("wanted")
     return stats.join(sizes, "group").select(
         "model",
         "group",
         F.when(whole, F.col("how")).otherwise("error").alias("metric"),
-        F.when(whole, value).alias("score"),
+        F.when(whole, F.col("value")).alias("score"),
+    )
+
+
+def averages(found: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+    """``present`` and the ``value`` that ``how`` names, of score(s) and weight(s) per ``by``, which holds ``how``."""
+    s, w = F.col("score"), F.col("weight")
+    clamped = F.sum(1.0 / F.greatest(s, F.lit(1.0)))
+    values = {
+        "naive_average": F.avg(s),
+        "weighted_average": F.sum(F.when(w != 0, s * w)) / F.sum(w),
+        "sum": F.sum(s),
+        "standard_deviation": F.stddev_pop(s),
+        "harmonic_mean": F.when(F.min(s) <= 0, F.count(s) / clamped).otherwise(F.count(s) / F.sum(F.when(s > 0, 1.0 / s))),
+    }
+    stats = found.groupBy(*by).agg(F.count(F.lit(1)).alias("present"), *[v.alias(how) for how, v in values.items()], *more)
+    value = F.lit(None).cast("double")
+    for how in values:
+        value = F.when(F.col("how") == how, F.col(how)).otherwise(value)
+    return stats.withColumn("value", value).drop(*values)
+
+
+def group_levels(edges: Iterable[tuple[str, str]]) -> list[list[str]]:
+    """Groups of (group, member) edges by level; a level needs sets and groups of the levels before it."""
+    needs: dict[str, set[str]] = {}
+    for group, member in edges:
+        needs.setdefault(group, set()).add(member)
+    needs = {g: {m for m in members if m in needs} for g, members in needs.items()}
+    out = []
+    while needs:
+        ready = sorted(g for g, left in needs.items() if not left)
+        if not ready:
+            raise ValueError(f"groups that contain each other: {sorted(needs)}")
+        out.append(ready)
+        needs = {g: left - set(ready) for g, left in needs.items() if g not in ready}
+    return out
+
+
+def nested_groups(results: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Scores of groups of sets and of groups of groups, as (model, group, metric, score, metric_rank).
+
+    ``results(model, dataset, metric, score, metric_rank)`` as from ``tidy``; ``taxonomy(group, member, metric, weight,
+    how, name)``, of which ``metric``, ``weight`` and ``name`` may be null. Members are sets or other groups. Members
+    without a metric give every metric they all have, and a default score over each one's first metric; members with
+    one give the default only. The default metric has the group's ``name``, else ``how``, and comes last. A group none
+    of whose members has a score is skipped; one with some missing is an ``error`` row, and missing to groups above it.
+
+    The taxonomy is written by hand, so its edges are ordered on the driver; scores stay in Spark, one join a level.
+    """
+    listed = taxonomy.select("group", "member", F.col("metric").isNull().alias("plain")).distinct().collect()
+    kinds: dict[str, set[bool]] = {}
+    for r in listed:
+        kinds.setdefault(r["group"], set()).add(r["plain"])
+    mixed = sorted(g for g, k in kinds.items() if len(k) > 1)
+    if mixed:
+        raise ValueError(f"groups with and without metrics: {mixed}")
+    columns = ["model", "dataset", "metric", "score", "metric_rank"]
+    known = pin(results.select(*columns))
+    parts = []
+    for level in group_levels((r["group"], r["member"]) for r in listed):
+        rows = pin(_group_level(known, taxonomy.filter(F.col("group").isin(level))))
+        parts.append(rows)
+        known = known.unionByName(rows.filter(F.col("score").isNotNull()).withColumnRenamed("group", "dataset").select(*columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _group_level(known: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    default = F.coalesce("name", "how")
+    sizes = taxonomy.groupBy("group").agg(F.count(F.lit(1)).alias("wanted"))
+    members = taxonomy.select("group", "member", F.col("metric").alias("asked"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "how", default.alias("default"))
+    found = members.join(known, F.col("member") == F.col("dataset")).filter(F.col("asked").isNull() | (F.col("asked") == F.col("metric")))
+    first = found.filter(F.col("asked").isNotNull() | (F.col("metric_rank") == 1)).withColumn("metric", F.col("default")).withColumn("last", F.lit(True))
+    shared = found.filter(F.col("asked").isNull() & (F.col("metric") != F.col("default"))).withColumn("last", F.lit(False))
+    by = ["model", "group", "metric", "how", "last"]
+    scored = averages(first.unionByName(shared), by, F.min("metric_rank").alias("_rank")).join(sizes, "group")
+    whole = F.col("present") == F.col("wanted")
+    # a metric that some member lacks is no metric of the group; a default that some member lacks is an error
+    scored = scored.filter(whole | F.col("last"))
+    place = Window.partitionBy("model", "group").orderBy("last", "_rank", "metric")
+    return scored.select(
+        "model", "group", F.when(whole, F.col("metric")).otherwise("error").alias("metric"), F.when(whole, F.col("value")).alias("score"),
+        F.row_number().over(place).alias("metric_rank"),
     )
 
 
+def run_modes(runs: DataFrame) -> DataFrame:
+    """(dataset, mode) from (dataset, inferencer): how a set was run follows from the name of what ran it."""
+    name = F.coalesce("inferencer", F.lit(""))
+    mode = F.when(F.contains(name, F.lit("GenInferencer")), "gen").when(F.contains(name, F.lit("PPLInferencer")), "ppl")
+    return runs.select("dataset", mode.when(F.contains(name, F.lit("LLInferencer")), "ll").otherwise("unknown").alias("mode"))
+
+
+def group_modes(modes: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(dataset, mode) of sets and groups: a group has its members' mode, ``mixed`` if they differ, unknown ones included."""
+    known = modes.select("dataset", "mode")
+    edges = taxonomy.select("group", "member").distinct()
+    for level in group_levels((r["group"], r["member"]) for r in edges.collect()):
+        members = edges.filter(F.col("group").isin(level)).join(known, F.col("member") == F.col("dataset"), "left")
+        kinds = F.collect_set(F.coalesce("mode", F.lit("unknown")))
+        rows = members.groupBy("group").agg(F.when(F.size(kinds) > 1, "mixed").otherwise(F.get(kinds, F.lit(0))).alias("mode"))
+        known = known.unionByName(rows.withColumnRenamed("group", "dataset"))
+    return known
+
+
 def pivot_models(results: DataFrame, models: Sequence[str], digits: int = 2, settings: DataFrame | None = None) -> DataFrame:
     """One row per (dataset, metric), one text column per model, ``-`` where missing.
 

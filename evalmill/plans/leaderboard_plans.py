@@ -102,6 +102,60 @@ def _(t):
     return round6(L.group_scores(t.ev_results, taxonomy(t)))
 
 
+# group, member, metric, weight, how, name
+NESTED = [
+    *[("urgent", d, None, None, "naive_average", None) for d in SETS[:2]],
+    *[("calm", d, None, float(i + 1), "weighted_average", None) for i, d in enumerate(SETS[2:])],
+    ("all", "urgent", None, None, "naive_average", None),
+    ("all", "calm", None, None, "naive_average", None),
+    ("named", "urgent", "naive_average", None, "sum", "score"),
+    ("named", SETS[4], "items", None, "sum", "score"),
+    ("top", "all", None, None, "harmonic_mean", None),
+    ("top", "named", None, None, "harmonic_mean", None),
+    ("broken", SETS[0], None, None, "naive_average", None),
+    ("broken", "no such set", None, None, "naive_average", None),
+    ("above", "broken", None, None, "naive_average", None),
+    ("above", "urgent", None, None, "naive_average", None),
+    ("absent", "no such set", None, None, "naive_average", None),
+]
+NESTED_SCHEMA = "`group` string, member string, metric string, weight double, how string, name string"
+
+
+def nested(t):
+    return t.spark.createDataFrame(NESTED, NESTED_SCHEMA)
+
+
+@query("g28_nested_groups", RESULTS + """
+, u AS (SELECT model, metric, avg(score) AS score FROM ev_results WHERE dataset IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2),
+w(dataset, w) AS (VALUES ('3-MEDIUM', 1), ('4-NOT SPECIFIED', 2), ('5-LOW', 3)),
+c AS (SELECT model, metric, sum(score * w) / sum(w) AS score FROM ev_results JOIN w USING (dataset) GROUP BY 1, 2),
+a AS (SELECT model, metric, (u.score + c.score) / 2 AS score FROM u JOIN c USING (model, metric)),
+n AS (SELECT u.model, u.score + r.score AS score FROM u JOIN ev_results r ON u.model = r.model AND u.metric = 'accuracy' AND r.metric = 'items' AND r.dataset = '5-LOW'),
+x AS (SELECT 'urgent' AS "group", model, metric, score, CASE metric WHEN 'accuracy' THEN 1 ELSE 2 END AS r FROM u
+ UNION ALL SELECT 'urgent', model, 'naive_average', score, 3 FROM u WHERE metric = 'accuracy'
+ UNION ALL SELECT 'calm', model, metric, score, CASE metric WHEN 'accuracy' THEN 1 ELSE 2 END FROM c
+ UNION ALL SELECT 'calm', model, 'weighted_average', score, 3 FROM c WHERE metric = 'accuracy'
+ UNION ALL SELECT 'all', model, metric, score, CASE metric WHEN 'accuracy' THEN 1 ELSE 2 END FROM a
+ UNION ALL SELECT 'all', model, 'naive_average', score, 3 FROM a WHERE metric = 'accuracy'
+ UNION ALL SELECT 'named', model, 'score', score, 1 FROM n
+ UNION ALL SELECT 'top', model, 'harmonic_mean', 2 / (1 / a.score + 1 / n.score), 1 FROM a JOIN n USING (model) WHERE metric = 'accuracy'
+ UNION ALL SELECT g, model, 'error', NULL, 1 FROM (SELECT DISTINCT model FROM u), (VALUES ('broken'), ('above')) b(g))
+SELECT "group", model, metric, round(score, 6) AS score, r AS metric_rank FROM x""")
+def _(t):
+    rank = F.when(F.col("metric") == "accuracy", 1).otherwise(2)
+    return round6(L.nested_groups(t.ev_results.withColumn("metric_rank", rank), nested(t)))
+
+
+@query("g27_group_modes", """
+SELECT * FROM (VALUES ('1-URGENT', 'gen'), ('2-HIGH', 'gen'), ('3-MEDIUM', 'ppl'), ('4-NOT SPECIFIED', 'll'), ('5-LOW', 'unknown'), ('urgent', 'gen'), ('calm', 'mixed'),
+ ('all', 'mixed'), ('named', 'mixed'), ('top', 'mixed'), ('broken', 'mixed'), ('above', 'mixed'), ('absent', 'unknown')) x(dataset, mode)
+WHERE dataset IN (SELECT DISTINCT o_orderpriority FROM orders) OR dataset NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')""")
+def _(t):
+    kinds = F.when(F.col("dataset") < "3", "GenInferencer").when(F.col("dataset") < "4", "my.PPLInferencer").when(F.col("dataset") < "5", "LLInferencer")
+    runs = t.ev_results.select("dataset").distinct().withColumn("inferencer", kinds)
+    return L.group_modes(L.run_modes(runs), nested(t))
+
+
 @query("g29_leaderboard_pivot", RESULTS + """
 SELECT dataset, metric, """ + ", ".join(
     f"coalesce(printf('%.2f', round(max(score) FILTER (model = '{m}'), 2)), '-') AS {m}" for m in [*MODELS, "m9"]

@@ -121,6 +121,40 @@ def _(t):
     return round6(back.select("model", "dataset", "metric", "score"))
 
 
+def details(t):
+    texts = t.ev_scored.select("model", F.col("category").alias("dataset"), F.concat_ws("-", "item_id", "pos").alias("item_id"), F.lit("Pick one.").alias("prompt"), "prediction",
+                               F.when(F.col("prediction").contains("not sure"), None).otherwise(F.col("answer")).alias("answer"), "gold", F.lit(None).cast("map<string,double>").alias("labels"))
+    losses = t.ev_label_scores.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "nll")))).alias("labels"), F.min_by("label", F.struct("nll", "label")).alias("answer"))
+    ranked = losses.join(t.ev_items.select("item_id", "gold"), "item_id").select(
+        F.lit("ranked").alias("model"), F.lit("labels").alias("dataset"), F.col("item_id").cast("string").alias("item_id"), F.lit("Pick one.").alias("prompt"), F.lit(None).cast("string").alias("prediction"), "answer", "gold", "labels"
+    )
+    path = scratch_path(t.spark, "details")
+    W.write_details(W.item_details(texts.unionByName(ranked)), path)
+    return t.spark.read.parquet(path)
+
+
+DETAILS = with_tables("ev_scored", "ev_label_scores") + """
+, d AS (SELECT model, category AS dataset, item_id || '-' || pos AS item_id, 'GEN' AS type, prediction AS origin_prediction, CASE WHEN NOT contains(prediction, 'not sure') THEN answer END AS predictions, gold, NULL AS labels FROM ev_scored
+ UNION ALL SELECT 'ranked', 'labels', CAST(item_id AS VARCHAR), 'PPL', NULL, arg_min(label, {'n': nll, 'l': label}), any_value(gold), string_agg(label || '=' || round(nll, 4), ',' ORDER BY label)
+ FROM ev_label_scores JOIN ev_items USING (item_id) GROUP BY item_id)
+"""
+
+
+@query("a8_write_details", DETAILS + """
+SELECT model, dataset, item_id, type, 'Pick one.' AS prompt, origin_prediction, labels, predictions, gold AS "references", coalesce(predictions = gold, false) AS correct FROM d""")
+def _(t):
+    d = details(t).select("model", "dataset", "item_id", "detail.*")
+    pairs = F.transform(F.map_entries("labels"), lambda e: F.concat_ws("=", e["key"], F.round(e["value"], 4)))
+    return d.withColumn("labels", F.array_join(pairs, ","))
+
+
+@query("a8_extraction_rates", DETAILS + """
+SELECT model, dataset, round(avg(CASE WHEN predictions IS NOT NULL THEN 100e0 ELSE 0e0 END), 6) AS extraction_rate, round(avg(CASE WHEN predictions = gold THEN 100e0 ELSE 0e0 END), 6) AS accuracy
+FROM d GROUP BY model, dataset""")
+def _(t):
+    return round6(W.extraction_rates(details(t)))
+
+
 @query("a9_write_leaderboard", RESULTS + """
 , w AS (SELECT dataset, """ + ", ".join(
     f"printf('%.2f', round(max(score) FILTER (model = 'm{i}'), 2)) AS m{i}" for i in range(5)

@@ -268,3 +268,28 @@ def test_tidy_skips_errors_and_text(spark):
 def test_math_strings(spark):
     df = spark.createDataFrame([("m", r"x=\left( \tfrac12 \right)", r"(\frac{1}{2})"), ("m", "1/2", "0.5"), ("m", ".5\\%", "0.5")], "model string, prediction string, reference string")
     assert [r[0] for r in df.select(X.math_string(F.col("prediction")) == X.math_string(F.col("reference"))).collect()][:2] == [True, True]
+
+
+def test_groups_of_groups(spark):
+    from evalmill.plans.leaderboard_plans import NESTED_SCHEMA
+
+    assert L.group_levels([("a", "x"), ("b", "a"), ("c", "b"), ("c", "a"), ("d", "y")]) == [["a", "d"], ["b"], ["c"]]
+    with pytest.raises(ValueError, match="contain each other"):
+        L.group_levels([("a", "b"), ("b", "a"), ("c", "x")])
+    results = spark.createDataFrame(
+        [("m", "x", "f1", 2.0, 1), ("m", "x", "em", 4.0, 2), ("m", "y", "em", 8.0, 1), ("k", "x", "f1", 1.0, 1), ("m", "z", "zero", 0.0, 1)],
+        "model string, dataset string, metric string, score double, metric_rank int",
+    )
+    rows = [
+        ("g", "x", None, None, "naive_average", None), ("g", "y", None, None, "naive_average", None),
+        ("h", "g", None, 3.0, "weighted_average", "naive_average"), ("h", "z", None, None, "weighted_average", "naive_average"),
+        ("i", "g", None, None, "harmonic_mean", "all"), ("i", "z", None, None, "harmonic_mean", "all"),
+    ]
+    got = {(r["model"], r["group"], r["metric"]): (r["score"], r["metric_rank"]) for r in L.nested_groups(results, spark.createDataFrame(rows, NESTED_SCHEMA)).collect()}
+    # g: em is common, the default takes f1 of x and em of y; z has no weight in h; k lacks y, and so all above
+    assert got == {
+        ("m", "g", "em"): (6.0, 1), ("m", "g", "naive_average"): (5.0, 2), ("k", "g", "error"): (None, 1),
+        ("m", "h", "naive_average"): (6.0, 1), ("m", "i", "all"): (2 / (1 / 6.0 + 1 / 1.0), 1),
+    }
+    with pytest.raises(ValueError, match="with and without"):
+        L.nested_groups(results, spark.createDataFrame([*rows, ("g", "x", "f1", None, "naive_average", None)], NESTED_SCHEMA))
