@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -85,7 +86,8 @@ def bootstrap_means(df, by, id_col: str, value: str, rounds: int = 1000, seed: i
     rows = df.filter(F.col(value).isNotNull()).select(
         *by, F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h")
     )
-    cuts = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, i + 1))) for i in range(12)])
+    # as many counts as a draw of 53 bits can tell apart
+    cuts = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(20)])
 
     def partial(batches):
         step = np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -345,5 +347,12 @@ def judge_agreement(df, by, dataset="dataset", judge="judge_score", meta="meta_s
     )
 
 
+def overall_agreement(df, by, judge="judge_score", meta="meta_score"):
+    """Accuracy against the meta judge over the rows of all sets, next to the number of them."""
+    rows = df.filter(F.col(meta).isNotNull())
+    right = F.coalesce(F.count_if(F.col(judge) == F.col(meta)), F.lit(0))
+    return rows.groupBy(*by).agg(F.round(right / F.count(F.lit(1)), 3).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 def average_agreement(agreement, by):
     return agreement.groupBy(*by).agg(F.round(F.avg("corr"), 3).alias("avg_corr"))

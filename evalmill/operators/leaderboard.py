@@ -182,6 +182,36 @@ def pivot_models(results: DataFrame, models: Sequence[str], digits: int = 2, set
     return known.select("dataset", version, "metric", mode, *cells)
 
 
+def two_level_table(results: DataFrame, models: Sequence[str], metrics: Sequence[str], settings: DataFrame | None = None, datasets: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
+    """A text column per model and metric under two header lines: models above, metrics below.
+
+    Columns are named c0, c1, ... and ``line`` orders them: 0 and 1 are the headers (a model's name stands over its
+    first metric, ``-`` over the others), then one line per set, in the order of ``datasets`` or by name. Sets without
+    any result have ``-`` everywhere.
+    """
+    shown = F.format_string(f"%.{digits}f", F.round("score", digits))
+    cells = [F.max(F.when((F.col("model") == m) & (F.col("metric") == k), shown)) for m in models for k in metrics]
+    wide = results.groupBy("dataset").agg(*[F.coalesce(c, F.lit("-")).alias(f"c{i + 3}") for i, c in enumerate(cells)])
+    if settings is not None:
+        wide = wide.join(settings.select("dataset", F.col("version").alias("_v"), F.col("mode").alias("_m")), "dataset", "left")
+    else:
+        wide = wide.withColumn("_v", F.lit(None).cast("string")).withColumn("_m", F.lit(None).cast("string"))
+    names = [f"c{i + 3}" for i in range(len(cells))]
+    body = wide.select(F.col("dataset").alias("c0"), F.coalesce("_v", F.lit("-")).alias("c1"), F.coalesce("_m", F.lit("-")).alias("c2"), *names)
+    spark = results.sparkSession
+    if datasets is not None:
+        order = spark.createDataFrame([(i + 2, d) for i, d in enumerate(datasets)], "line int, c0 string")
+        body = order.join(body, "c0", "left").fillna("-", ["c1", "c2", *names])
+    else:
+        # a board has a line per set: few enough to be numbered together
+        body = body.withColumn("line", F.row_number().over(Window.orderBy("c0")) + 1)
+    over = [m if i == 0 else "-" for m in models for i in range(len(metrics))]
+    heads = [(0, "dataset", "version", "mode", *over), (1, "-", "-", "-", *(list(metrics) * len(models)))]
+    columns = ["line", "c0", "c1", "c2", *names]
+    top = spark.createDataFrame(heads, ", ".join(["line int", *[f"{c} string" for c in columns[1:]]]))
+    return top.unionByName(body.select(*columns))
+
+
 def compression_table(results: DataFrame, datasets: Sequence[str], digits: int = 4) -> DataFrame:
     """One row per model: a column per set and their average, best (smallest) first."""
     wide = results.groupBy("model").pivot("dataset", list(datasets)).agg(F.round(F.first("score"), digits))

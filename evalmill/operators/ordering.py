@@ -2,7 +2,7 @@
 
 A plain ``row_number() over (partition by g order by x)`` sorts the whole of
 ``g`` in one task. Here rows are dealt by ranges of (g, x, tie), so a huge group,
-or one heavy value, is cut into as many slots as its size asks for; slot totals
+or one heavy value, is cut into as many slots as its size asks for (the rows are counted first); slot totals
 (a tiny table) give every slot its starting offset.
 """
 
@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 from evalmill.session import pin
 
 
-def range_slots(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+#: Rows that a range holds about; a table has as many ranges as it takes, and one per shuffle partition at least.
+SLOT_ROWS = 1_000_000
+
+
+def range_slots(df: DataFrame, columns: Sequence[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Add ``_slot``, the number of the row's range in the order of ``columns``.
 
     Spark samples the ranges; they are written once, as a number that is computed again may differ.
     """
-    return pin(df.repartitionByRange(*columns).withColumn("_slot", F.spark_partition_id()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-df.count() // slot_rows))
+    return pin(df.repartitionByRange(ranges, *columns).withColumn("_slot", F.spark_partition_id()))
 
 
 def running(

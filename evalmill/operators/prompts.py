@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions.draws import below, bits
 from evalmill.operators.ordering import running, smallest
-from evalmill.session import pin
+from evalmill.session import scratch_path
 
 
 # --- ids, replicas, slices, samples ---------------------------------------------------------------
@@ -199,19 +199,34 @@ def chat_histories(conv: DataFrame, mode: str = "every") -> DataFrame:
 def fed_back_histories(conv: DataFrame, answer, turns: Sequence[int]) -> DataFrame:
     """Each assistant turn is answered by ``answer(prompts) -> (conv_id, text)`` and replaces the gold text.
 
-    One pass per turn number, over all conversations at once; the gold text is kept.
+    One pass per turn number at which some assistant speaks, over all conversations at once; the gold
+    text is kept. A pass appends its answers, keyed (conv_id, turn), to one table and reads the earlier
+    ones from it to rebuild the histories of the conversations that are due: what is written grows with
+    the answers, and the conversations themselves are never written.
     """
-    done = conv.withColumn("gold", F.col("text"))
-    for turn in turns:
-        asked = done.filter(F.col("turn") < turn).groupBy("conv_id").agg(
+    spark = conv.sparkSession
+    path = scratch_path(spark, "answers")
+    kind = conv.schema["conv_id"].dataType.simpleString()
+    spoken = {r["turn"] for r in conv.filter("role = 'assistant'").select("turn").distinct().collect()}
+    written: list[int] = []
+
+    def told(rows: DataFrame) -> DataFrame:
+        """Rows with the answers given so far."""
+        if not written:
+            return rows
+        said = spark.read.schema(f"conv_id {kind}, _said string, turn bigint").parquet(path)
+        return rows.join(said, ["conv_id", "turn"], "left").withColumn("text", F.coalesce("_said", "text")).drop("_said")
+
+    for turn in [t for t in turns if t in spoken]:
+        due = conv.filter((F.col("turn") == turn) & (F.col("role") == "assistant")).select("conv_id")
+        before = told(conv.filter(F.col("turn") < turn).join(due, "conv_id", "left_semi"))
+        asked = before.groupBy("conv_id").agg(
             F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("history")
         )
-        due = done.filter((F.col("turn") == turn) & (F.col("role") == "assistant")).select("conv_id")
-        said = answer(asked.join(due, "conv_id", "left_semi")).select("conv_id", F.col("text").alias("_said"))
-        done = done.join(said.withColumn("turn", F.lit(turn).cast("bigint")), ["conv_id", "turn"], "left")
-        # each pass reads the last one twice, so it is written once instead of recomputed
-        done = pin(done.withColumn("text", F.coalesce("_said", "text")).drop("_said"))
-    return done
+        said = answer(asked).select("conv_id", F.col("text").alias("_said"))
+        said.write.parquet(f"{path}/turn={turn}")
+        written.append(turn)
+    return told(conv.withColumn("gold", F.col("text")))
 
 
 def pack_rounds(conv: DataFrame) -> DataFrame:
@@ -226,14 +241,21 @@ def pack_rounds(conv: DataFrame) -> DataFrame:
     )
 
 
-def unpack_rounds(rounds: DataFrame, longest: int) -> DataFrame:
-    """One column per round, null past a dialogue's end."""
+def unpack_rounds(rounds: DataFrame, longest: int | None = None) -> DataFrame:
+    """One column per round up to ``longest`` or the longest dialogue, null past a dialogue's end."""
+    if longest is None:
+        longest = rounds.agg(F.max("round")).first()[0] or 0
     wide = rounds.groupBy("conv_id").pivot("round", list(range(1, longest + 1))).agg(
         F.first("user").alias("user"), F.first("assistant").alias("assistant")
     )
     return wide
 
 
+def listed_rounds(rounds: DataFrame) -> DataFrame:
+    """One array of (round, user, assistant) per dialogue, whatever its length."""
+    return rounds.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("round", "user", "assistant"))).alias("rounds"))
+
+
 def render_chat(conv: DataFrame, roles: Mapping[str, tuple[str, str]], begin: str = "", end: str = "") -> DataFrame:
     """One prompt per conversation, every turn inside its role's marks."""
     marked = F.lit(None).cast("string")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.operators.ordering import running
-from evalmill.session import pin
+from evalmill.session import pin, scratch_path
 
 MAX_MODELS = 3000
 
@@ -227,7 +227,11 @@ def online_elo(
     keys = list(by)
     columns = dict.fromkeys([*keys, order, tie, "model_a", "model_b", "winner"])
     placed = running(battles.select(*columns), keys, F.col(order), F.col(tie))
-    placed = pin(placed.withColumn("_chunk", F.floor((F.col("rank") - 1) / chunk).cast("int")))
+    placed = placed.withColumn("_chunk", F.floor((F.col("rank") - 1) / chunk).cast("int"))
+    # stored by piece: a pass reads its own piece and nothing else
+    path = scratch_path(battles.sparkSession, "pieces")
+    placed.hint("rebalance", "_chunk").write.partitionBy("_chunk").parquet(path)
+    placed = battles.sparkSession.read.schema(placed.schema).parquet(path)
     last = placed.agg(F.max("_chunk")).first()[0]
     schema = _types(placed, keys) + "model string, rating double"
 
@@ -258,10 +262,11 @@ def bootstrap_elo(battles: DataFrame, order: str, tie: str, rounds: int = 10, se
     """Elo over ``rounds`` resamples, each battle repeated by a hashed Poisson(1) count; all rounds at once."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col(order), F.col(tie)), F.lit(1 << 30)) / float(1 << 30)
     cuts, total, term = [], 0.0, math.exp(-1.0)
-    for i in range(8):
+    # as many counts as a draw of 30 bits can tell apart
+    while total < 1 - 2.0**-30:
         total += term
         cuts.append(total)
-        term /= i + 1
+        term /= len(cuts)
     copies = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
     rows = battles.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))

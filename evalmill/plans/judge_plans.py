@@ -320,6 +320,14 @@ def _(t):
     return agreement(t)
 
 
+@query("g34_overall_agreement", """
+SELECT 'j' AS judge, round(avg(CASE WHEN l_linenumber % 3 = 0 THEN 1e0 ELSE 0e0 END), 3) AS accuracy, count(*) AS n FROM lineitem WHERE l_partkey % 5 <> 0""")
+def _(t):
+    meta = F.when(F.col("l_partkey") % 5 != 0, F.col("l_linenumber") % 3)
+    rows = t.lineitem.select(F.lit("j").alias("judge"), meta.alias("meta_score"), F.lit(0).alias("judge_score"))
+    return J.overall_agreement(rows, ["judge"])
+
+
 @query("g34_average_agreement", AGREE + "SELECT 'j' AS judge, round(avg(corr), 3) AS avg_corr FROM a")
 def _(t):
     return J.average_agreement(agreement(t), ["judge"])

@@ -176,6 +176,18 @@ def _(t):
     return L.pivot_models(t.ev_results, MODELS, settings=listed)
 
 
+@query("g29_two_level_table", RESULTS + """
+, w AS (SELECT dataset, """ + ", ".join(
+    f"coalesce(printf('%.2f', round(max(score) FILTER (model = '{m}' AND metric = '{k}'), 2)), '-') AS c{3 + 2 * i + j}" for i, m in enumerate(MODELS[:2]) for j, k in enumerate(["accuracy", "items"])
+) + """ FROM ev_results GROUP BY dataset),
+d(line, c0) AS (VALUES (2, '2-HIGH'), (3, '1-URGENT'), (4, 'no such set'))
+SELECT 0 AS line, 'dataset' AS c0, 'version' AS c1, 'mode' AS c2, 'm0' AS c3, '-' AS c4, 'm1' AS c5, '-' AS c6 UNION ALL SELECT 1, '-', '-', '-', 'accuracy', 'items', 'accuracy', 'items'
+UNION ALL SELECT line, c0, CASE WHEN line = 2 THEN 'v1' ELSE '-' END, CASE WHEN line = 2 THEN 'gen' ELSE '-' END, coalesce(c3, '-'), coalesce(c4, '-'), coalesce(c5, '-'), coalesce(c6, '-') FROM d LEFT JOIN w ON d.c0 = w.dataset""")
+def _(t):
+    settings = t.ev_results.filter("dataset = '2-HIGH'").select("dataset", F.lit("v1").alias("version"), F.lit("gen").alias("mode")).distinct()
+    return L.two_level_table(t.ev_results, MODELS[:2], ["accuracy", "items"], settings, ["2-HIGH", "1-URGENT", "no such set"])
+
+
 @query("g30_compression_table", RESULTS + """
 , a AS (SELECT model, """ + ", ".join(
     f"round(max(score) FILTER (dataset = '{d}'), 4) AS \"{d}\"" for d in SETS

@@ -185,6 +185,14 @@ def _(t):
     return P.unpack_rounds(P.pack_rounds(t.conversations), 4)
 
 
+@query("b14_listed_rounds", ROUNDS + """SELECT conv_id, string_agg(round || ': ' || coalesce("user", '-') || ' / ' || coalesce(assistant, '-'), chr(10) ORDER BY round) AS rounds, count(*) AS n
+FROM r GROUP BY conv_id""")
+def _(t):
+    said = lambda r: F.concat(r["round"].cast("string"), F.lit(": "), F.coalesce(r["user"], F.lit("-")), F.lit(" / "), F.coalesce(r["assistant"], F.lit("-")))
+    rows = P.listed_rounds(P.pack_rounds(t.conversations))
+    return rows.select("conv_id", F.array_join(F.transform("rounds", said), "\n").alias("rounds"), F.size("rounds").cast("bigint").alias("n"))
+
+
 @query("b15_render_chat", """
 SELECT conv_id, '<s>' || string_agg(CASE role WHEN 'user' THEN '[U]' || text || '[/U]' WHEN 'assistant' THEN '[A]' || text || '[/A]' ELSE '[S]' || text || '[/S]' END, '' ORDER BY turn) || '</s>' AS prompt
 FROM conversations GROUP BY conv_id""")
