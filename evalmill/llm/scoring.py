@@ -9,7 +9,6 @@ end and one total per state reach the driver.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,8 @@ BUCKET = 500_000
 #: Longest training sequence; longer texts train as several, scores are never cut.
 SEGMENT = 1024
 LOCKSTEP = 512
-CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, n_train array<bigint>, order binary"
+CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, n_train array<bigint>, tops binary"
+COUNTED = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, c binary, buckets array<int>, sizes array<int>"
 SHARED = "chunk bigint, bucket int, index binary, c binary, fresh bigint, loose double"
 #: Occurrences, dealt like all tokens over the states, that are added to a word's own before its states are estimated.
 KAPPA = 10.0
@@ -45,14 +45,23 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def spread_out(held: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(held[:8], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(held[8:], size, "zstd", asbytes=True), kind)
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
     """Chunks of documents(doc_id, text, held) with the places of their words among the chunk's distinct ones, written once.
 
-    ``order`` lists the distinct words by hash, so those of a bucket stand together.
+    The distinct words are listed by hash, so those of a bucket stand together; ``tops`` are the hashes' leading bits.
     """
     schema = pa.schema(
         [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("counts", pa.list_(pa.int32()))]
-        + [("places", pa.binary()), ("words", pa.list_(pa.string())), ("n_train", pa.list_(pa.int64())), ("order", pa.binary())]
+        + [("places", pa.binary()), ("words", pa.list_(pa.string())), ("n_train", pa.list_(pa.int64())), ("tops", pa.binary())]
     )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -73,15 +82,18 @@ def chunk_table(docs: DataFrame) -> DataFrame:
         for number, rows in enumerate(gather(batches)):
             flat, counts = split_words(rows.column("text").combine_chunks())
             coded = flat.dictionary_encode()
-            places = np.asarray(coded.indices, dtype=np.int64)
+            hashes = word_hashes(coded.dictionary)
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            places, dictionary = rank[np.asarray(coded.indices, dtype=np.int64)], coded.dictionary.take(pa.array(order))
             held = np.asarray(rows.column("held").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
-            n_train = np.bincount(places[np.repeat(~held, counts)], minlength=len(coded.dictionary))
-            row = (first + number, rows.column("doc_id").to_pylist(), held.tolist(), counts.tolist(), zlib.compress(places.astype("<u4").tobytes(), 1))
+            n_train = np.bincount(places[np.repeat(~held, counts)], minlength=len(dictionary))
+            row = (first + number, rows.column("doc_id").to_pylist(), held.tolist(), counts.tolist(), squeezed(places.astype("<u4")))
             arrays = [pa.array([v], f.type) for v, f in zip(row, schema)]
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())))
+            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(dictionary)], pa.int32()), dictionary.cast(pa.string())))
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(n_train)], pa.int32()), pa.array(n_train, pa.int64())))
-            order = np.argsort(word_hashes(coded.dictionary), kind="stable")
-            arrays.append(pa.array([order.astype("<u4").tobytes()], pa.binary()))
+            arrays.append(pa.array([(hashes[order] >> np.uint64(32)).astype("<u4").tobytes()], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return pin(docs.withColumn("size", F.octet_length("text")).mapInArrow(cut, CHUNKS))
@@ -117,16 +129,14 @@ def share_words(chunks: DataFrame) -> DataFrame:
     training tokens and ``loose`` sums theirs, on one of its rows.
     """
     pairs = chunks.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
-    bits = max(6, (pairs // BUCKET).bit_length())
+    bits = min(31, max(6, (pairs // BUCKET).bit_length()))
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("n_train", pa.list_(pa.int64()))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 words, n_train = batch.column("words")[i].values, batch.column("n_train")[i].values
-                order = np.frombuffer(batch.column("order")[i].as_py(), "<u4")
-                words, n_train = words.take(pa.array(order)), n_train.take(pa.array(order))
-                bucket = (word_hashes(words) >> np.uint64(64 - bits)).astype(np.int32)
+                bucket = (np.frombuffer(batch.column("tops")[i].as_py(), "<u4") >> np.uint32(32 - bits)).astype(np.int32)
                 used, first = np.unique(bucket, return_index=True)
                 ends = pa.array(np.append(first, len(words)), pa.int32())
                 chunk = pa.array(np.full(len(used), batch.column("chunk")[i].as_py()), pa.int64())
@@ -152,10 +162,25 @@ def share_words(chunks: DataFrame) -> DataFrame:
             }
         )
 
-    dealt = chunks.select("chunk", "words", "n_train", "order").mapInArrow(deal, "chunk bigint, bucket int, words array<string>, n_train array<bigint>")
+    dealt = chunks.select("chunk", "words", "n_train", "tops").mapInArrow(deal, "chunk bigint, bucket int, words array<string>, n_train array<bigint>")
     return pin(dealt.groupBy("bucket").applyInArrow(count, SHARED))
 
 
+def counted_chunks(chunks: DataFrame, shared: DataFrame) -> DataFrame:
+    """The chunks with their words' training counts in all chunks, and the buckets these come from; written once."""
+    fields = ["chunk", "doc_ids", "held", "counts", "places", "words"]
+
+    def meet(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        parts = [np.frombuffer(x, "<i8") for x in rows.column("c").to_pylist()]
+        c = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        out = chunk.select(fields).append_column("c", pa.array([squeezed(c)], pa.binary()))
+        out = out.append_column("buckets", pa.array([rows.column("bucket").to_pylist()], pa.list_(pa.int32())))
+        return out.append_column("sizes", pa.array([[len(x) for x in parts]], pa.list_(pa.int32())))
+
+    return pin(chunks.select(*fields).groupBy("chunk").cogroup(shared.select("chunk", "bucket", "c").groupBy("chunk")).applyInArrow(meet, COUNTED))
+
+
 def read_totals(chunks: DataFrame, shared: DataFrame) -> Totals:
     in_chunk = F.aggregate("n_train", F.lit(0).cast("bigint"), lambda a, b: a + b)
     found = chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("ends"), F.sum(in_chunk).alias("n")).first()
@@ -206,6 +231,7 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
     k = len(model.start)
     starts_sum, moves_sum, emits_sum = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emits), k))
     emits, moves = model.emits.astype(np.float32), model.moves.astype(np.float32)
+    ones, back = np.ones((k, 1), np.float32), np.ascontiguousarray(moves.T)
     lengths = np.array([len(x) for x in sequences])
     for group in lockstep(lengths):
         longest = lengths[group]
@@ -219,9 +245,9 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
             n = active[t]
             seen = emits[flat[starts[:n] + t]]
             state = (model.start.astype(np.float32) if state is None else state[:n] @ moves) * seen
-            scale = state.sum(axis=1, keepdims=True)
-            state /= scale
-            seen /= scale
+            scale = 1 / (state @ ones)  # a product, as sums over short rows are slow
+            state *= scale
+            seen *= scale
             alphas.append(state)
             scaled.append(seen)
         after = None
@@ -232,15 +258,16 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
             if after is not None:
                 m = len(after)
                 moves_sum += (alphas[t][:m].T @ after) * model.moves
-                beta[:m] = after @ moves.T
+                beta[:m] = after @ back
             gammas[t] = alphas[t] * beta
             after = scaled[t] * beta
         starts_sum += gammas[0].sum(axis=0)
         weights = np.concatenate(gammas)
-        weights /= weights.sum(axis=1, keepdims=True)
+        weights /= weights @ ones
+        weights = weights.T.astype(np.float64)
         symbol = np.concatenate([flat[starts[: active[t]] + t] for t in range(steps)])
         for j in range(k):
-            emits_sum[:, j] += np.bincount(symbol, weights=weights[:, j], minlength=len(model.emits))
+            emits_sum[:, j] += np.bincount(symbol, weights=weights[j], minlength=len(model.emits))
     return starts_sum, moves_sum, emits_sum
 
 
@@ -262,27 +289,25 @@ class Model:
 
     def needs(self) -> list[str]:
         """Columns of a chunk: its words only where some of them are looked up."""
-        return ["chunk", "doc_ids", "held", "counts", "places", "order", *(["words"] if self.guess else [])]
+        return ["chunk", "doc_ids", "held", "counts", "places", "c", "buckets", "sizes", *(["words"] if self.guess else [])]
 
 
 def packed(counts: np.ndarray) -> bytes:
     """Counts to a 65,536th of an occurrence, by state and byte, so that what is clear compresses to little."""
-    rounded = np.round(counts.T * 65536.0) / 65536.0
-    return rounded.astype("<f4").reshape(-1, 1).view(np.uint8).T.tobytes()
+    return np.rint(counts.T * 65536.0).astype("<f4").reshape(-1, 1).view(np.uint8).T.tobytes()
 
 
 def unpacked(held: bytes, states: int) -> np.ndarray:
     planes = np.frombuffer(held, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<f4").reshape(states, -1).T
+    return np.ascontiguousarray(planes.T).view("<f4").reshape(states, -1).T / np.float32(65536.0)
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a pinned table that a later one has replaced, and let Spark clean shuffles out of use."""
+    """Delete the files of a pinned table that a later one has replaced."""
     jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    jvm.System.gc()
 
 
 class Chunk:
@@ -292,26 +317,28 @@ class Chunk:
         held = {n: chunk.column(n)[0] for n in chunk.column_names}
         self.number = held["chunk"].as_py()
         self.words = held["words"].values if "words" in held else None
-        self.order = np.frombuffer(held["order"].as_py(), "<u4").astype(np.int64)
         self.held = np.array(held["held"].as_py(), dtype=bool)
         self.edges = bounds(np.array(held["counts"].as_py(), dtype=np.int64))
-        self.places = np.frombuffer(zlib.decompress(held["places"].as_py()), "<u4")
+        self.places = spread_out(held["places"].as_py(), "<u4")
         self.doc_ids = held["doc_ids"].as_py()
-        rows = rows.sort_by("bucket")
-        self.buckets = rows.column("bucket").to_pylist()
-        parts = [np.frombuffer(x, "<i8") for x in rows.column("c").to_pylist()]
-        self.cuts = bounds(np.array([len(x) for x in parts], dtype=np.int64))
-        self.c = np.zeros(len(self.order), np.int64)
-        self.sums = np.zeros((len(self.order), states))
-        if parts:
-            self.c[self.order] = np.concatenate(parts)
-        if parts and "sums" in rows.column_names:
-            self.sums[self.order] = np.concatenate([unpacked(x, states) for x in rows.column("sums").to_pylist()])
+        self.buckets = held["buckets"].as_py()
+        self.cuts = bounds(np.array(held["sizes"].as_py(), dtype=np.int64))
+        self.c = spread_out(held["c"].as_py(), "<i8")
+        self.sums = np.zeros((len(self.c), states), np.float32)
+        if "sums" in rows.column_names:
+            # buckets without training words in this chunk send nothing back
+            at = dict(zip(self.buckets, zip(self.cuts, self.cuts[1:])))
+            for bucket, sums in zip(rows.column("bucket").to_pylist(), rows.column("sums").to_pylist()):
+                a, b = at[bucket]
+                self.sums[a:b] = unpacked(sums, states)
 
     def hmm(self, model: Model, totals: Totals) -> Hmm:
         """The model for this chunk: symbol 0 is the end, symbol 1 + i its i-th distinct word."""
         if model.scale is not None:
-            emits = np.outer(loose(self.c) + 0.5, model.weight) + self.sums * (self.c / (self.c + KAPPA))[:, None] * model.scale
+            emits = self.sums.astype(float)
+            emits *= (self.c / (self.c + KAPPA))[:, None]
+            emits *= model.scale
+            emits += np.outer(loose(self.c) + 0.5, model.weight)
         else:
             emits = np.outer(totals.base(self.c), model.weight)
             for i, w in enumerate(self.words.to_pylist()):
@@ -353,7 +380,7 @@ def first_guess(chunks: DataFrame, shared: DataFrame, totals: Totals, states: in
     found = []
     if drawn:
         here = F.col("chunk").isin(list(of_chunk))
-        both = chunks.drop("n_train").filter(here).groupBy("chunk").cogroup(shared.filter(here).select("chunk", "bucket", "c").groupBy("chunk"))
+        both = chunks.filter(here).groupBy("chunk").cogroup(shared.filter(here).select("chunk", "bucket").groupBy("chunk"))
         found = both.applyInArrow(read, "chunk bigint, pos bigint, word string, c bigint, n bigint").collect()
     counts = {r["word"]: r["c"] for r in found} | {None: totals.n_ends}
     row = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (w is not None, w or "")))}
@@ -393,7 +420,7 @@ def expect(chunks: DataFrame, rows: DataFrame, model: Model, totals: Totals, sta
         if not sequences:
             return schema.empty_table()
         start, moves, emits = expected_counts(whole.hmm(model, totals), sequences)
-        sent = emits[1:][whole.order]
+        sent = emits[1:]
         counts = [packed(sent[a:b]) for a, b in zip(whole.cuts, whole.cuts[1:])]
         c = np.append(totals.n_ends, whole.c)
         small = np.vstack([moves, start, emits[0], emits.sum(axis=0), (c / (c + KAPPA)) @ emits])
@@ -407,7 +434,7 @@ def expect(chunks: DataFrame, rows: DataFrame, model: Model, totals: Totals, sta
 
 
 def add_counts(expected: DataFrame, shared: DataFrame, states: int) -> DataFrame:
-    """(chunk, bucket, c, sums): the chunks' expected counts added by word, sent back to every chunk that has the word."""
+    """(chunk, bucket, sums): the chunks' expected counts added by word, sent back to every chunk that has the word."""
 
     def add(sent: pa.Table, rows: pa.Table) -> pa.Table:
         index = {r: np.frombuffer(x, "<u4") for r, x in zip(rows.column("chunk").to_pylist(), rows.column("index").to_pylist())}
@@ -416,11 +443,11 @@ def add_counts(expected: DataFrame, shared: DataFrame, states: int) -> DataFrame
         for chunk, counts in sorted(zip(sent.column("chunk").to_pylist(), sent.column("counts").to_pylist())):
             sums[index[chunk]] += unpacked(counts, states)
         back = pa.array([packed(sums[index[r]]) for r in rows.column("chunk").to_pylist()], pa.binary())
-        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "c": rows.column("c"), "sums": back})
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "sums": back})
 
     sent = expected.filter("bucket >= 0").select("chunk", "bucket", "counts")
-    known = shared.select("chunk", "bucket", "index", "c")
-    return sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(add, "chunk bigint, bucket int, c binary, sums binary")
+    known = shared.select("chunk", "bucket", "index")
+    return sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(add, "chunk bigint, bucket int, sums binary")
 
 
 def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8, rounds: int = 6) -> tuple[Model, DataFrame]:
@@ -429,7 +456,7 @@ def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8,
     Of a word seen c times, KAPPA parts in c + KAPPA are dealt over the states like all tokens and the others as they
     were found, so few occurrences say little and a word that was never seen has about its unigram share in every state.
     """
-    model, rows = first_guess(chunks, shared, totals, states), shared.select("chunk", "bucket", "c")
+    model, rows = first_guess(chunks, shared, totals, states), shared.select("chunk", "bucket")
     names, last = [f"s{i}" for i in range(states)], None
     for _ in range(rounds):
         expected = expect(chunks, rows, model, totals, states)
@@ -462,6 +489,8 @@ def score_documents(docs: DataFrame, states: int = 8, rounds: int = 6, id_col: s
     chunks = chunk_table(rows)
     shared = share_words(chunks)
     totals = read_totals(chunks, shared)
+    listed, chunks = chunks, counted_chunks(chunks, shared)
+    release(listed)
     model, rows = train(chunks, shared, totals, states, rounds)
 
     def score(chunk: pa.Table, rows: pa.Table) -> pa.Table:
