@@ -303,11 +303,15 @@ def unpacked(held: bytes, states: int) -> np.ndarray:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a pinned table that a later one has replaced."""
+    """Delete the files of a pinned table that a later one has replaced, and let Spark clean shuffles out of use.
+
+    Spark deletes shuffle files when the driver's garbage collector meets their owner, which may be long after a round.
+    """
     jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    jvm.System.gc()
 
 
 class Chunk:
