@@ -259,15 +259,14 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
                 m = len(after)
                 moves_sum += (alphas[t][:m].T @ after) * model.moves
                 beta[:m] = after @ back
-            gammas[t] = alphas[t] * beta
+            gamma = alphas[t] * beta
+            gammas[t] = gamma / (gamma @ ones)  # step by step: on one large product the library's threads would spin
             after = scaled[t] * beta
         starts_sum += gammas[0].sum(axis=0)
         weights = np.concatenate(gammas)
-        weights /= weights @ ones
-        weights = weights.T.astype(np.float64)
         symbol = np.concatenate([flat[starts[: active[t]] + t] for t in range(steps)])
         for j in range(k):
-            emits_sum[:, j] += np.bincount(symbol, weights=weights[j], minlength=len(model.emits))
+            emits_sum[:, j] += np.bincount(symbol, weights=weights[:, j], minlength=len(model.emits))
     return starts_sum, moves_sum, emits_sum
 
 
