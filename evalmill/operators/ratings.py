@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.functions.draws import uniform
 from evalmill.operators.ordering import running
 from evalmill.session import pin, scratch_path
 
@@ -258,15 +259,21 @@ def online_elo(
     return state
 
 
-def bootstrap_elo(battles: DataFrame, order: str, tie: str, rounds: int = 10, seed: int = 0, **elo) -> DataFrame:
-    """Elo over ``rounds`` resamples, each battle repeated by a hashed Poisson(1) count; all rounds at once."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col(order), F.col(tie)), F.lit(1 << 30)) / float(1 << 30)
+def poisson_cuts() -> list[float]:
+    """Distribution function of Poisson(1) at 0, 1, ...: as many values as a draw of 52 bits can tell apart."""
     cuts, total, term = [], 0.0, math.exp(-1.0)
-    # as many counts as a draw of 30 bits can tell apart
-    while total < 1 - 2.0**-30:
+    while total < 1 - 2.0**-52:
         total += term
         cuts.append(total)
         term /= len(cuts)
+        if len(cuts) == 20:
+            break
+    return cuts
+
+
+def bootstrap_elo(battles: DataFrame, order: str, tie: str, rounds: int = 10, seed: int = 0, **elo) -> DataFrame:
+    """Elo over ``rounds`` resamples, each battle repeated by a hashed Poisson(1) count; all rounds at once."""
+    u, cuts = uniform(seed, "round", order, tie), poisson_cuts()
     copies = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
     rows = battles.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))

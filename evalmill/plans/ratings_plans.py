@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalmill.functions.draws import sql_uniform
 from evalmill.operators import ratings as R
 from evalmill.plans.catalog import query
 from evalmill.plans.fixtures import with_tables
 from evalmill.plans.sql import round6
+from evalmill.session import pin
 
 BATTLES = with_tables("ev_battles")
 
@@ -23,6 +25,22 @@ def _(t):
     return R.bradley_terry(R.pair_counts(t.ev_battles), baseline="m0")
 
 
+@query("g21_score_equations", BATTLES + """
+, w AS (SELECT model_a AS model, CASE winner WHEN 'model_a' THEN 1e0 WHEN 'model_b' THEN 0e0 ELSE 0.5e0 END AS won FROM ev_battles
+ UNION ALL SELECT model_b, CASE winner WHEN 'model_a' THEN 0e0 WHEN 'model_b' THEN 1e0 ELSE 0.5e0 END FROM ev_battles)
+SELECT model, round(sum(won), 3) AS won, round(sum(won), 3) AS expected FROM w GROUP BY model""")
+def _(t):
+    """A fit is right if every model wins as often as its ratings say."""
+    counts = R.pair_counts(t.ev_battles)
+    fit = pin(R.bradley_terry(counts, baseline="m0").select("model", "rating"))
+    a, b = fit.toDF("model_a", "ra"), fit.toDF("model_b", "rb")
+    said = 1 / (1 + F.pow(F.lit(10.0), (F.col("rb") - F.col("ra")) / 400))
+    side = lambda model, won, expected: F.struct(model.alias("model"), (F.col("n") * won).alias("won"), (F.col("n") * expected).alias("expected"))
+    sides = F.array(side(F.col("model_a"), F.col("outcome"), said), side(F.col("model_b"), 1 - F.col("outcome"), 1 - said))
+    rows = counts.join(a, "model_a").join(b, "model_b").select(F.explode(sides).alias("s")).select("s.*")
+    return rows.groupBy("model").agg((F.round(F.sum("won"), 3) + 0.0).alias("won"), (F.round(F.sum("expected"), 3) + 0.0).alias("expected"))
+
+
 @query("g21_bradley_terry_by_category")
 def _(t):
     return R.bradley_terry(R.pair_counts(t.ev_battles, ["category"]), ["category"])
@@ -45,17 +63,34 @@ def _(t):
 
 def in_order(t):
     """Battles with a tie-breaker, as several may belong to one item."""
-    return t.ev_battles.withColumn("tie", F.xxhash64("pos", "model_a", "model_b", "len_a", "len_b"))
+    return t.ev_battles.withColumn("tie", F.col("pos"))
+
+
+MODELS = BATTLES + """
+, m AS (SELECT list(model ORDER BY model) AS ms FROM (SELECT model_a AS model FROM ev_battles UNION SELECT model_b FROM ev_battles)),
+g AS (SELECT category, item_id, pos, {'a': list_position(ms, model_a), 'b': list_position(ms, model_b), 'w': CASE winner WHEN 'model_a' THEN 1e0 WHEN 'model_b' THEN 0e0 ELSE 0.5e0 END} AS x FROM ev_battles, m)"""
+EXPECTED = "(1 / (1 + pow(10e0, (r[x.b] - r[x.a]) / 400)))"
+WALK = f"""list_reduce(games, lambda r, x: list_transform(r, lambda v, i: CASE i WHEN x.a THEN v + 4 * (x.w - {EXPECTED}) WHEN x.b THEN v + 4 * ({EXPECTED} - x.w) ELSE v END),
+ list_transform(ms, lambda s: 1000e0))"""
+COPIES = " + ".join(f"CASE WHEN {sql_uniform(0, 'round', 'item_id', 'pos')} >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in R.poisson_cuts())
 
 
-@query("g24_online_elo")
+@query("g24_online_elo", MODELS + f"""
+, l AS (SELECT category, list(x ORDER BY item_id, pos) AS games FROM g GROUP BY category), w AS (SELECT category, ms, games, {WALK} AS r FROM l, m),
+u AS (SELECT category, games, unnest(ms) AS model, unnest(r) AS rating, generate_subscripts(ms, 1) AS i FROM w)
+SELECT category, model, round(rating, 6) AS rating FROM u WHERE len(list_filter(games, lambda x: x.a = i OR x.b = i)) > 0""")
 def _(t):
-    return R.online_elo(in_order(t), ["category"], "item_id", "tie", chunk=100_000)
+    return round6(R.online_elo(in_order(t), ["category"], "item_id", "tie", chunk=100_000))
 
 
-@query("g24_bootstrap_elo")
+@query("g24_bootstrap_elo", MODELS + f"""
+, c AS (SELECT CAST(round AS INT) AS round, item_id, pos, x, {COPIES} AS n FROM g, range(3) t(round)),
+l AS (SELECT round, flatten(list(list_transform(range(n), lambda k: x) ORDER BY item_id, pos)) AS games FROM c GROUP BY round), w AS (SELECT round, ms, games, {WALK} AS r FROM l, m),
+u AS (SELECT games, unnest(ms) AS model, unnest(r) AS rating, generate_subscripts(ms, 1) AS i FROM w)
+SELECT model, round(quantile_cont(rating, 0.5), 6) AS rating, round(quantile_cont(rating, 0.025), 6) AS lower, round(quantile_cont(rating, 0.975), 6) AS upper, round(stddev_pop(rating), 6) AS std
+FROM u WHERE len(list_filter(games, lambda x: x.a = i OR x.b = i)) > 0 GROUP BY model""")
 def _(t):
-    return R.intervals(R.bootstrap_elo(in_order(t), "item_id", "tie", rounds=3))
+    return round6(R.intervals(R.bootstrap_elo(in_order(t), "item_id", "tie", rounds=3)))
 
 
 # ratings that both engines can compute: mean score of a model's battles, with a spread of one point
