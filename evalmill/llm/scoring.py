@@ -28,7 +28,6 @@ BUCKET = 500_000
 SEGMENT = 1024
 LOCKSTEP = 512
 CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, n_train array<bigint>, tops binary"
-COUNTED = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, c binary, buckets array<int>, sizes array<int>"
 SHARED = "chunk bigint, bucket int, index binary, c binary, fresh bigint, loose double"
 #: Occurrences, dealt like all tokens over the states, that are added to a word's own before its states are estimated.
 KAPPA = 10.0
@@ -156,7 +155,7 @@ def share_words(chunks: DataFrame) -> DataFrame:
                 "chunk": rows.column("chunk"),
                 "bucket": rows.column("bucket"),
                 "index": pa.array([index[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
-                "c": pa.array([c[index[a:b]].astype("<i8").tobytes() for a, b in spans], pa.binary()),
+                "c": pa.array([squeezed(c[index[a:b]].astype("<i8")) for a, b in spans], pa.binary()),
                 "fresh": pa.array([int((c > 0).sum()) if n == 0 else 0 for n in range(len(spans))], pa.int64()),
                 "loose": pa.array([float(loose(c).sum()) if n == 0 else 0.0 for n in range(len(spans))], pa.float64()),
             }
@@ -166,21 +165,6 @@ def share_words(chunks: DataFrame) -> DataFrame:
     return pin(dealt.groupBy("bucket").applyInArrow(count, SHARED))
 
 
-def counted_chunks(chunks: DataFrame, shared: DataFrame) -> DataFrame:
-    """The chunks with their words' training counts in all chunks, and the buckets these come from; written once."""
-    fields = ["chunk", "doc_ids", "held", "counts", "places", "words"]
-
-    def meet(chunk: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("bucket")
-        parts = [np.frombuffer(x, "<i8") for x in rows.column("c").to_pylist()]
-        c = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        out = chunk.select(fields).append_column("c", pa.array([squeezed(c)], pa.binary()))
-        out = out.append_column("buckets", pa.array([rows.column("bucket").to_pylist()], pa.list_(pa.int32())))
-        return out.append_column("sizes", pa.array([[len(x) for x in parts]], pa.list_(pa.int32())))
-
-    return pin(chunks.select(*fields).groupBy("chunk").cogroup(shared.select("chunk", "bucket", "c").groupBy("chunk")).applyInArrow(meet, COUNTED))
-
-
 def read_totals(chunks: DataFrame, shared: DataFrame) -> Totals:
     in_chunk = F.aggregate("n_train", F.lit(0).cast("bigint"), lambda a, b: a + b)
     found = chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("ends"), F.sum(in_chunk).alias("n")).first()
@@ -288,7 +272,7 @@ class Model:
 
     def needs(self) -> list[str]:
         """Columns of a chunk: its words only where some of them are looked up."""
-        return ["chunk", "doc_ids", "held", "counts", "places", "c", "buckets", "sizes", *(["words"] if self.guess else [])]
+        return ["chunk", "doc_ids", "held", "counts", "places", *(["words"] if self.guess else [])]
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -324,15 +308,14 @@ class Chunk:
         self.edges = bounds(np.array(held["counts"].as_py(), dtype=np.int64))
         self.places = spread_out(held["places"].as_py(), "<u4")
         self.doc_ids = held["doc_ids"].as_py()
-        self.buckets = held["buckets"].as_py()
-        self.cuts = bounds(np.array(held["sizes"].as_py(), dtype=np.int64))
-        self.c = spread_out(held["c"].as_py(), "<i8")
+        rows = rows.sort_by("bucket")
+        self.buckets = rows.column("bucket").to_pylist()
+        parts = [spread_out(x, "<i8") for x in rows.column("c").to_pylist()]
+        self.cuts = bounds(np.array([len(x) for x in parts], dtype=np.int64))
+        self.c = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         self.sums = np.zeros((len(self.c), states), np.float32)
         if "sums" in rows.column_names:
-            # buckets without training words in this chunk send nothing back
-            at = dict(zip(self.buckets, zip(self.cuts, self.cuts[1:])))
-            for bucket, sums in zip(rows.column("bucket").to_pylist(), rows.column("sums").to_pylist()):
-                a, b = at[bucket]
+            for a, b, sums in zip(self.cuts, self.cuts[1:], rows.column("sums").to_pylist()):
                 self.sums[a:b] = unpacked(sums, states)
 
     def hmm(self, model: Model, totals: Totals) -> Hmm:
@@ -383,7 +366,7 @@ def first_guess(chunks: DataFrame, shared: DataFrame, totals: Totals, states: in
     found = []
     if drawn:
         here = F.col("chunk").isin(list(of_chunk))
-        both = chunks.filter(here).groupBy("chunk").cogroup(shared.filter(here).select("chunk", "bucket").groupBy("chunk"))
+        both = chunks.drop("n_train", "tops").filter(here).groupBy("chunk").cogroup(shared.filter(here).select("chunk", "bucket", "c").groupBy("chunk"))
         found = both.applyInArrow(read, "chunk bigint, pos bigint, word string, c bigint, n bigint").collect()
     counts = {r["word"]: r["c"] for r in found} | {None: totals.n_ends}
     row = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (w is not None, w or "")))}
@@ -437,7 +420,7 @@ def expect(chunks: DataFrame, rows: DataFrame, model: Model, totals: Totals, sta
 
 
 def add_counts(expected: DataFrame, shared: DataFrame, states: int) -> DataFrame:
-    """(chunk, bucket, sums): the chunks' expected counts added by word, sent back to every chunk that has the word."""
+    """(chunk, bucket, c, sums): the chunks' expected counts added by word, sent back to every chunk that has the word."""
 
     def add(sent: pa.Table, rows: pa.Table) -> pa.Table:
         index = {r: np.frombuffer(x, "<u4") for r, x in zip(rows.column("chunk").to_pylist(), rows.column("index").to_pylist())}
@@ -446,11 +429,11 @@ def add_counts(expected: DataFrame, shared: DataFrame, states: int) -> DataFrame
         for chunk, counts in sorted(zip(sent.column("chunk").to_pylist(), sent.column("counts").to_pylist())):
             sums[index[chunk]] += unpacked(counts, states)
         back = pa.array([packed(sums[index[r]]) for r in rows.column("chunk").to_pylist()], pa.binary())
-        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "sums": back})
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "c": rows.column("c"), "sums": back})
 
     sent = expected.filter("bucket >= 0").select("chunk", "bucket", "counts")
-    known = shared.select("chunk", "bucket", "index")
-    return sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(add, "chunk bigint, bucket int, sums binary")
+    known = shared.select("chunk", "bucket", "index", "c")
+    return sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(add, "chunk bigint, bucket int, c binary, sums binary")
 
 
 def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8, rounds: int = 6) -> tuple[Model, DataFrame]:
@@ -459,7 +442,7 @@ def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8,
     Of a word seen c times, KAPPA parts in c + KAPPA are dealt over the states like all tokens and the others as they
     were found, so few occurrences say little and a word that was never seen has about its unigram share in every state.
     """
-    model, rows = first_guess(chunks, shared, totals, states), shared.select("chunk", "bucket")
+    model, rows = first_guess(chunks, shared, totals, states), shared.select("chunk", "bucket", "c")
     names, last = [f"s{i}" for i in range(states)], None
     for _ in range(rounds):
         expected = expect(chunks, rows, model, totals, states)
@@ -492,8 +475,6 @@ def score_documents(docs: DataFrame, states: int = 8, rounds: int = 6, id_col: s
     chunks = chunk_table(rows)
     shared = share_words(chunks)
     totals = read_totals(chunks, shared)
-    listed, chunks = chunks, counted_chunks(chunks, shared)
-    release(listed)
     model, rows = train(chunks, shared, totals, states, rounds)
 
     def score(chunk: pa.Table, rows: pa.Table) -> pa.Table:
