@@ -6,13 +6,14 @@ aggregates partially before the shuffle, so slices of any size are fine.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
-from evalmill.functions.text import first_match, strip
+from evalmill.functions.text import first_match, let, strip
 from evalmill.operators.overlap import bag_counts, bag_overlap, f1_of
 
 
@@ -142,8 +143,47 @@ def math_string(text: Column) -> Column:
     return text
 
 
-def math_accuracy(df, by, pred="prediction", ref="reference"):
-    same = math_string(F.col(pred)).eqNullSafe(math_string(F.col(ref)))
+# fixed values: the second clean-up, in order; an entry is a plain text or a compiled pattern, and what takes its place
+MATH_BEFORE_UNIT = [
+    ("\n", ""), (re.compile(r"\.+$"), ""), ("\\!", ""), ("\\ ", ""), ("\\\\", "\\"), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
+]
+MATH_UNIT = r"\\text\{.*?\}$"
+MATH_AFTER_UNIT = [
+    ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("$", ""), ("\\text", ""), ("x\\in", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0."), ("\\cdot", ""),
+    ("infinity", "\\infty"),
+]
+MATH_AFTER_INFINITY = [("+\\inity", "\\infty"), ("and", ""), ("\\mathbf", ""), (re.compile(r"\\mbox\{.*?\}"), "")]
+MATH_NUMBERS = [
+    (re.compile(r"(\d+)\.0+([^\d])"), "$1$2"), (re.compile(r"(\d+)\.0+$"), "$1"), (re.compile(r"^\."), "0."), (re.compile(r"^[^=]{0,2}=([^=]*)$"), "$1"),
+    (re.compile(r"\\sqrt(\w+)"), r"\\sqrt{$1}"), (" ", ""), (re.compile(r"\\frac([^{])([^{])"), r"\\frac{$1}{$2}"), (re.compile(r"\\frac([^{])\{"), r"\\frac{$1}{"),
+    (re.compile(r"^(-?\d+)/(-?\d+)$"), r"\\frac{$1}{$2}"),
+]
+
+
+def rewritten(text: Column, steps) -> Column:
+    for old, new in steps:
+        text = F.replace(text, F.lit(old), F.lit(new)) if isinstance(old, str) else F.regexp_replace(text, f"(?U){old.pattern}", new)
+    return text
+
+
+def math_string_v2(text: Column) -> Column:
+    """The wider clean-up: units, intervals, infinities, the imaginary unit and trailing zeros are made alike too.
+
+    Values that several steps look at are bound once, as the steps would otherwise multiply.
+    """
+    without_unit = lambda s: let(strip(F.regexp_replace(s, MATH_UNIT, "")), lambda bare: F.when(bare != "", bare).otherwise(s))
+    infinite = lambda s: F.when(F.contains(s, F.lit("\\infty")), s).otherwise(F.replace(s, F.lit("inf"), F.lit("\\infty")))
+    imaginary = lambda s: F.when(F.contains(s, F.lit("j")) & ~F.contains(s, F.lit("i")), F.replace(s, F.lit("j"), F.lit("i"))).otherwise(s)
+    text = let(rewritten(strip(text), MATH_BEFORE_UNIT), without_unit)
+    text = let(rewritten(text, MATH_AFTER_UNIT), infinite)
+    text = let(rewritten(text, MATH_AFTER_INFINITY), imaginary)
+    return rewritten(text, MATH_NUMBERS)
+
+
+def math_accuracy(df, by, pred="prediction", ref="reference", version="v1"):
+    """Share of rows whose strings are equal after the first (``v1``) or the wider (``v2``) clean-up."""
+    clean = {"v1": math_string, "v2": math_string_v2}[version]
+    same = clean(F.col(pred)).eqNullSafe(clean(F.col(ref)))
     return mean_score(df, by, share(same), "accuracy")
 
 

@@ -293,3 +293,13 @@ def test_groups_of_groups(spark):
     }
     with pytest.raises(ValueError, match="with and without"):
         L.nested_groups(results, spark.createDataFrame([*rows, ("g", "x", "f1", None, "naive_average", None)], NESTED_SCHEMA))
+
+
+def test_second_math_clean_up(spark):
+    pairs = {
+        " $\\dfrac{1}{2}$.": "\\frac{1}{2}", "\\text{Friday}": "{Friday}", "12\\text{ cm}": "12", "k=3.0": "3", "0.5": "0.5", ".5": "0.5", "-inf": "-\\infty",
+        "(-\\infty, infinity)": "(-\\infty,\\infty)", "2j": "2i", "ij": "ij", "3 and 4": "34", "\\mathbf{v}": "{v}", "5\\mbox{ m}": "5", "\\sqrt12": "\\sqrt{12}",
+        "1.0x": "1x", "7/8": "\\frac{7}{8}", "a=b=c": "a=b=c", "2 \\cdot 3": "23", "": "",
+    }
+    rows = spark.createDataFrame(list(pairs.items()), "said string, want string").withColumn("got", X.math_string_v2(F.col("said"))).collect()
+    assert {r["said"]: r["got"] for r in rows} == pairs
