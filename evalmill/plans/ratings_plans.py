@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalmill.functions.draws import sql_uniform
+from evalmill.functions.draws import bits, sql_bits, sql_uniform
 from evalmill.operators import ratings as R
 from evalmill.plans.catalog import query
 from evalmill.plans.fixtures import with_tables
@@ -62,21 +62,21 @@ def _(t):
 
 
 def in_order(t):
-    """Battles with a tie-breaker, as several may belong to one item."""
-    return t.ev_battles.withColumn("tie", F.col("pos"))
+    """Battles with a tie-breaker, as several may belong to one item; battles that are alike may change places."""
+    return t.ev_battles.withColumn("tie", bits(0, "pos", "model_a", "model_b", "winner", "category"))
 
 
 MODELS = BATTLES + """
 , m AS (SELECT list(model ORDER BY model) AS ms FROM (SELECT model_a AS model FROM ev_battles UNION SELECT model_b FROM ev_battles)),
-g AS (SELECT category, item_id, pos, {'a': list_position(ms, model_a), 'b': list_position(ms, model_b), 'w': CASE winner WHEN 'model_a' THEN 1e0 WHEN 'model_b' THEN 0e0 ELSE 0.5e0 END} AS x FROM ev_battles, m)"""
+g AS (SELECT category, item_id, """ + sql_bits(0, "pos", "model_a", "model_b", "winner", "category") + """ AS tie, {'a': list_position(ms, model_a), 'b': list_position(ms, model_b), 'w': CASE winner WHEN 'model_a' THEN 1e0 WHEN 'model_b' THEN 0e0 ELSE 0.5e0 END} AS x FROM ev_battles, m)"""
 EXPECTED = "(1 / (1 + pow(10e0, (r[x.b] - r[x.a]) / 400)))"
 WALK = f"""list_reduce(games, lambda r, x: list_transform(r, lambda v, i: CASE i WHEN x.a THEN v + 4 * (x.w - {EXPECTED}) WHEN x.b THEN v + 4 * ({EXPECTED} - x.w) ELSE v END),
  list_transform(ms, lambda s: 1000e0))"""
-COPIES = " + ".join(f"CASE WHEN {sql_uniform(0, 'round', 'item_id', 'pos')} >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in R.poisson_cuts())
+COPIES = " + ".join(f"CASE WHEN {sql_uniform(0, 'round', 'item_id', 'tie')} >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in R.poisson_cuts())
 
 
 @query("g24_online_elo", MODELS + f"""
-, l AS (SELECT category, list(x ORDER BY item_id, pos) AS games FROM g GROUP BY category), w AS (SELECT category, ms, games, {WALK} AS r FROM l, m),
+, l AS (SELECT category, list(x ORDER BY item_id, tie) AS games FROM g GROUP BY category), w AS (SELECT category, ms, games, {WALK} AS r FROM l, m),
 u AS (SELECT category, games, unnest(ms) AS model, unnest(r) AS rating, generate_subscripts(ms, 1) AS i FROM w)
 SELECT category, model, round(rating, 6) AS rating FROM u WHERE len(list_filter(games, lambda x: x.a = i OR x.b = i)) > 0""")
 def _(t):
@@ -84,8 +84,8 @@ def _(t):
 
 
 @query("g24_bootstrap_elo", MODELS + f"""
-, c AS (SELECT CAST(round AS INT) AS round, item_id, pos, x, {COPIES} AS n FROM g, range(3) t(round)),
-l AS (SELECT round, flatten(list(list_transform(range(n), lambda k: x) ORDER BY item_id, pos)) AS games FROM c GROUP BY round), w AS (SELECT round, ms, games, {WALK} AS r FROM l, m),
+, c AS (SELECT CAST(round AS INT) AS round, item_id, tie, x, {COPIES} AS n FROM g, range(3) t(round)),
+l AS (SELECT round, flatten(list(list_transform(range(n), lambda k: x) ORDER BY item_id, tie)) AS games FROM c GROUP BY round), w AS (SELECT round, ms, games, {WALK} AS r FROM l, m),
 u AS (SELECT games, unnest(ms) AS model, unnest(r) AS rating, generate_subscripts(ms, 1) AS i FROM w)
 SELECT model, round(quantile_cont(rating, 0.5), 6) AS rating, round(quantile_cont(rating, 0.025), 6) AS lower, round(quantile_cont(rating, 0.975), 6) AS upper, round(stddev_pop(rating), 6) AS std
 FROM u WHERE len(list_filter(games, lambda x: x.a = i OR x.b = i)) > 0 GROUP BY model""")
