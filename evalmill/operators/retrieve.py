@@ -166,8 +166,9 @@ def retrieve_bm25(
 
     A term in more than half of the texts gets ``floor`` times the mean idf. Every test row
     scores the postings of its rarest terms first (about ``first`` times k of them) and then, in
-    full, the best 4 k of these texts: their k-th score is one the best k reach. Terms that together cannot reach it propose no text; they
-    only complete texts that some other term proposed and that can still reach it. A test row
+    full, the best 4 k of these texts: their k-th score is one the best k reach. Terms that
+    together cannot reach it propose no text; they only complete texts that some other term
+    proposed and that can still reach it. A test row
     whose lists hold at most ``short`` postings in all opens them without looking for a goal.
     Posting lists of more than ``train_block`` rows are split over several keys. Texts without a word
     of the test row score 0 and fill up, largest id first.
