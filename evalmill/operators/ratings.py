@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,45 +217,72 @@ def style_controlled(
     return ratings, spark.createDataFrame(odds, "feature string, odds_ratio double")
 
 
+#: Battles of a pool that one pass sorts and walks about.
+PASS_ROWS = 4_000_000
+
+
 def online_elo(
     battles: DataFrame, by: Sequence[str], order: str, tie: str, k: float = 4.0, chunk: int = 1_000_000, start: float = 1000.0
 ) -> DataFrame:
     """Sequential Elo per pool (base 10, scale 400).
 
     The result depends on the order of the battles, so a pool is walked in
-    pieces of ``chunk`` battles: each pass updates all pools by one piece, and
-    only the ratings (pools x models) are carried to the next pass. No task
-    ever holds more than one piece of a pool.
+    passes of as many pieces of ``chunk`` battles as ``PASS_ROWS`` holds (one at
+    least). A pass sorts them by pool and streams them: Python holds one batch
+    and the ratings, and only the ratings (pools x models) are carried to the
+    next pass.
     """
     keys = list(by)
     columns = dict.fromkeys([*keys, order, tie, "model_a", "model_b", "winner"])
     placed = running(battles.select(*columns), keys, F.col(order), F.col(tie))
-    placed = placed.withColumn("_chunk", F.floor((F.col("rank") - 1) / chunk).cast("int"))
-    # stored by piece: a pass reads its own piece and nothing else
+    won = F.when(F.col("winner") == "model_a", 1.0).when(F.col("winner") == "model_b", 0.0).otherwise(0.5)
+    size = chunk * max(1, PASS_ROWS // chunk)
+    placed = placed.select(*keys, "rank", "model_a", "model_b", won.alias("won"), F.floor((F.col("rank") - 1) / size).cast("int").alias("_pass"))
+    # stored by pass: a pass reads its own battles and nothing else
     path = scratch_path(battles.sparkSession, "pieces")
-    placed.hint("rebalance", "_chunk").write.partitionBy("_chunk").parquet(path)
+    placed.hint("rebalance", "_pass").write.partitionBy("_pass").parquet(path)
     placed = battles.sparkSession.read.schema(placed.schema).parquet(path)
-    last = placed.agg(F.max("_chunk")).first()[0]
+    last = placed.agg(F.max("_pass")).first()[0]
     schema = _types(placed, keys) + "model string, rating double"
 
-    def walk(key, games, held):
-        rating = dict(zip(held["model"], held["rating"]))
-        games = games.sort_values("rank")
-        for a, b, winner in zip(games["model_a"], games["model_b"], games["winner"]):
-            ra, rb = rating.get(a, start), rating.get(b, start)
-            expected = 1.0 / (1.0 + 10.0 ** ((rb - ra) / 400.0))
-            won = 1.0 if winner == "model_a" else 0.0 if winner == "model_b" else 0.5
-            rating[a] = ra + k * (won - expected)
-            rating[b] = rb + k * (expected - won)
-        out = pd.DataFrame({"model": list(rating), "rating": list(rating.values())})
-        for name, value in zip(keys, key):
-            out.insert(0, name, value)
-        return out[[*keys, "model", "rating"]]
+    def walk(batches):
+        key, rating = None, {}
+        kinds: list = []
+
+        def ended():
+            columns = [*([v] * len(rating) for v in key), list(rating), list(rating.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.string(), pa.float64()])], [*keys, "model", "rating"])
+
+        for batch in filter(len, batches):
+            kinds = [batch.schema.field(c).type for c in keys]
+            codes = [batch.column(c).dictionary_encode("encode").indices.to_numpy() for c in keys]
+            cuts = sorted({0, len(batch), *(int(i) + 1 for c in codes for i in np.flatnonzero(c[1:] != c[:-1]))})
+            ranks = batch.column("rank").to_numpy()
+            a, b, won = (batch.column(c).to_pylist() for c in ("model_a", "model_b", "won"))
+            for low, high in zip(cuts, cuts[1:]):
+                this = tuple(batch.column(c)[low].as_py() for c in keys)
+                if this != key:
+                    if key is not None:
+                        yield ended()
+                    key, rating = this, {}
+                # ratings of the pass before come first
+                first = low + int(np.count_nonzero(ranks[low:high] == 0))
+                rating.update(zip(a[low:first], won[low:first]))
+                for x, y, w in zip(a[first:high], b[first:high], won[first:high]):
+                    rx, ry = rating.get(x, start), rating.get(y, start)
+                    step = k * (w - 1.0 / (1.0 + 10.0 ** ((ry - rx) / 400.0)))
+                    rating[x] = rx + step
+                    rating[y] = ry - step
+        if key is not None:
+            yield ended()
 
-    state = battles.sparkSession.createDataFrame([], schema)
+    spark = battles.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if keys else 1
+    state = spark.createDataFrame([], schema)
     for i in range((last if last is not None else -1) + 1):
-        games = placed.filter(F.col("_chunk") == i)
-        state = games.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(walk, schema)
+        games = placed.filter(F.col("_pass") == i).drop("_pass")
+        held = state.select(*keys, F.lit(0).cast("bigint").alias("rank"), F.col("model").alias("model_a"), F.lit(None).cast("string").alias("model_b"), F.col("rating").alias("won"))
+        state = held.unionByName(games).repartition(tasks, *keys).sortWithinPartitions(*keys, "rank").mapInArrow(walk, schema)
         if i < last:
             state = pin(state)
     return state

@@ -6,6 +6,7 @@ import pytest
 
 from evalmill.functions.draws import uniform
 from evalmill.operators import ratings as R
+from evalmill.session import pin
 
 
 def battles(spark, n=3000, seed=0, shift=0.0):
@@ -86,6 +87,19 @@ def test_elo_in_pieces_equals_one_walk(spark):
             assert {r["model"]: r["rating"] for r in got if r["pool"] == pool} == pytest.approx(expected)
 
 
+def test_elo_over_many_passes_takes_as_many_jobs_as_the_rows_ask_for(spark, monkeypatch):
+    """A pass takes several pieces: 900 battles in pieces of 10 were 45 passes a pool."""
+    rows, df = battles(spark, 900)
+    monkeypatch.setattr(R, "PASS_ROWS", 200)
+    states = []
+    monkeypatch.setattr(R, "pin", lambda d: states.append(d) or pin(d))
+    got = R.online_elo(df.repartition(5), ["pool"], "pos", "pos", chunk=10).collect()
+    assert 1 <= len(states) <= 4
+    for pool in (0, 1):
+        expected = brute_elo([r for r in rows if r[0] == pool])
+        assert {r["model"]: r["rating"] for r in got if r["pool"] == pool} == pytest.approx(expected)
+
+
 def test_a_battle_of_the_resampled_elo_is_drawn_once(spark):
     """The draw stood in the plan once for every cut: over 300 s for three rounds of 514,000 battles."""
     _, df = battles(spark, 20)
