@@ -15,8 +15,8 @@ from evalmill.functions.text import let, words
 from evalmill.operators.ordering import running, top_k
 from evalmill.session import pin
 
-# score function: (test rows, train rows) -> matrix train x test
-ScoreFn = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+# score function: (test rows, train rows) -> function of a slice of each -> matrix test x train
+ScoreFn = Callable[[pd.DataFrame, pd.DataFrame], Callable[[slice, slice], np.ndarray]]
 
 EDGES = "test_id bigint, train_id bigint, score double"
 
@@ -81,18 +81,42 @@ def retrieve_sliding(test: DataFrame, k: int, total: int) -> DataFrame:
     )
 
 
-def _best(scores: np.ndarray, train_ids: np.ndarray, test_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Top k train rows per test row; the larger id first on ties."""
-    scores = np.round(scores, 9) + 0.0
-    order = np.lexsort((np.broadcast_to(-train_ids[:, None], scores.shape), -scores), axis=0)[:k]
-    rows = np.take_along_axis(scores, order, axis=0)
-    return pd.DataFrame(
-        {
-            "test_id": np.broadcast_to(test_ids, order.shape).ravel(order="F"),
-            "train_id": train_ids[order].ravel(order="F"),
-            "score": rows.ravel(order="F"),
-        }
-    )
+#: Rows of a side that travel together: a table is copied once for every so many rows of the other.
+TILE = 16_384
+
+
+def _best(held: tuple | None, scores: np.ndarray, train_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top k train rows per test row of ``scores`` (test x train) and ``held``: places of test rows, scores, train ids.
+
+    The larger id comes first on ties of the rounded score. Only scores that reach the k-th of some
+    (of ``held``, or of the largest in equal shares of the columns) are sorted.
+    """
+    n, m = scores.shape
+    low = np.full(n, -np.inf)
+    seen = scores
+    if np.isnan(scores).any():
+        seen = np.where(np.isnan(scores), -np.inf, scores)
+    if held is not None:
+        full = np.bincount(held[0], minlength=n) >= k
+        last = np.full(n, np.inf)
+        np.minimum.at(last, held[0], np.where(np.isnan(held[1]), -np.inf, held[1]))
+        low[full] = last[full]
+    if m >= k and not np.isfinite(low).all():
+        share = max(1, m // (4 * k))
+        parts = m // share
+        most = seen[:, : share * parts].reshape(n, share, parts).max(axis=1)
+        low = np.maximum(low, np.partition(most, parts - k, axis=1)[:, parts - k])
+    # scores that round to the same are closer than this
+    low = np.where(np.isfinite(low), low - 2e-9 - 4e-15 * np.abs(low), low)
+    test, train = np.nonzero(seen >= low[:, None])
+    values, ids = np.round(scores[test, train], 9) + 0.0, train_ids[train]
+    if held is not None:
+        test, values, ids = (np.concatenate(x) for x in zip(held, (test, values, ids)))
+    order = np.lexsort((-ids, -values, test))
+    test = test[order]
+    place = np.arange(len(test)) - np.searchsorted(test, test)
+    order = order[place < k]
+    return test[place < k], values[order], ids[order]
 
 
 def block_top_k(
@@ -100,11 +124,13 @@ def block_top_k(
 ) -> DataFrame:
     """Exact top k of ``score`` without one row per (test, train) pair.
 
-    Both tables are cut into blocks and every train block meets every test block
-    in a task of its own, which yields at most k rows per test row; one ranking
-    merges them. ``direct`` is still taken from callers and changes nothing.
+    Both tables are cut into tiles of about ``TILE`` rows (whole blocks) and every train tile meets
+    every test tile in a task of its own. There a test block is scored against one train block after
+    the other, carrying its best k; one ranking merges the tiles. ``direct`` is still taken from
+    callers and changes nothing.
     """
-    q, t = math.ceil(max(test.count(), 1) / test_block), math.ceil(max(train.count(), 1) / train_block)
+    tiles = lambda df, block: math.ceil(max(df.count(), 1) / (block * max(1, TILE // block)))
+    q, t = tiles(test, test_block), tiles(train, train_block)
     place = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = test.withColumn("_q", place("test_id", q)).withColumn("_t", every(t))
@@ -113,7 +139,15 @@ def block_top_k(
     def meet(tests, trains):
         if not len(tests) or not len(trains):
             return pd.DataFrame({"test_id": [], "train_id": [], "score": []})
-        return _best(score(tests, trains), trains["train_id"].to_numpy(), tests["test_id"].to_numpy(), k)
+        scored = score(tests, trains)
+        test_ids, train_ids = tests["test_id"].to_numpy(), trains["train_id"].to_numpy()
+        out = []
+        for i in range(0, len(tests), test_block):
+            best = None
+            for j in range(0, len(trains), train_block):
+                best = _best(best, scored(slice(i, i + test_block), slice(j, j + train_block)), train_ids[j : j + train_block], k)
+            out.append(pd.DataFrame({"test_id": test_ids[i : i + test_block][best[0]], "train_id": best[2], "score": best[1]}))
+        return pd.concat(out)
 
     found = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(meet, EDGES)
     return top_k(found, ["test_id"], [F.desc("score"), F.desc("train_id")], k)
@@ -131,10 +165,15 @@ def retrieve_dense(test: DataFrame, train: DataFrame, k: int, normalise: bool =
         if normalise:
             a = a / np.linalg.norm(a, axis=1, keepdims=True)
             b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        out = a @ b.T
-        if skip_self:
-            out[trains["train_id"].to_numpy()[:, None] == tests["test_id"].to_numpy()[None, :]] = -np.inf
-        return out
+        train_ids, test_ids = trains["train_id"].to_numpy(), tests["test_id"].to_numpy()
+
+        def piece(test: slice, train: slice) -> np.ndarray:
+            out = b[test] @ a[train].T
+            if skip_self:
+                out[test_ids[test][:, None] == train_ids[train][None, :]] = -np.inf
+            return out
+
+        return piece
 
     found = block_top_k(test, train, score, k + (1 if skip_self else 0), **blocks)
     return found.filter((F.col("rank") <= k) & (F.col("score") > float("-inf")))

@@ -166,3 +166,29 @@ def test_bm25_where_common_words_count_against_a_text(spark):
     rows = R.retrieve_bm25(test, train, 7).orderBy("rank").collect()
     assert rows[0]["train_id"] == 6 and rows[0]["score"] == 0 and len({r["train_id"] for r in rows}) == 7
     assert [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True)
+
+
+def test_best_carries_its_rows_from_block_to_block():
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.normal(size=(7, 90)), 1) + 1e-12 * rng.normal(size=(7, 90))
+    scores[2, 5:80], scores[3], scores[:, 40] = np.nan, -np.inf, 7.0
+    ids = rng.permutation(90)
+    for k in (1, 4, 50, 200):
+        for width in (3, 30, 90):
+            best = None
+            for j in range(0, 90, width):
+                best = R._best(best, scores[:, j : j + width], ids[j : j + width], k)
+            rounded = np.round(scores, 9) + 0.0
+            for i in range(7):
+                real = sorted((j for j in range(90) if not np.isnan(scores[i, j])), key=lambda j: (-rounded[i, j], -ids[j]))
+                missing = sorted((j for j in range(90) if np.isnan(scores[i, j])), key=lambda j: -ids[j])
+                assert best[2][best[0] == i].tolist() == [ids[j] for j in [*real, *missing][:k]]
+
+
+def test_small_blocks_do_not_multiply_what_travels(spark, vectors):
+    """Blocks of 2 by 3 rows copied 120 rows 40 and 60 times."""
+    _, train = vectors
+    calls = spark.sparkContext.accumulator(0)
+    find = lambda tests, trains: calls.add(1) or (lambda a, b: np.ones((len(tests[a]), len(trains[b]))))
+    found = R.block_top_k(train.withColumnRenamed("train_id", "test_id"), train, find, 2, test_block=2, train_block=3).collect()
+    assert calls.value == 1 and {(r["rank"], r["train_id"]) for r in found} == {(1, 119), (2, 118)}
