@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,18 +200,15 @@ def postings(train: DataFrame) -> DataFrame:
 
 
 def retrieve_bm25(
-    test: DataFrame, train: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, train_block: int = 50_000, first: int = 16, short: int = 1_000_000, **_: int
+    test: DataFrame, train: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, test_block: int = 1024, train_block: int = 8192, **_: int
 ) -> DataFrame:
     """Okapi BM25 over lower-case words of ``text`` by postings; the larger train id first on ties.
 
-    A term in more than half of the texts gets ``floor`` times the mean idf. Every test row
-    scores the postings of its rarest terms first (about ``first`` times k of them) and then, in
-    full, the best 4 k of these texts: their k-th score is one the best k reach. Terms that
-    together cannot reach it propose no text; they only complete texts that some other term
-    proposed and that can still reach it. A test row
-    whose lists hold at most ``short`` postings in all opens them without looking for a goal.
-    Posting lists of more than ``train_block`` rows are split over several keys. Texts without a word
-    of the test row score 0 and fill up, largest id first.
+    A term in more than half of the texts gets ``floor`` times the mean idf. The postings of asked
+    terms are cut into blocks of about ``train_block`` texts (``TEXTS`` at most), which meet every
+    block of ``test_block`` test rows in a task of its own: sums are taken there, and only the best k
+    of a block leave it. Texts without a word of the test row score 0 and fill up, largest id first.
+    ``first`` and ``short`` are still taken from callers and change nothing.
     """
     index = postings(train)
     n = train.count()
@@ -219,74 +217,75 @@ def retrieve_bm25(
     held = pin(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean_idf = held.agg(F.avg(raw)).first()[0] or 0.0
-    # contributions lie between 0 and w * top
-    top = k1 + 1
-    gain = F.col("tf") * top / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_len))
-    parts = F.ceil(F.col("df") / train_block)
-    lists = held.filter(F.col("df") > train_block).select("term", parts.alias("_parts"))
-    own_part = F.coalesce(F.pmod(F.xxhash64("train_id"), F.col("_parts")), F.lit(0))
-    long_lists = not lists.isEmpty()
-
-    def sums(asked: DataFrame) -> DataFrame:
-        """Score of the asked terms for every text that has one of them."""
-        if not long_lists:
-            met = asked.join(index, "term")
-        else:
-            dealt = asked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-            met = dealt.join(index.join(lists, "term", "left").withColumn("_part", own_part), ["term", "_part"])
-        return met.groupBy("test_id", "train_id").agg(F.sum(F.col("w") * gain).alias("s"))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_len))
 
     asked = test.select("test_id", F.explode(term_counts(words(F.col("text")))).alias("p")).select("test_id", "p.term", F.col("p.tf").alias("times"))
     idf = F.when(raw < 0, floor * mean_idf).otherwise(raw)
-    per = lambda *order: Window.partitionBy("test_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    weighed = asked.join(held, "term").select("test_id", "term", "df", parts.alias("parts"), (F.col("times") * idf).alias("w"))
-    # a test row's own terms are few: windows over them stay small
-    weights = pin(
-        weighed.withColumn("_seen", F.sum("df").over(per("df", "term")) - F.col("df"))
-        .withColumn("up", F.greatest(F.col("w"), F.lit(0.0)) * top)
-        .withColumn("_below", F.sum("up").over(per("up", "term")))
-    )
+    weighed = asked.filter("test_id is not null").join(held, "term")
+    weights = pin(weighed.groupBy("test_id", "term").agg(F.sum(F.col("times") * idf).alias("w")))
+    # short numbers travel instead of terms
+    terms = pin(weights.select("term").distinct().withColumn("no", F.monotonically_increasing_id()))
+
+    q, t = math.ceil(max(test.count(), 1) / test_block), math.ceil(max(n, 1) / min(train_block, TEXTS))
+    place = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = weights.join(terms, "term").select(F.col("test_id").cast("bigint").alias("test_id"), F.col("no").alias("no"), "w", place("test_id", q).alias("_q"), every(t).alias("_t"))
+    right = index.join(terms, "term").select(F.col("train_id").cast("bigint").alias("train_id"), F.col("no").alias("no"), gain.alias("gain"), place("train_id", t).alias("_t"), every(q).alias("_q"))
+    found = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInArrow(lambda a, b: _posting_scores(a, b, k), EDGES)
+    best = pin(top_k(found, ["test_id"], [F.desc("score"), F.desc("train_id")], k).drop("rank"))
+
+    def met(some: DataFrame) -> DataFrame:
+        """All pairs of these test rows with a text that has one of their terms."""
+        own = weights.join(some.distinct(), "test_id", "left_semi")
+        return own.join(index, "term").select("test_id", "train_id").distinct()
+
+    return fill_up(test, train, met, best, k)
 
-    def full(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-        """Score of the given terms for the given pairs only."""
-        looked_up = pairs.select("test_id", "train_id").join(terms.select("test_id", "term", "w"), "test_id").join(index, ["term", "train_id"])
-        return looked_up.groupBy("test_id", "train_id").agg(F.sum(F.col("w") * gain).alias("s"))
-
-    def pruned(wide: DataFrame) -> DataFrame:
-        """Scores of all texts that can be among the best k, and lower ones of some others."""
-        likely = top_k(sums(wide.filter(F.col("_seen") < first * k)), ["test_id"], [F.desc("s"), F.desc("train_id")], 4 * k)
-        reached = top_k(full(likely, wide), ["test_id"], [F.desc("s"), F.desc("train_id")], k).filter(F.col("rank") == k)
-        goal = pin(reached.select("test_id", (F.col("s") - 1e-6).alias("goal")))
-        marked = wide.join(goal, "test_id", "left").withColumn("opens", F.coalesce(F.col("_below") >= F.col("goal"), F.lit(True)))
-        rest = marked.filter(~F.col("opens"))
-        more = rest.groupBy("test_id").agg(F.sum("up").alias("_more"), F.first("goal").alias("_goal"), F.sum("df").alias("_lists"), F.count(F.lit(1)).alias("_terms"))
-        proposed = sums(marked.filter("opens")).join(more, "test_id", "left")
-        proposed = pin(proposed.filter(F.coalesce(F.col("s") + F.col("_more") >= F.col("_goal"), F.lit(True))).select("test_id", "train_id", "s"))
-        # many texts are completed by reading the lists to the end (what else they hold stays below the goal), few by looking them up
-        costs = proposed.groupBy("test_id").agg(F.count(F.lit(1)).alias("_n")).join(more, "test_id")
-        many = pin(costs.select("test_id", (F.col("_n") * F.col("_terms") > F.col("_lists")).alias("_many")))
-        rest = rest.join(many, "test_id")
-        completed = full(proposed, rest.filter(~F.col("_many"))).unionByName(sums(rest.filter("_many").drop("_many")))
-        return proposed.unionByName(completed).groupBy("test_id", "train_id").agg(F.sum("s").alias("s"))
-
-    sizes = weights.groupBy("test_id").agg((F.sum("df") > short).alias("_wide"))
-    wide = weights.join(sizes.filter("_wide"), "test_id").drop("_wide")
-    if wide.isEmpty():
-        parts_scored = sums(weights)
-    else:
-        parts_scored = sums(weights.join(sizes.filter("not _wide"), "test_id").drop("_wide")).unionByName(pruned(wide))
-    scored = parts_scored.withColumn("score", F.round("s", 9) + 0.0).drop("s")
-    best = pin(top_k(scored, ["test_id"], [F.desc("score"), F.desc("train_id")], k).drop("rank"))
-    return fill_up(test, train, scored, best, k)
-
-
-def fill_up(test: DataFrame, train: DataFrame, scored: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """Rows of score 0 for tests with fewer than k positive scores, from the largest train ids without a score."""
+
+#: Texts of a block of postings, whatever the caller asks: their scores are one matrix.
+TEXTS = 8192
+
+
+def _posting_scores(asked: pa.Table, postings: pa.Table, k: int) -> pa.Table:
+    """Best k pairs (test_id, train_id, score) of the weights (test_id, no, w) and postings (train_id, no, gain) of two blocks.
+
+    Rows of one id, or of no train id, count as one text.
+    """
+    if not len(asked) or not len(postings):
+        return pa.table({"test_id": pa.array([], pa.int64()), "train_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    none = np.iinfo(np.int64).min + 1
+    coded = lambda c: c.combine_chunks().dictionary_encode("encode")
+    tests, texts = coded(asked["test_id"]), coded(postings["train_id"])
+    test_ids = tests.dictionary.to_numpy()
+    train_ids = texts.dictionary.fill_null(none).to_numpy()
+    order = np.argsort(asked["no"].to_numpy(), kind="stable")
+    number, row, w = asked["no"].to_numpy()[order], tests.indices.to_numpy()[order], asked["w"].to_numpy()[order]
+    held, code = np.unique(postings["no"].to_numpy(), return_inverse=True)
+    cells, code = np.unique(code * len(train_ids) + texts.indices.to_numpy(), return_inverse=True)
+    gain, column = np.bincount(code, postings["gain"].to_numpy()), cells % len(train_ids)
+    ends = np.searchsorted(cells, np.arange(len(held) + 1) * len(train_ids))
+    scores = np.full((len(test_ids), len(train_ids)), -np.inf)
+    for no, low, high in zip(held, ends, ends[1:]):
+        a, b = slice(*np.searchsorted(number, [no, no + 1])), slice(low, high)
+        at = np.ix_(row[a], column[b])
+        old = scores[at]
+        scores[at] = np.where(np.isneginf(old), 0.0, old) + np.outer(w[a], gain[b])
+    test, values, ids = _best(None, scores, train_ids, k)
+    met = values > -np.inf
+    ids = ids[met]
+    return pa.table({"test_id": test_ids[test[met]], "train_id": pa.array(ids, mask=ids == none), "score": values[met]})
+
+
+def fill_up(test: DataFrame, train: DataFrame, met: Callable[[DataFrame], DataFrame], best: DataFrame, k: int) -> DataFrame:
+    """Rows of score 0 for tests with fewer than k positive scores, from the largest train ids they have no score with.
+
+    ``met`` gives the pairs with a score of some test rows.
+    """
     rich = best.filter("score > 0").groupBy("test_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     poor = pin(test.select("test_id").join(rich, "test_id", "left_anti"))
     if poor.isEmpty():
         return top_k(best, ["test_id"], [F.desc("score"), F.desc("train_id")], k)
-    taken = scored.join(poor, "test_id").select("test_id", "train_id")
+    taken = met(poor).join(poor, "test_id").select("test_id", "train_id")
     counts = pin(poor.join(taken.groupBy("test_id").agg(F.count(F.lit(1)).alias("n")), "test_id", "left").fillna(0, ["n"]))
     last = train.select("train_id").orderBy(F.desc("train_id")).limit(k + counts.agg(F.max("n")).first()[0])
     last = last.withColumn("place", F.row_number().over(Window.orderBy(F.desc("train_id"))))

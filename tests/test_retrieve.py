@@ -192,3 +192,14 @@ def test_small_blocks_do_not_multiply_what_travels(spark, vectors):
     find = lambda tests, trains: calls.add(1) or (lambda a, b: np.ones((len(tests[a]), len(trains[b]))))
     found = R.block_top_k(train.withColumnRenamed("train_id", "test_id"), train, find, 2, test_block=2, train_block=3).collect()
     assert calls.value == 1 and {(r["rank"], r["train_id"]) for r in found} == {(1, 119), (2, 118)}
+
+
+def test_bm25_sends_the_best_of_a_block_only(spark):
+    """Every pair of a test row and a text with one of its words was shuffled."""
+    train = spark.range(400).select(F.col("id").alias("train_id"), F.concat(F.lit("common w"), F.col("id") % 7).alias("text"))
+    test = spark.range(5).select(F.col("id").alias("test_id"), F.concat(F.lit("common w"), F.col("id")).alias("text"))
+    found = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(R, "top_k", lambda df, *a, top_k=R.top_k: found.append(df.count()) or top_k(df, *a))
+        rows = R.retrieve_bm25(test, train, 3, train_block=100).collect()
+    assert found[0] <= 5 * 3 * 4 and len(rows) == 15
