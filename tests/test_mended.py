@@ -81,3 +81,16 @@ def test_resume_does_not_hide_errors(spark, tmp_path):
     assert resume(tasks, path, ["id"], lambda d: d).count() == 3 and resume(tasks, path, ["id"], lambda d: d).count() == 3
     with pytest.raises(Exception):
         resume(tasks, path, ["other"], lambda d: d)
+
+
+def test_ngrams_and_bags_stay_in_their_row(spark):
+    """Tokens were exploded and grouped; rows of one key still count as one bag."""
+    rows = [("m", 1, "a b a b", ["a b", "b a b"]), ("m", 1, "a b", ["a b a", None]), ("m", 2, None, ["x"]), ("m", None, "", None), ("n", 2, "q", ["q q"])]
+    df = spark.createDataFrame(rows, "model string, k int, p string, refs array<string>")
+    split = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    counts = O.ngram_overlap(df, ["model", "k"], split(F.col("p")), F.transform("refs", split), (1, 2))
+    got = {(r["model"], r["k"], r["n"]): (r["matched"], r["n_pred"], r["n_ref"]) for r in counts.collect()}
+    assert got == {("m", 1, 1): (5, 6, 5), ("m", 1, 2): (3, 4, 3), ("m", None, 1): (0, 0, 0), ("m", None, 2): (0, 0, 0), ("n", 2, 1): (1, 1, 2), ("n", 2, 2): (0, 0, 1)}
+    bags = O.bag_overlap(df, ["model", "k"], split(F.col("p")), split(F.coalesce(F.get("refs", F.lit(0)), F.lit(""))))
+    assert {(r["model"], r["k"]): (r["both"], r["n_a"], r["n_b"]) for r in bags.collect()} == {("m", 1): (5, 6, 5), ("m", None): (0, 0, 0), ("n", 2): (1, 1, 2)}
+    assert not any("Generate" in d._jdf.queryExecution().optimizedPlan().toString() for d in (counts, bags))
