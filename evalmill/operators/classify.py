@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
 from evalmill.functions.text import strip
-from evalmill.operators.ordering import running
+from evalmill.operators.ordering import dealt, running
 from evalmill.operators.overlap import bag_overlap, f1_of
 from evalmill.session import pin
 
@@ -104,7 +104,7 @@ def entity_micro_f1(df, by, key="item_id", pred="pred_entities", ref="gold_entit
         F.transform(F.array_distinct(pred), lambda e: F.struct(e.alias("e"), F.lit(1).alias("p"), F.lit(0).alias("g"))),
         F.transform(F.array_distinct(ref), lambda e: F.struct(e.alias("e"), F.lit(0).alias("p"), F.lit(1).alias("g"))),
     )
-    rows = df.select(*by, key, F.explode(tagged).alias("x")).select(*by, key, "x.*")
+    rows = dealt(df, [*by, key]).select(*by, key, F.explode(tagged).alias("x")).select(*by, key, "x.*")
     both = rows.groupBy(*by, key, "e").agg(F.max("p").alias("p"), F.max("g").alias("g"))
     c = both.groupBy(*by).agg(
         F.sum(F.col("p") * F.col("g")).alias("tp"), F.sum("p").alias("np"), F.sum("g").alias("ng")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions import extract as E
 from evalmill.functions.text import strip
+from evalmill.operators.ordering import dealt
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -127,8 +128,9 @@ def weighted_checklist(df, weights: DataFrame, by, key="item_id", kind="subcateg
 
     ``weights(subcategory, pos, weight)`` is a small fixed table.
     """
-    rows = df.filter(F.col(scores).isNotNull()).select(*by, key, kind, F.posexplode(scores).alias("pos", "_s"))
-    dots = rows.join(weights, [kind, "pos"]).groupBy(*by, key).agg(F.sum(F.col("_s") * F.col("weight")).alias("_x"))
+    rows = df.filter(F.col(scores).isNotNull()).select(*by, key, kind, scores)
+    rows = dealt(rows, [*by, key]).select(*by, key, kind, F.posexplode(scores).alias("pos", "_s"))
+    dots = rows.join(F.broadcast(weights), [kind, "pos"]).groupBy(*by, key).agg(F.sum(F.col("_s") * F.col("weight")).alias("_x"))
     return dots.groupBy(*by).agg(F.avg((F.col("_x") - 75) * 4).alias("overall_score"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.operators.ordering import dealt
+
 
 def outcome_counts(df: DataFrame, by, key="item_id", right="right") -> DataFrame:
     """Per item: samples ``n`` and right ones ``c``."""
@@ -89,6 +91,6 @@ def subdivision_scores(df: DataFrame, by, subdivision="subdivision", score="scor
 
 def majority_vote(df: DataFrame, keys: Sequence[str], answer="answer", pos="pos") -> DataFrame:
     """Most frequent answer per key; on ties the one seen first."""
-    counts = df.groupBy(*keys, answer).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
+    counts = dealt(df.select(*dict.fromkeys([*keys, answer, pos])), keys).groupBy(*keys, answer).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
     best = F.max_by(F.col(answer), F.struct(F.col("n"), -F.col("first")))
     return counts.groupBy(*keys).agg(best.alias("vote"))

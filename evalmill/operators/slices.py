@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalmill.functions.text import strip
 from evalmill.operators.exact import share
+from evalmill.operators.ordering import dealt
 from evalmill.operators.samples import majority_vote
 
 
@@ -117,7 +118,8 @@ def group_sums(scores, by, groups: Mapping[str, Sequence[str]], task="task"):
 
 def best_of_n(df, by, uid="bon_uid", subset="subset", goal="goal", right="right"):
     """Group accuracy (right only if every member is) and pair accuracy per goal, with their means."""
-    groups = df.filter((F.col(subset) == "bon") & F.col(right).isNotNull()).groupBy(*by, goal, uid).agg(F.min(F.col(right).cast("int")).alias("_r"))
+    members = df.filter((F.col(subset) == "bon") & F.col(right).isNotNull()).select(*by, goal, uid, right)
+    groups = dealt(members, [*by, goal, uid]).groupBy(*by, goal, uid).agg(F.min(F.col(right).cast("int")).alias("_r"))
     pairs = df.filter((F.col(subset) == "pair") & F.col(right).isNotNull()).select(*by, goal, F.col(right).cast("int").alias("_r"))
     rows = groups.select(*by, goal, "_r").withColumn("_s", F.lit("bon")).unionByName(pairs.withColumn("_s", F.lit("pair")))
     acc = lambda s, g: F.coalesce(F.avg(F.when((F.col("_s") == s) & (F.col(goal) == g), F.col("_r") * 100.0)), F.lit(0.0))

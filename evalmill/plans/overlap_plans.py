@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalmill.operators import classify as C
 from evalmill.operators import overlap as O
+from evalmill.operators.ordering import dealt
 from evalmill.plans.catalog import query
 from evalmill.plans.extract_plans import entities
 from evalmill.plans.fixtures import with_tables
@@ -163,7 +164,7 @@ j AS (SELECT coalesce(p.model, g.model) AS model, p.e IS NOT NULL AS p, g.e IS N
 q AS (SELECT model, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p) AS np, count(*) FILTER (g) AS ng FROM j GROUP BY model)
 SELECT model, round(tp * 1e0 / np, 6) AS precision, round(tp * 1e0 / ng, 6) AS recall, round(2e0 * tp / (np + ng), 6) AS f1 FROM q""")
 def _(t):
-    rows = t.lineitem.groupBy(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("item_id")).agg(
+    rows = dealt(t.lineitem.select("l_returnflag", "l_orderkey", "l_partkey", "l_suppkey"), ["l_returnflag", "l_orderkey"]).groupBy(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("item_id")).agg(
         F.collect_set(F.concat(F.lit("p"), F.col("l_partkey") % 20)).alias("gold_entities"),
         F.collect_set(F.concat(F.lit("p"), F.col("l_suppkey") % 20)).alias("pred_entities"),
     )

@@ -84,3 +84,9 @@ def test_top_k(spark):
     _, df = skewed(spark, 500)
     out = O.top_k(df, ["g"], [F.desc("v"), F.col("id")], 2)
     assert out.groupBy("g").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_dealt_takes_as_many_tasks_as_the_rows_ask_for(spark):
+    df = spark.range(1000).selectExpr("id % 300 AS k", "id AS v")
+    got = O.dealt(df, ["k"], slot_rows=100)
+    assert got.rdd.getNumPartitions() == 10 and got.count() == 1000
