@@ -22,12 +22,15 @@ from evalmill.llm.texts import bounds, slices, split_words
 from evalmill.session import pin
 
 CHUNK = 12 << 20
+#: Bytes of text that are split into words at a time, and rows of emissions that are made at a time.
+PART, ROWS = 2 << 20, 1 << 15
 #: Rows (one per chunk and distinct word) that a bucket holds on average: the number of buckets grows with the input.
 BUCKET = 500_000
 #: Longest training sequence; longer texts train as several, scores are never cut.
 SEGMENT = 1024
 LOCKSTEP = 512
 CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, counts array<int>, places binary, words array<string>, n_train array<bigint>, tops binary"
+KEPT = ("chunk", "doc_ids", "held", "counts", "places")
 SHARED = "chunk bigint, bucket int, index binary, c binary, fresh bigint, loose double"
 #: Occurrences, dealt like all tokens over the states, that are added to a word's own before its states are estimated.
 KAPPA = 10.0
@@ -44,13 +47,35 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
 
 
+def numbered(texts: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of a chunk as numbers of its distinct ones, these in order of their first place, and the words of each text.
+
+    Only the words of one part are in memory as words.
+    """
+    indices, listed, counts = [], [], []
+    for batch in texts:
+        for part in slices(batch, "text", PART):
+            flat, n = split_words(part.column("text"))
+            coded = flat.dictionary_encode()
+            indices.append(np.asarray(coded.indices, dtype=np.uint32))
+            listed.append(coded.dictionary)
+            counts.append(n)
+    again = pa.concat_arrays(listed).dictionary_encode()
+    number, ends = np.asarray(again.indices), bounds(np.array([len(x) for x in listed], dtype=np.int64))
+    places = [number[a:b][x].astype(np.uint32) for a, b, x in zip(ends, ends[1:], indices)]
+    return np.concatenate(places), again.dictionary, np.concatenate(counts)
+
+
 def squeezed(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), "zstd", asbytes=True)
+    """Numbers compressed byte by byte: all first bytes, then all second ones, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def spread_out(held: bytes, kind: str) -> np.ndarray:
-    size = int.from_bytes(held[:8], "little") * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(held[8:], size, "zstd", asbytes=True), kind)
+    width, size = np.dtype(kind).itemsize, int.from_bytes(held[:8], "little")
+    planes = np.frombuffer(pa.decompress(held[8:], size * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -79,13 +104,12 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for number, rows in enumerate(gather(batches)):
-            flat, counts = split_words(rows.column("text").combine_chunks())
-            coded = flat.dictionary_encode()
-            hashes = word_hashes(coded.dictionary)
+            places, dictionary, counts = numbered(rows.select(["text"]).to_batches())
+            hashes = word_hashes(dictionary)
             order = np.argsort(hashes, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            places, dictionary = rank[np.asarray(coded.indices, dtype=np.int64)], coded.dictionary.take(pa.array(order))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            places, dictionary = rank[places], dictionary.take(pa.array(order))
             held = np.asarray(rows.column("held").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
             n_train = np.bincount(places[np.repeat(~held, counts)], minlength=len(dictionary))
             row = (first + number, rows.column("doc_id").to_pylist(), held.tolist(), counts.tolist(), squeezed(places.astype("<u4")))
@@ -154,7 +178,7 @@ def share_words(chunks: DataFrame) -> DataFrame:
             {
                 "chunk": rows.column("chunk"),
                 "bucket": rows.column("bucket"),
-                "index": pa.array([index[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                "index": pa.array([squeezed(index[a:b].astype("<u4")) for a, b in spans], pa.binary()),
                 "c": pa.array([squeezed(c[index[a:b]].astype("<i8")) for a, b in spans], pa.binary()),
                 "fresh": pa.array([int((c > 0).sum()) if n == 0 else 0 for n in range(len(spans))], pa.int64()),
                 "loose": pa.array([float(loose(c).sum()) if n == 0 else 0.0 for n in range(len(spans))], pa.float64()),
@@ -213,8 +237,9 @@ def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
 def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch sums over sequences: starts, moves and emissions."""
     k = len(model.start)
-    starts_sum, moves_sum, emits_sum = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emits), k))
-    emits, moves = model.emits.astype(np.float32), model.moves.astype(np.float32)
+    starts_sum, moves_sum = np.zeros(k), np.zeros((k, k))
+    emits_sum = np.zeros((k, len(model.emits)))  # by state, so that a state's are added in one run of memory
+    emits, moves = model.emits.astype(np.float32, copy=False), model.moves.astype(np.float32)
     ones, back = np.ones((k, 1), np.float32), np.ascontiguousarray(moves.T)
     lengths = np.array([len(x) for x in sequences])
     for group in lockstep(lengths):
@@ -223,11 +248,14 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
         starts = bounds(longest)[:-1]
         steps = int(longest[0])
         active = np.searchsorted(-longest, -np.arange(steps), side="left")
-        alphas, scaled = [], []
+        alphas: list = []
+        scaled: list = []
+        symbols = []
         state = None
         for t in range(steps):
             n = active[t]
-            seen = emits[flat[starts[:n] + t]]
+            symbols.append(flat[starts[:n] + t])
+            seen = emits[symbols[t]]
             state = (model.start.astype(np.float32) if state is None else state[:n] @ moves) * seen
             scale = 1 / (state @ ones)  # a product, as sums over short rows are slow
             state *= scale
@@ -246,12 +274,13 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
             gamma = alphas[t] * beta
             gammas[t] = gamma / (gamma @ ones)  # step by step: on one large product the library's threads would spin
             after = scaled[t] * beta
+            alphas[t] = scaled[t] = None
         starts_sum += gammas[0].sum(axis=0)
-        weights = np.concatenate(gammas)
-        symbol = np.concatenate([flat[starts[: active[t]] + t] for t in range(steps)])
+        weights, symbol = np.concatenate(gammas), np.concatenate(symbols).astype(np.intp)
+        del gammas, symbols
         for j in range(k):
-            emits_sum[:, j] += np.bincount(symbol, weights=weights[:, j], minlength=len(model.emits))
-    return starts_sum, moves_sum, emits_sum
+            emits_sum[j] += np.bincount(symbol, weights=weights[:, j], minlength=len(model.emits))
+    return starts_sum, moves_sum, emits_sum.T
 
 
 @dataclass
@@ -272,29 +301,32 @@ class Model:
 
     def needs(self) -> list[str]:
         """Columns of a chunk: its words only where some of them are looked up."""
-        return ["chunk", "doc_ids", "held", "counts", "places", *(["words"] if self.guess else [])]
+        return [*KEPT, *(["words"] if self.guess else [])]
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts to a 65,536th of an occurrence, by state and byte, so that what is clear compresses to little."""
-    return np.rint(counts.T * 65536.0).astype("<f4").reshape(-1, 1).view(np.uint8).T.tobytes()
+    """Counts to a 65,536th of an occurrence, by state, compressed, so that what is clear takes little."""
+    return squeezed(np.rint(counts.T * 65536.0).astype("<f4").ravel())
 
 
 def unpacked(held: bytes, states: int) -> np.ndarray:
-    planes = np.frombuffer(held, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<f4").reshape(states, -1).T / np.float32(65536.0)
+    return spread_out(held, "<f4").reshape(states, -1).T / np.float32(65536.0)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a pinned table that a later one has replaced, and let Spark clean shuffles out of use.
+def clean_shuffles(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files out of use, which it does when the driver's garbage collector meets their owner.
 
-    Spark deletes shuffle files when the driver's garbage collector meets their owner, which may be long after a round.
+    Without it that may be long after a round, and the next one's files come on top.
     """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a pinned table that a later one has replaced."""
     jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    jvm.System.gc()
 
 
 class Chunk:
@@ -318,19 +350,24 @@ class Chunk:
             for a, b, sums in zip(self.cuts, self.cuts[1:], rows.column("sums").to_pylist()):
                 self.sums[a:b] = unpacked(sums, states)
 
-    def hmm(self, model: Model, totals: Totals) -> Hmm:
+    def hmm(self, model: Model, totals: Totals, kind: type = float) -> Hmm:
         """The model for this chunk: symbol 0 is the end, symbol 1 + i its i-th distinct word."""
-        if model.scale is not None:
-            emits = self.sums.astype(float)
-            emits *= (self.c / (self.c + KAPPA))[:, None]
-            emits *= model.scale
-            emits += np.outer(loose(self.c) + 0.5, model.weight)
-        else:
-            emits = np.outer(totals.base(self.c), model.weight)
-            for i, w in enumerate(self.words.to_pylist()):
-                if w in model.guess:
-                    emits[i] += model.guess[w]
-        return Hmm(model.start, model.moves, np.vstack([model.end, emits]))
+        emits = np.empty((1 + len(self.c), len(model.end)), kind)
+        emits[0] = model.end
+        for a in range(0, len(self.c), ROWS):
+            c = self.c[a : a + ROWS]
+            if model.scale is not None:
+                made = self.sums[a : a + ROWS].astype(float)
+                made *= (c / (c + KAPPA))[:, None]
+                made *= model.scale
+                made += np.outer(loose(c) + 0.5, model.weight)
+            else:
+                made = np.outer(totals.base(c), model.weight)
+                for i, w in enumerate(self.words.slice(a, ROWS).to_pylist()):
+                    if w in model.guess:
+                        made[i] += model.guess[w]
+            emits[1 + a : 1 + a + ROWS] = made
+        return Hmm(model.start, model.moves, emits)
 
     def sequence(self, i: int) -> np.ndarray:
         return np.append(self.places[self.edges[i] : self.edges[i + 1]] + np.uint32(1), np.uint32(0))
@@ -405,7 +442,7 @@ def expect(chunks: DataFrame, rows: DataFrame, model: Model, totals: Totals, sta
         sequences = whole.segments()
         if not sequences:
             return schema.empty_table()
-        start, moves, emits = expected_counts(whole.hmm(model, totals), sequences)
+        start, moves, emits = expected_counts(whole.hmm(model, totals, np.float32), sequences)
         sent = emits[1:]
         counts = [packed(sent[a:b]) for a, b in zip(whole.cuts, whole.cuts[1:])]
         c = np.append(totals.n_ends, whole.c)
@@ -423,7 +460,7 @@ def add_counts(expected: DataFrame, shared: DataFrame, states: int) -> DataFrame
     """(chunk, bucket, c, sums): the chunks' expected counts added by word, sent back to every chunk that has the word."""
 
     def add(sent: pa.Table, rows: pa.Table) -> pa.Table:
-        index = {r: np.frombuffer(x, "<u4") for r, x in zip(rows.column("chunk").to_pylist(), rows.column("index").to_pylist())}
+        index = {r: spread_out(x, "<u4") for r, x in zip(rows.column("chunk").to_pylist(), rows.column("index").to_pylist())}
         sums = np.zeros((1 + max(int(x.max()) for x in index.values()), states))
         # a chunk has a word once, so no row is added twice in one step; chunks in order, for the same sums in every run
         for chunk, counts in sorted(zip(sent.column("chunk").to_pylist(), sent.column("counts").to_pylist())):
@@ -436,8 +473,10 @@ def add_counts(expected: DataFrame, shared: DataFrame, states: int) -> DataFrame
     return sent.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(add, "chunk bigint, bucket int, c binary, sums binary")
 
 
-def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8, rounds: int = 6) -> tuple[Model, DataFrame]:
-    """Baum-Welch over all training rows: the model and the rows with the counts that its emissions need.
+def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8, rounds: int = 6) -> tuple[Model, DataFrame, DataFrame]:
+    """Baum-Welch over all training rows: the model, the rows with the counts that its emissions need, and the chunks.
+
+    The first round looks up words; it is the last to do so, and after it the chunks are kept without them.
 
     Of a word seen c times, KAPPA parts in c + KAPPA are dealt over the states like all tokens and the others as they
     were found, so few occurrences say little and a word that was never seen has about its unigram share in every state.
@@ -449,6 +488,10 @@ def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8,
         added = {r["bucket"]: np.array([r[n] for n in names]) for r in expected.filter("bucket < 0").groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).collect()}
         if last is not None:
             release(last)
+        elif added:
+            whole, chunks = chunks, pin(chunks.select(*KEPT))
+            release(whole)
+        clean_shuffles(chunks)
         if not added:
             break
         last = expected
@@ -459,7 +502,7 @@ def train(chunks: DataFrame, shared: DataFrame, totals: Totals, states: int = 8,
         scale = 1 / (firm + share * (totals.loose + 0.5 * (totals.n_distinct + 1)))
         end = (ends * totals.n_ends / (totals.n_ends + KAPPA) + share * (loose(totals.n_ends) + 0.5)) * scale
         model = Model((start + 0.1) / (start + 0.1).sum(), moves / moves.sum(axis=1, keepdims=True), end, share * scale, scale, {})
-    return model, rows
+    return model, rows, chunks
 
 
 def score_documents(docs: DataFrame, states: int = 8, rounds: int = 6, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -475,7 +518,8 @@ def score_documents(docs: DataFrame, states: int = 8, rounds: int = 6, id_col: s
     chunks = chunk_table(rows)
     shared = share_words(chunks)
     totals = read_totals(chunks, shared)
-    model, rows = train(chunks, shared, totals, states, rounds)
+    clean_shuffles(chunks)
+    model, rows, chunks = train(chunks, shared, totals, states, rounds)
 
     def score(chunk: pa.Table, rows: pa.Table) -> pa.Table:
         whole = Chunk(chunk, rows, states)
