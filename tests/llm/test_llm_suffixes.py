@@ -95,3 +95,12 @@ def test_empty_tables(spark):
     assert collect(suffixes.drop_repeats(table)) == [(0, [], b""), (5, [], b"short")]
     with pytest.raises(ValueError):
         suffixes.drop_repeats(table, size=100)
+
+
+def test_a_text_moves_once_with_its_spans(spark):
+    table = spark.createDataFrame([(1, "x" * 900, b"b"), (2, None, None)], "n int, text string, body binary")
+    out = suffixes.drop_repeats(table)
+    top = out._jdf.queryExecution().analyzed()
+    assert [f.name() for f in top.child().schema().fields()] == ["row", "spans"]
+    got = sorted((r["row"]["n"], r["row"]["body"], r["n_bytes"], bytes(r["kept"])) for r in out.collect())
+    assert got == [(1, b"b", 900, b""), (2, None, 0, b"")]
