@@ -1,9 +1,11 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from evalmill.functions.draws import uniform
 from evalmill.operators import ratings as R
 from evalmill.session import pin
@@ -117,6 +119,53 @@ def test_a_battle_of_the_resampled_elo_is_drawn_once(spark):
     assert all(r["count"] == sum(c <= u[r["round"], r["pos"]] for c in cuts) for r in drawn) and len(got)
 
 
+def test_resampled_elo_of_the_query_takes_every_round(spark, tmp_path, monkeypatch):
+    """It took 3 rounds of 100, too few for points at 2.5 % and 97.5 %."""
+    rng = random.Random(5)
+    rows = [(i // 3, rng.randrange(1000), rng.randrange(50), i % 3, float(i % 9), 0.01, "ANR"[i % 3]) for i in range(150)]
+    types = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_tax double, l_returnflag string"
+    spark.createDataFrame(rows, types).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, intervals = [], R.intervals
+    monkeypatch.setattr(R, "intervals", lambda r, *a: seen.append(r) or intervals(r, *a))
+    got = [tuple(r) for r in entry.queries()["g24_bootstrap_elo"](spark, str(tmp_path)).collect()]
+    assert {(r["round"], r["model"]) for r in seen[0].collect()} == {(i, f"m{m}") for i in range(100) for m in range(7)}
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    expected = {r[0]: r[1:] for r in con.execute(entry.oracle_sql()["g24_bootstrap_elo"]).fetchall()}
+    assert len(got) == 7 and all(r[1:] == pytest.approx(expected[r[0]], abs=2e-6) for r in got)
+
+
+def test_resampled_elo_equals_a_walk_of_the_copies(spark, monkeypatch):
+    """Rounds are packed from one sorted table, in several buffers, pieces and passes."""
+    rows, df = battles(spark, 400)
+    monkeypatch.setattr(R, "PACK_ROWS", 150)
+    monkeypatch.setattr(R, "PASS_ROWS", 120)
+    monkeypatch.setattr(R, "OUT_ROWS", 2)
+    got = R.bootstrap_elo(df.repartition(5), "pos", "pos", rounds=6, seed=3, chunk=40).collect()
+    u = df.crossJoin(spark.range(6).withColumnRenamed("id", "round")).select("round", "pos", uniform(3, "round", "pos", "pos").alias("u")).collect()
+    copies = {(r["round"], r["pos"]): sum(c <= r["u"] for c in R.poisson_cuts()) for r in u}
+    for i in range(6):
+        expected = brute_elo([r for r in rows for _ in range(copies[i, r[1]])])
+        assert {r["model"]: r["rating"] for r in got if r["round"] == i} == pytest.approx(expected, rel=1e-12)
+
+
+def test_elo_of_many_models_and_pools_of_two_keys(spark, monkeypatch):
+    """A piece with over 256 different battles numbers them by two bytes; a pool without a name is left out, a model without one is not."""
+    rng = random.Random(2)
+    models = [f"m{i}" for i in range(40)] + [None]
+    rows = [(i % 3, "xy"[i % 2], i, *rng.sample(models, 2), rng.choice(["model_a", "model_b", "tie", None])) for i in range(3000)] + [(None, "x", 1, "m0", "m1", "tie")]
+    df = spark.createDataFrame(rows, "p int, q string, pos bigint, model_a string, model_b string, winner string")
+    got = R.online_elo(df.repartition(5), ["p", "q"], "pos", "pos").collect()
+    assert {(r["p"], r["q"]) for r in got} == {(p, q) for p in range(3) for q in "xy"}
+    known = [(0, i, a, b, w or "tie", p, q) for p, q, i, a, b, w in rows]
+    for p in range(3):
+        for q in "xy":
+            expected = brute_elo([r for r in known if r[5:] == (p, q)])
+            assert {r["model"]: r["rating"] for r in got if (r["p"], r["q"]) == (p, q)} == pytest.approx(expected)
+    assert R.online_elo(df, [], "pos", "pos").count() == len(models)
+    assert R.online_elo(df.limit(0), ["p"], "pos", "pos").collect() == []
+
+
 def test_style_control_recovers_a_length_effect(spark):
     rng = random.Random(4)
     rows = []
